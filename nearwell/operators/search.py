@@ -7,36 +7,40 @@ order of magnitude cheaper than a higher-order function over two arrays.
 
 import hashlib
 import re
+import sys
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nearwell import constants as K
+from nearwell.constants import (BEDS_SCALE, DOCTORS_SCALE, EARTH_KM, WEIGHT_BEDS, WEIGHT_DISTANCE,
+                                WEIGHT_DOCTORS, WEIGHT_SIMILARITY)
 from nearwell.operators.geo import BLOCK, PLACE_ROWS, QUERY_ROWS, grid_blocks
 
+# ship the task functions of this module by value: executors need numpy and pyarrow only
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAX_BROADCAST_QUERIES = 4096
 
 
 # --- embedding ---------------------------------------------------------------------------------
 
-@lru_cache(maxsize=65536)
-def _slot(word: str, dim: int) -> int:
-    return int(hashlib.md5(word.encode()).hexdigest()[:7], 16) % dim
-
-
 def hashed_words(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
     """The default model: unit vectors of hashed word counts, the same on every machine."""
     def embed(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim))
+        out, slots = np.zeros((len(texts), dim)), {}
         for i, text in enumerate(texts):
-            slots = [_slot(w, dim) for w in re.split(r"[\W_]+", text.lower()) if w]
-            out[i] = np.bincount(slots, minlength=dim) if slots else 0
+            for word in re.split(r"[\W_]+", text.lower()):
+                if word and word not in slots:
+                    slots[word] = int(hashlib.md5(word.encode()).hexdigest()[:7], 16) % dim
+                if word:
+                    out[i, slots[word]] += 1
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norms == 0, 1, norms)
     return embed
@@ -216,8 +220,8 @@ def _search_block(left: pa.Table, right: pa.Table) -> pa.Table:
         ids = np.array(right.column("facility_id").to_pylist(), dtype=object)
         q, v = _matrix(left.column("qv")), _matrix(right.column("embedding"))
         lat, lng = np.radians(_floats(right.column("lat"))), _floats(right.column("lng"))
-        extra = (K.WEIGHT_BEDS * _capacity(right.column("beds"), K.BEDS_SCALE)
-                 + K.WEIGHT_DOCTORS * _capacity(right.column("num_doctors"), K.DOCTORS_SCALE))
+        extra = (WEIGHT_BEDS * _capacity(right.column("beds"), BEDS_SCALE)
+                 + WEIGHT_DOCTORS * _capacity(right.column("num_doctors"), DOCTORS_SCALE))
         box = {c: _floats(left.column(c)) for c in
                ("lat", "lng", "radius_km", "lat_lo", "lat_hi", "lng_lo", "lng_hi")}
         limits = left.column("limit").to_numpy()
@@ -228,15 +232,15 @@ def _search_block(left: pa.Table, right: pa.Table) -> pa.Table:
             qlat = np.radians(b["lat"])
             cos = (np.sin(qlat) * np.sin(lat)
                    + np.cos(qlat) * np.cos(lat) * np.cos(np.radians(lng - b["lng"])))
-            dist = K.EARTH_KM * np.arccos(np.clip(cos, -1, 1))
+            dist = EARTH_KM * np.arccos(np.clip(cos, -1, 1))
             sim = q[part] @ v.T
             ok = ((dist <= b["radius_km"]) & (flat >= b["lat_lo"]) & (flat <= b["lat_hi"])
                   & (lng >= b["lng_lo"]) & (lng <= b["lng_hi"]) & ~np.isnan(sim)
                   & _allowed(left.column("type").slice(at, 128), right.column("facility_type"))
                   & _allowed(left.column("operator").slice(at, 128),
                              right.column("operator_type")))
-            score = np.round(K.WEIGHT_SIMILARITY * sim
-                             + K.WEIGHT_DISTANCE * (1 - dist / b["radius_km"]) + extra, 4)
+            score = np.round(WEIGHT_SIMILARITY * sim
+                             + WEIGHT_DISTANCE * (1 - dist / b["radius_km"]) + extra, 4)
             dist, sim = np.round(dist, 1), np.round(sim, 3)
             for i in range(len(dist)):
                 hit = np.flatnonzero(ok[i])

@@ -197,6 +197,18 @@ TABLES: dict[str, tuple[list[str], str]] = {
                WHEN event_id % 23 = 0 THEN 'clinic near 1234567'
                ELSE 'nation_' || cast(user_id % 25 AS string) END AS place
         FROM message"""),
+    # raw request parameters as they arrive: text, some out of range or unreadable
+    "raw_request": (["message"], """
+        SELECT message_id, event_id, CASE WHEN event_id % 19 = 0 THEN '' ELSE text END AS need,
+          CASE event_id % 7 WHEN 0 THEN '0.5' WHEN 1 THEN '501' WHEN 2 THEN 'far' WHEN 3 THEN '12.5'
+               WHEN 4 THEN '500' WHEN 5 THEN '1' END AS radius,
+          CASE event_id % 5 WHEN 0 THEN '51' WHEN 1 THEN '50' WHEN 2 THEN '1' WHEN 3 THEN 'x' END
+            AS lim,
+          CASE WHEN event_id % 17 = 0 THEN 'north' ELSE cast(8 + event_id % 25 AS string) END AS lat,
+          CASE WHEN event_id % 23 = 0 THEN NULL ELSE cast(70 + event_id % 25 AS string) END AS lng,
+          CASE event_id % 4 WHEN 0 THEN 'public' WHEN 1 THEN 'private' WHEN 2 THEN 'government' END
+            AS operator
+        FROM message"""),
     "turn": ([], """
         SELECT cast(conv_id AS string) AS conversation_id, conv_id, cast(turn + 1 AS int) AS turn_no,
           role, text AS content,
@@ -216,6 +228,30 @@ TABLES: dict[str, tuple[list[str], str]] = {
                ELSE 'active' END AS status,
           CASE WHEN conv_id % 2 = 0 THEN 'en' ELSE 'hi' END AS lang
         FROM turn GROUP BY conversation_id, conv_id"""),
+    "intent_reply": (["message"], """
+        SELECT message_id,
+          CASE event_id % 4
+            WHEN 0 THEN 'Sure:' || chr(10) || '```json' || chr(10) || '{{"need":" dialysis ","place":"Patna '
+              || cast(event_id % 40 AS string) || '","lang":"HI-in"}}' || chr(10) || '```'
+            WHEN 1 THEN '{{"need":"dialysis","pla' WHEN 2 THEN '{{"place":"Gaya","lang":""}}'
+          END AS reply
+        FROM message WHERE event_id % 5 <> 0"""),
+    "grounding_reply": ([], """
+        SELECT cast(s_suppkey AS string) AS query_id,
+          CASE s_suppkey % 4
+            WHEN 0 THEN 'Here: {{"' || cast(s_suppkey AS string) || '": ["svc a","","svc b","svc c","svc d"]}}'
+            WHEN 1 THEN '{{"' || cast(s_suppkey AS string) || '": ["svc'
+            WHEN 2 THEN '{{"' || cast(s_suppkey AS string) || '": []}}' END AS reply
+        FROM {supplier} WHERE s_suppkey % 9 <> 8"""),
+    "answer": ([], """
+        SELECT cast(conv_id AS string) || '-' || cast(turn AS string) AS query_id,
+          CASE turn % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'hi' ELSE 'bn' END AS lang,
+          '2 facilities found' AS summary, text AS reason_one, 'reason two' AS reason_two,
+          CASE turn % 4
+            WHEN 0 THEN '{{"summary":"x","reasons":["a","b"]}}'
+            WHEN 1 THEN 'ok {{"summary":"do sansthan","reasons":["ek"]}}'
+            WHEN 2 THEN '{{"summary":"","reasons":["",7]}}' END AS reply
+        FROM {conversations}"""),
     "usage_event": ([], """
         SELECT event_id, CASE WHEN event_type IN ('click', 'view') THEN 'embed' ELSE 'llm' END AS kind,
           CASE WHEN event_id % 10 = 0 THEN NULL ELSE cast(floor(value) AS bigint) END AS tokens,
