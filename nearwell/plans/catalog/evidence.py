@@ -11,6 +11,7 @@ from nearwell.plans.catalog.base import (SEARCH_TABLES, TERM_TABLES, gram_sim, g
                                          query, suspect)
 from nearwell.plans.catalog.registry import BEST, REGISTRY_TABLES, matched
 from nearwell.plans.catalog.search import batch_queries
+from nearwell.session import materialize
 
 ALL = SEARCH_TABLES + " " + TERM_TABLES
 
@@ -72,7 +73,9 @@ WEAK = f"""{LEXICAL},
 
 
 def hits_with_need(d):
-    hits = OS.search_pairs(batch_queries(d), d.facility, d.facility_vec, d.facility_geo)
+    """The ranked hits, written once: every step of the evidence reads them again."""
+    hits = materialize(
+        OS.search_pairs(batch_queries(d), d.facility, d.facility_vec, d.facility_geo), "hits")
     return (hits.join(d.search_query.select("query_id", "need"), "query_id")
             .join(d.facility.select("facility_id", "name"), "facility_id"))
 
@@ -95,7 +98,7 @@ ODD_WEAK = WEAK.replace(
 
 def weak_of(d):
     hits = odd_hits(d)
-    return OE.weak_hits(hits, OE.lexical_evidence(hits, all_terms(d)))
+    return materialize(OE.weak_hits(hits, OE.lexical_evidence(hits, all_terms(d))), "weak")
 
 
 @query("weak_hits", f"WITH {ODD_WEAK} SELECT query_id, facility_id, need FROM weak", ALL)
@@ -164,7 +167,7 @@ def merge_grounding(d):
     LEFT JOIN grounded g USING (query_id, facility_id)""", ALL + " grounding_reply")
 def evidence_confidence(d):
     hits = odd_hits(d)
-    lexical = OE.lexical_evidence(hits, all_terms(d))
+    lexical = materialize(OE.lexical_evidence(hits, all_terms(d)), "lexical")
     grounded = OE.merge_grounding(OE.weak_hits(hits, lexical), d.grounding_reply)
     named = hits.withColumn("match_reason", F.col("name"))
     return OE.evidence_confidence(named, lexical, grounded).select(

@@ -26,8 +26,8 @@ WORDS = r"""
       '[^\p{L}\p{N}]+'), lambda w: w<>'')) AS w FROM docs),
     slots AS (SELECT facility_id, cast('0x' || substr(md5(w),1,7) AS bigint) % 64 AS slot,
       count(*) AS n FROM words GROUP BY ALL),
-    vec AS (SELECT facility_id, sqrt(sum(n*n)) AS norm, sum(n*slot) AS weighted,
-      count(*) AS filled FROM slots GROUP BY 1)"""
+    vec AS (SELECT facility_id, cast(sum(n*slot) AS bigint) AS weighted,
+      cast(sum(n*n) AS bigint) AS squares, count(*) AS filled FROM slots GROUP BY 1)"""
 
 
 def _joined(c):
@@ -41,7 +41,7 @@ def _joined(c):
       coalesce(description,''), coalesce(text,'')) AS doc
       FROM bronze_all b LEFT JOIN documents ON doc_id=c_custkey), {WORDS}
     SELECT facility_id, sha256(doc) AS doc_hash, coalesce(filled, 0) AS filled,
-      round(coalesce(weighted/norm, 0), 3) AS weighted
+      coalesce(weighted, 0) AS weighted, coalesce(squares, 0) AS squares
     FROM docs LEFT JOIN vec USING (facility_id)""", "bronze_all")
 def batch_embed(d):
     rows = d.bronze_all.join(d.base("documents").select(F.col("doc_id").alias("c_custkey"), "text"),
@@ -52,13 +52,19 @@ def batch_embed(d):
         .alias("facility_id"),
         F.concat_ws(" ", C.compose_search_document(*parts), F.coalesce("text", F.lit("")))
         .alias("doc"))
-    weighted = F.aggregate(
-        F.transform("embedding", lambda x, i: x.cast("double") * i), F.lit(0.0),
-        lambda s, x: s + x)
-    return OS.batch_embed(docs).select(
+    # the word counts, read back from the unit vector and the number of words
+    words = docs.select("facility_id", F.array_size(F.filter(
+        F.split(F.lower("doc"), r"[^\p{L}\p{N}]+"), lambda w: w != "")).alias("n"))
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    counts = F.transform("embedding", lambda x: F.coalesce(
+        F.round(F.try_divide(x.cast("double"), total) * F.col("n")), F.lit(0)).cast("bigint"))
+    zero = F.lit(0).cast("bigint")
+    return OS.batch_embed(docs).join(words, "facility_id").withColumn("c", counts).select(
         "facility_id", "doc_hash",
-        F.size(F.filter("embedding", lambda x: x != 0)).cast("bigint").alias("filled"),
-        F.round(weighted, 3).alias("weighted"))
+        F.size(F.filter("c", lambda x: x != 0)).cast("bigint").alias("filled"),
+        F.aggregate(F.transform("c", lambda x, i: x * i), zero, lambda s, x: s + x)
+        .alias("weighted"),
+        F.aggregate("c", zero, lambda s, x: s + x * x).alias("squares"))
 
 
 @query("cosine_similarity", f"""
