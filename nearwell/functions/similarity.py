@@ -16,6 +16,19 @@ def trigrams(c) -> Column:
     return F.array_distinct(F.flatten(F.transform(words, grams)))
 
 
+def gram_codes(c) -> Column:
+    """The trigrams of ``c`` as numbers (three code points of 21 bits), for cheap set operations.
+
+    One code per gram and one gram per code, so similarities are those of the grams themselves.
+    """
+    def code(gram):
+        point = [F.ascii(gram if i == 1 else F.substring(gram, i, 1)).cast("bigint")
+                 for i in (1, 2, 3)]
+        return F.shiftleft(point[0], 42) + F.shiftleft(point[1], 21) + point[2]
+
+    return F.transform(trigrams(c), code)
+
+
 def gram_similarity(a, b) -> Column:
     """Jaccard similarity of two gram arrays as a 4-byte float; NULL in, NULL out."""
     shared = F.array_size(F.array_intersect(a, b))

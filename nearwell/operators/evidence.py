@@ -6,7 +6,7 @@ from pyspark.sql.window import Window
 
 from nearwell import constants as K
 from nearwell.functions.messages import json_object, suspect_evidence
-from nearwell.functions.similarity import gram_similarity, trigrams
+from nearwell.functions.similarity import gram_codes, gram_similarity
 from nearwell.operators.skew import split_groups
 
 
@@ -40,8 +40,8 @@ def lexical_evidence(hits: DataFrame, terms: DataFrame,
     hits: query_id, facility_id, name, need. Grams of a term are made once per facility that was
     hit, then met with the queries; only the ``top`` of each task reach the shuffle.
     """
-    asked = hits.select("query_id", "facility_id", "name", trigrams(F.col("need")).alias("_q"))
-    have = _hit_terms(hits, terms).withColumn("_t", trigrams(F.col("txt")))
+    asked = hits.select("query_id", "facility_id", "name", gram_codes(F.col("need")).alias("_q"))
+    have = _hit_terms(hits, terms).withColumn("_t", gram_codes(F.col("txt")))
     scored = (asked.join(have, "facility_id")
               .select("query_id", "facility_id", "name", "kind", "txt",
                       gram_similarity(F.col("_t"), F.col("_q")).alias("s"))
@@ -49,7 +49,7 @@ def lexical_evidence(hits: DataFrame, terms: DataFrame,
               .filter(~suspect_evidence(F.col("name"), F.col("txt"))))
     order = Window.partitionBy("query_id", "facility_id").orderBy(F.desc("s"), "txt", "kind")
     best = scored.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= top)
-    ordered = F.array_sort(F.collect_list(F.struct("rn", "txt")))
+    ordered = F.sort_array(F.collect_list(F.struct("rn", "txt")))
     return best.groupBy("query_id", "facility_id").agg(F.array_join(
         F.transform(ordered, lambda x: x["txt"]), K.SEPARATOR).alias("reason"))
 
@@ -76,12 +76,12 @@ def grounding_requests(weak: DataFrame, candidates: DataFrame) -> DataFrame:
     A query has at most 50 hits of at most 12 terms, so its prompt is bounded.
     """
     lists = candidates.groupBy("facility_id").agg(
-        F.array_sort(F.collect_list(F.struct("rn", "txt"))).alias("t")).select(
+        F.sort_array(F.collect_list(F.struct("rn", "txt"))).alias("t")).select(
         "facility_id", F.transform("t", lambda x: x["txt"]).alias("terms"))
     asked = weak.join(lists, "facility_id", "left")
     entry = F.when(F.col("terms").isNotNull(), F.struct("facility_id", "terms"))
     grouped = asked.groupBy("query_id", "need").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("listed"))
+        F.map_from_entries(F.sort_array(F.collect_list(entry))).alias("listed"))
     return grouped.select(
         "query_id", F.lit(K.GROUND_PROMPT).alias("system"),
         F.concat(F.lit('need="'), "need", F.lit('"\n'), F.to_json("listed")).alias("prompt"))
@@ -150,12 +150,12 @@ def facility_detail(fac: DataFrame, specialty: DataFrame, procedure: DataFrame,
     items = split_groups(items, "facility_id", F.concat("kind", "txt"), max_items)
 
     def listed(kind):
-        return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("txt"))))
+        return F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.col("txt"))))
 
     phone = F.when(F.col("kind") == "phone", F.struct(F.col("txt").alias("phone"), "is_official"))
     lists = items.groupBy("facility_id", "part", "parts").agg(
         listed("specialty").alias("specialties"), listed("procedure").alias("procedures"),
         listed("capability").alias("capabilities"), listed("url").alias("source_urls"),
-        F.array_sort(F.collect_list(phone)).alias("phones"))
+        F.sort_array(F.collect_list(phone)).alias("phones"))
     return fac.join(lists, "facility_id", "left").withColumns({
         "part": F.coalesce("part", F.lit(0)), "parts": F.coalesce("parts", F.lit(1))})

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from nearwell import constants as K
 from nearwell.functions.cleaning import split_services
-from nearwell.functions.similarity import gram_similarity, trigrams
+from nearwell.functions.similarity import gram_codes, gram_similarity
 from nearwell.operators.skew import first_row
+from nearwell.session import spread
 
 COMMON_GRAMS = 64
 
@@ -43,14 +44,19 @@ def name_pairs(reg: DataFrame, fac: DataFrame, pin_thr: float = K.PIN_THRESHOLD,
     those prefixes instead of all against all. The order puts the most common grams last (a list
     of at most 64), so blocks of look-alike names do not meet on them. Copies of a name are
     matched once.
+
+    explode_outer is deliberate: for a plain explode Spark infers a filter on the array and would
+    work out the grams again below every earlier step.
     """
     t = F.when(F.col("kind") == "pin", F.lit(pin_thr)).otherwise(F.lit(city_thr))
     rnames = _blocks(reg, "registry_name").distinct()
     touched = rnames.select("kind", "block").distinct()
     fnames = _blocks(fac, "name").join(touched, ["kind", "block"], "left_semi").distinct()
-    common = (rnames.select("name").distinct().select(F.explode(trigrams(F.col("name"))).alias("g"))
-              .groupBy("g").count().orderBy(F.desc("count"), "g").limit(COMMON_GRAMS)
-              .agg(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("count"), "g"))),
+    common = (rnames.select("name").distinct()
+              .select(F.explode_outer(gram_codes(F.col("name"))).alias("g")).filter("g IS NOT NULL")
+              .groupBy("g").count()
+              .orderBy(F.desc("count"), "g").limit(COMMON_GRAMS)
+              .agg(F.transform(F.sort_array(F.collect_list(F.struct(-F.col("count"), "g"))),
                                lambda x: x["g"])).scalar())
 
     def prefixes(df, side):
@@ -59,14 +65,15 @@ def name_pairs(reg: DataFrame, fac: DataFrame, pin_thr: float = K.PIN_THRESHOLD,
             return F.struct(F.when(at == 0, 0).otherwise(COMMON_GRAMS + 1 - at).alias("f"),
                             F.xxhash64(g).alias("h"), g.alias("g"))
         n = F.array_size("grams")
-        df = df.withColumns({"grams": trigrams(F.col("name")), "_common": common})
+        df = spread(df, "name").withColumns(
+            {"grams": gram_codes(F.col("name")), "_common": common})
         df = df.withColumn("prefix", F.transform(
-            F.slice(F.array_sort(F.transform("grams", place)), F.lit(1),
+            F.slice(F.sort_array(F.transform("grams", place)), F.lit(1),
                     (n - F.ceil(t * n - 1e-6) + 1).cast("int")), lambda x: x["g"]))
-        return df.select("kind", "block", F.col("name").alias(f"{side}name"),
-                         F.col("grams").alias(f"{side}grams"),
-                         F.col("prefix").alias(f"{side}prefix"),
-                         F.explode("prefix").alias("gram"))
+        return spread(df.select(
+            "kind", "block", F.col("name").alias(f"{side}name"), F.col("grams").alias(f"{side}grams"),
+            F.col("prefix").alias(f"{side}prefix"), F.explode_outer("prefix").alias("gram")),
+            "kind", "block", "gram")
 
     met = prefixes(fnames, "f").join(prefixes(rnames, "r"), ["kind", "block", "gram"])
     nf, nr = F.array_size("fgrams"), F.array_size("rgrams")

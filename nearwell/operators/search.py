@@ -8,6 +8,7 @@ order of magnitude cheaper than a higher-order function over two arrays.
 import hashlib
 import re
 import sys
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,6 +23,7 @@ from nearwell import constants as K
 from nearwell.constants import (BEDS_SCALE, DOCTORS_SCALE, EARTH_KM, WEIGHT_BEDS, WEIGHT_DISTANCE,
                                 WEIGHT_DOCTORS, WEIGHT_SIMILARITY)
 from nearwell.operators.geo import BLOCK, PLACE_ROWS, QUERY_ROWS, grid_blocks
+from nearwell.session import spread
 
 # ship the task functions of this module by value: executors need numpy and pyarrow only
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -36,29 +38,33 @@ def hashed_words(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
     def embed(texts: list[str]) -> np.ndarray:
         out, slots = np.zeros((len(texts), dim)), {}
         for i, text in enumerate(texts):
-            for word in re.split(r"[\W_]+", text.lower()):
+            for word, n in Counter(re.split(r"[\W_]+", text.lower())).items():
                 if word and word not in slots:
                     slots[word] = int(hashlib.md5(word.encode()).hexdigest()[:7], 16) % dim
                 if word:
-                    out[i, slots[word]] += 1
+                    out[i, slots[word]] += n
         norms = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norms == 0, 1, norms)
     return embed
 
 
 def batch_embed(docs: DataFrame, model: Callable[[], Callable] = hashed_words,
-                known: DataFrame | None = None) -> DataFrame:
+                known: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
     """(facility_id, doc_hash, embedding) of docs(facility_id, doc).
 
     ``model`` is called once per partition and returns texts -> matrix. Documents already in
     ``known`` (facility_id, doc_hash) with the same text are left out, so only new or changed
-    documents are embedded; union the result with what is stored.
+    documents are embedded; union the result with what is stored. A model is heavy per byte, so
+    ``partitions`` can spread few input files over more tasks.
     """
     todo = docs.select("facility_id", F.sha2("doc", 256).alias("doc_hash"), "doc")
     if known is not None:
         todo = todo.join(known.select("facility_id", "doc_hash"),
                          ["facility_id", "doc_hash"], "left_anti")
 
+    if partitions is not None:
+        todo = todo.repartition(partitions, "facility_id")
+
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run = model()
         for batch in batches:
@@ -190,6 +196,7 @@ def _scan_blocks(queries: DataFrame, vec: DataFrame, k: int) -> DataFrame:
             out += _scan_top(qids[at:at + 128], q[at:at + 128], ids, v, k)
         return _scan_table(out)
 
+    q, v = spread(q, "vp", "qp"), spread(v, "vp", "qp")
     return q.groupBy("vp", "qp").cogroup(v.groupBy("vp", "qp")).applyInArrow(block, SCAN_SCHEMA)
 
 
@@ -292,6 +299,7 @@ def search_pairs(queries: DataFrame, fac: DataFrame, vec: DataFrame, geo: DataFr
                            F.col("limit").cast("int").alias("limit"), "qv")
     asked, here = grid_blocks(asked, places, **grid)
     here = here.join(vec.select("facility_id", "embedding"), "facility_id")
+    asked, here = spread(asked, *BLOCK), spread(here, *BLOCK)
     pairs = asked.groupBy(*BLOCK).cogroup(here.groupBy(*BLOCK)).applyInArrow(
         _search_block, PAIR_SCHEMA)
     return topk_by_score(pairs)
@@ -304,7 +312,7 @@ def default_reason(hits: DataFrame, procedures: DataFrame) -> DataFrame:
     first = (procedures.join(wanted, "facility_id", "left_semi")
              .withColumn("n", F.row_number().over(order)).filter("n <= 3")
              .groupBy("facility_id").agg(F.array_join(
-                 F.array_sort(F.collect_list("txt")), K.SEPARATOR).alias("_terms")))
+                 F.sort_array(F.collect_list("txt")), K.SEPARATOR).alias("_terms")))
     return hits.join(first, "facility_id", "left").withColumn(
         "match_reason", F.coalesce(F.left("_terms", F.lit(K.REASON_CHARS)), "name")).drop("_terms")
 

@@ -29,7 +29,7 @@ def compact_results(hits: DataFrame) -> DataFrame:
     """(query_id, result_count, results_json): six fields per hit, by rank (at most 50 hits)."""
     fields = F.struct("facility_id", "name", "distance_km", "score",
                       F.col("match_reason").alias("match_reason_en"), "city")
-    ordered = F.array_sort(F.collect_list(F.struct("rank", fields.alias("hit"))))
+    ordered = F.sort_array(F.collect_list(F.struct("rank", fields.alias("hit"))))
     return hits.groupBy("query_id").agg(
         F.count("*").alias("result_count"),
         F.to_json(F.transform(ordered, lambda x: x["hit"])).alias("results_json"))
@@ -74,7 +74,7 @@ def archive_rollup(conversations: DataFrame, turns: DataFrame, as_of,
               .withColumn("part", F.floor((F.col("turn_no") - 1) / per_row).cast("int")))
     lists = pieces.groupBy("conversation_id", "part").agg(
         F.count("*").alias("_n"),
-        F.to_json(F.array_sort(F.collect_list(F.struct(*TURN_FIELDS)))).alias("turns"))
+        F.to_json(F.sort_array(F.collect_list(F.struct(*TURN_FIELDS)))).alias("turns"))
     counts = pieces.groupBy("conversation_id").agg(F.count("*").alias("turn_count"))
     return (conversations.join(counts, "conversation_id", "left")
             .join(lists, "conversation_id", "left")

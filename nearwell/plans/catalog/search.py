@@ -59,7 +59,8 @@ def batch_embed(d):
     counts = F.transform("embedding", lambda x: F.coalesce(
         F.round(F.try_divide(x.cast("double"), total) * F.col("n")), F.lit(0)).cast("bigint"))
     zero = F.lit(0).cast("bigint")
-    return OS.batch_embed(docs).join(words, "facility_id").withColumn("c", counts).select(
+    n = int(d.spark.conf.get("spark.sql.shuffle.partitions"))
+    return OS.batch_embed(docs, partitions=n).join(words, "facility_id").withColumn("c", counts).select(
         "facility_id", "doc_hash",
         F.size(F.filter("c", lambda x: x != 0)).cast("bigint").alias("filled"),
         F.aggregate(F.transform("c", lambda x, i: x * i), zero, lambda s, x: s + x)

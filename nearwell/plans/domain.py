@@ -8,8 +8,9 @@ part; registry rows and search queries from suppliers; messages and usage from e
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
-from nearwell.session import tune
+from nearwell.session import scratch_path, tune
 
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
         "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -327,6 +328,12 @@ def duckdb_ctes(names) -> str:
     return ctes(names, "make_timestamp").format(**{b: b for b in BASE})
 
 
+# tables that many queries read: built once per application and data folder, like any ETL output
+SHARED = {"facility", "facility_vec", "bronze_all", "procedure_term", "capability_term",
+          "specialty_term", "registry", "message", "search_query", "query_parts"}
+_BUILT: dict[tuple[str, str, str], tuple[str, T.StructType]] = {}
+
+
 class Domain:
     """The directory tables over one data folder."""
 
@@ -339,6 +346,21 @@ class Domain:
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
-        text = "WITH " + ctes([name], "timestamp_micros") + f"\nSELECT * FROM {name}"
+        if name not in SHARED:
+            return self._derive(name)
+        key = (self.spark.sparkContext.applicationId, self.dir, name)
+        if key not in _BUILT:
+            df, path = self._derive(name), scratch_path(self.spark, name)
+            df.write.parquet(path)
+            _BUILT[key] = path, df.schema
+        path, schema = _BUILT[key]
+        return self.spark.read.schema(schema).parquet(path)
+
+    def _derive(self, name: str) -> DataFrame:
+        own = [n for n in _order((name,)) if n == name or n not in SHARED]
+        shared = {n: getattr(self, n) for n in _order((name,)) if n not in own}
+        parts = [f"{n} AS (SELECT * FROM {{{n}}})" for n in shared]
+        parts += [f"{n} AS ({TABLES[n][1].replace('@ts(', 'timestamp_micros(')})" for n in own]
+        text = "WITH " + ",\n".join(parts) + f"\nSELECT * FROM {name}"
         used = [b for b in BASE if "{" + b + "}" in text]
-        return self.spark.sql(text, **{b: self.base(b) for b in used})
+        return self.spark.sql(text, **{b: self.base(b) for b in used}, **shared)

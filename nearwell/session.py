@@ -22,6 +22,15 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into the session's full number of shuffle partitions.
+
+    For stages whose work per byte is high: a plain shuffle of few bytes would be coalesced into a
+    task or two.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder under the cluster's shared spark.checkpoint.dir.
 
