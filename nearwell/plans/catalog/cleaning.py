@@ -9,6 +9,7 @@ from nearwell.functions import presentation as P
 from nearwell.functions import vectors as V
 from nearwell.operators import cleaning as OC
 from nearwell.operators import dialogue as OD
+from nearwell.plans import build
 from nearwell.plans.catalog.base import encode, in_india, initcap, query
 
 SAN = "translate(coalesce({0},''), chr(10)||chr(13)||chr(9), '   ')"
@@ -334,3 +335,24 @@ def dedupe_first_seen(d):
     return OC.dedupe_first_seen(
         rows, {"order": F.col("l_orderkey"), "line": F.col("l_linenumber")},
         ["l_shipdate", "l_partkey", "l_suppkey"]).drop("l_shipdate")
+
+
+@query("clean_facility", f"""
+    SELECT unique_id AS facility_id, {SAN.format('name')} AS name,
+      CASE WHEN lower(trim(facilityTypeId)) IN ('null','') THEN NULL
+           WHEN lower(trim(facilityTypeId))='farmacy' THEN 'pharmacy'
+           ELSE lower(trim(facilityTypeId)) END AS facility_type,
+      lower(operatorTypeId) AS operator_type, {INT.format('capacity')} AS beds,
+      {SAN.format('address_city')} AS city, {initcap('trim(address_stateOrRegion)')} AS state,
+      CASE WHEN {in_india('latitude', 'longitude')} THEN latitude END AS lat,
+      {SAN.format('description')} AS description,
+      try_cast(recency_of_page_update AS date) AS recency_of_update
+    FROM (SELECT *, row_number() OVER (PARTITION BY unique_id
+        ORDER BY recency_of_page_update DESC NULLS LAST, name DESC) AS rn
+      FROM bronze_all WHERE unique_id IS NOT NULL AND name IS NOT NULL
+        AND (facilityTypeId IS NULL OR lower(trim(facilityTypeId)) IN ('null','')
+             OR lower(trim(facilityTypeId)) IN {VOCAB})) WHERE rn=1""", "bronze_all")
+def clean_facility(d):
+    return build.clean_facility(d.bronze_all.drop("c_custkey", "copy")).select(
+        "facility_id", "name", "facility_type", "operator_type", "beds", "city", "state", "lat",
+        "description", "recency_of_update")
