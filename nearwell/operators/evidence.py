@@ -8,6 +8,7 @@ from nearwell import constants as K
 from nearwell.functions.messages import json_object, suspect_evidence
 from nearwell.functions.similarity import gram_codes, gram_similarity
 from nearwell.operators.skew import split_groups
+from nearwell.session import spread
 
 
 def union_terms(specialty: DataFrame, procedure: DataFrame, capability: DataFrame) -> DataFrame:
@@ -37,21 +38,26 @@ def lexical_evidence(hits: DataFrame, terms: DataFrame,
                      top: int = K.LEXICAL_TOP) -> DataFrame:
     """(query_id, facility_id, reason): the terms closest to the need, best first.
 
-    hits: query_id, facility_id, name, need. Grams of a term are made once per facility that was
-    hit, then met with the queries; only the ``top`` of each task reach the shuffle.
+    hits: query_id, facility_id, name, need. Evidence depends on the need and the facility only, so
+    it is found once per distinct pair of the two, however often a need is asked; grams are made
+    once per distinct text. Only the ``top`` terms of each task reach the ranking shuffle.
     """
-    asked = hits.select("query_id", "facility_id", "name", gram_codes(F.col("need")).alias("_q"))
-    have = _hit_terms(hits, terms).withColumn("_t", gram_codes(F.col("txt")))
-    scored = (asked.join(have, "facility_id")
-              .select("query_id", "facility_id", "name", "kind", "txt",
+    key = ["facility_id", "need"]
+    asked = hits.select(*key, "name").distinct().withColumn("_q", gram_codes(F.col("need")))
+    have = _hit_terms(hits, terms)
+    texts = spread(have.select("txt").distinct(), "txt").withColumn("_t", gram_codes(F.col("txt")))
+    scored = (asked.join(have, "facility_id").join(texts, "txt")
+              .select(*key, "name", "kind", "txt",
                       gram_similarity(F.col("_t"), F.col("_q")).alias("s"))
               .filter(F.col("s").cast("double") > min_sim)
               .filter(~suspect_evidence(F.col("name"), F.col("txt"))))
-    order = Window.partitionBy("query_id", "facility_id").orderBy(F.desc("s"), "txt", "kind")
+    order = Window.partitionBy(*key).orderBy(F.desc("s"), "txt", "kind")
     best = scored.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= top)
     ordered = F.sort_array(F.collect_list(F.struct("rn", "txt")))
-    return best.groupBy("query_id", "facility_id").agg(F.array_join(
+    reasons = best.groupBy(*key).agg(F.array_join(
         F.transform(ordered, lambda x: x["txt"]), K.SEPARATOR).alias("reason"))
+    return hits.select("query_id", *key).join(reasons, key).select(
+        "query_id", "facility_id", "reason")
 
 
 def weak_hits(hits: DataFrame, lexical: DataFrame) -> DataFrame:

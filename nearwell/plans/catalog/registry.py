@@ -41,14 +41,15 @@ def best_match(d):
 
 
 @query("upsert_verification", f"""WITH {BEST},
-    old AS (SELECT facility_id, 'OLD' AS source, name AS registry_name FROM facility
-            WHERE c_custkey % 2 = 0)
+    old AS (SELECT cast(s_suppkey AS string) AS facility_id, 'OLD' AS source,
+              s_name AS registry_name FROM supplier)
     SELECT facility_id, source, registry_name FROM best UNION ALL
     SELECT * FROM old WHERE facility_id NOT IN (SELECT facility_id FROM best)""",
        REGISTRY_TABLES)
 def upsert_verification(d):
-    old = d.facility.filter("c_custkey % 2 = 0").select(
-        "facility_id", F.lit("OLD").alias("source"), F.col("name").alias("registry_name"))
+    old = d.base("supplier").select(F.col("s_suppkey").cast("string").alias("facility_id"),
+                                    F.lit("OLD").alias("source"),
+                                    F.col("s_name").alias("registry_name"))
     return OR.upsert_verification(old, matched(d).select("facility_id", "source", "registry_name"))
 
 

@@ -3,7 +3,6 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearwell.operators import shortlists as OL
 from nearwell.plans.catalog.base import SEARCH_TABLES, hits_sql, query
 from nearwell.plans.catalog.dialogue import PHRASES, WORDS
 from nearwell.plans.catalog.search import batch_queries
@@ -87,8 +86,8 @@ def stream_emergency_alerts(d):
 def stream_upsert(d):
     path = scratch_path(d.spark, "items")
     changes = _stream(d, d.item_change, "changes")
-    _each_batch(d, changes, X.stream_upsert(path, OL.upsert_items, d.shortlist_item), "items")
-    return d.spark.read.parquet(f"{path}/v0").select("shortlist_id", "facility_id", "rank")
+    _each_batch(d, changes, X.stream_upsert(path), "items")
+    return X.upserted(path, d.shortlist_item).select("shortlist_id", "facility_id", "rank")
 
 
 @query("stream_search", f"""WITH {hits_sql()}

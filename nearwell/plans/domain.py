@@ -116,7 +116,7 @@ TABLES: dict[str, tuple[list[str], str]] = {
           '["https://a.example.org/' || cast(c_custkey % 40 AS string) || '","https://a.example.org/'
             || cast(c_custkey % 40 AS string) || '",""]' AS source_urls
         FROM bronze_once b JOIN {part} ON p_partkey = c_custkey % 200"""),
-    # every 4th facility is listed twice, with an older, missing or equal recency
+    # every facility is listed twice, with an older, missing or equal recency
     "bronze_all": (["bronze_facility"], """
         SELECT * FROM bronze_facility
         UNION ALL
@@ -127,7 +127,7 @@ TABLES: dict[str, tuple[list[str], str]] = {
           CASE WHEN c_custkey % 3 = 0 THEN recency_of_page_update WHEN c_custkey % 3 = 1 THEN NULL
                ELSE '2009-01-01' END AS recency_of_page_update,
           1 AS copy, specialties, procedure, capability, phone_numbers, source_urls
-        FROM bronze_facility WHERE c_custkey % 4 = 0"""),
+        FROM bronze_facility"""),
     "pin_directory": ([], """
         SELECT CASE WHEN c_custkey % 19 = 0 THEN '12345' WHEN c_custkey % 23 = 0 THEN NULL
                     ELSE cast(100000 + c_custkey % 700 AS string) END AS pincode,
@@ -143,7 +143,7 @@ TABLES: dict[str, tuple[list[str], str]] = {
         SELECT facility_id,
           lat + CASE WHEN c_custkey % 2 = 0 THEN 0.3e0 ELSE 0.01e0 END AS glat,
           lng + 0.02e0 AS glng
-        FROM facility WHERE c_custkey % 3 = 0 AND lat IS NOT NULL"""),
+        FROM facility JOIN {supplier} ON c_custkey = s_suppkey * 5 WHERE lat IS NOT NULL"""),
     "search_query": ([], """
         SELECT cast(s_suppkey AS string) AS query_id, s_suppkey, p_name || ' procedure' AS need,
           8 + cast((c_nationkey * 113) % 280 AS double) / 10
@@ -231,19 +231,19 @@ TABLES: dict[str, tuple[list[str], str]] = {
         FROM turn GROUP BY conversation_id, conv_id"""),
     "intent_reply": (["message"], """
         SELECT message_id,
-          CASE event_id % 4
+          CASE event_id % 5
             WHEN 0 THEN 'Sure:' || chr(10) || '```json' || chr(10) || '{{"need":" dialysis ","place":"Patna '
               || cast(event_id % 40 AS string) || '","lang":"HI-in"}}' || chr(10) || '```'
             WHEN 1 THEN '{{"need":"dialysis","pla' WHEN 2 THEN '{{"place":"Gaya","lang":""}}'
           END AS reply
-        FROM message WHERE event_id % 5 <> 0"""),
+        FROM message"""),
     "grounding_reply": ([], """
         SELECT cast(s_suppkey AS string) AS query_id,
           CASE s_suppkey % 4
             WHEN 0 THEN 'Here: {{"' || cast(s_suppkey AS string) || '": ["svc a","","svc b","svc c","svc d"]}}'
             WHEN 1 THEN '{{"' || cast(s_suppkey AS string) || '": ["svc'
             WHEN 2 THEN '{{"' || cast(s_suppkey AS string) || '": []}}' END AS reply
-        FROM {supplier} WHERE s_suppkey % 9 <> 8"""),
+        FROM {supplier}"""),
     "answer": ([], """
         SELECT cast(conv_id AS string) || '-' || cast(turn AS string) AS query_id,
           CASE turn % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'hi' ELSE 'bn' END AS lang,
@@ -282,7 +282,7 @@ TABLES: dict[str, tuple[list[str], str]] = {
           CASE max(l_linenumber) % 6 WHEN 0 THEN 'contacted' WHEN 1 THEN 'referred'
                WHEN 2 THEN 'rejected' WHEN 3 THEN 'bogus' END AS status,
           CASE WHEN max(l_quantity) > 25 THEN 'call ' || max(l_linestatus) END AS note
-        FROM {lineitem} WHERE l_quantity > 10
+        FROM {lineitem}
         GROUP BY l_orderkey, l_suppkey, l_linenumber, l_partkey"""),
     "listing_page": ([], """
         SELECT page_id, html || '<p><a class="d" HREF="https://cdnbbsr.example.org/d'

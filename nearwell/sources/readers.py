@@ -16,7 +16,11 @@ def scan_pin_directory(spark: SparkSession, path: str) -> DataFrame:
     return rows.filter(F.col("pincode").rlike("^[0-9]{6}$"))
 
 
-def scan_registry_csv(spark: SparkSession, glob: str) -> DataFrame:
-    """All registry CSVs matching ``glob``; quoted fields may span lines."""
-    return (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def scan_registry_csv(spark: SparkSession, glob: str, multi_line: bool = True) -> DataFrame:
+    """All registry CSVs matching ``glob``.
+
+    Quoted fields may span lines, so a file is read by one task; give ``multi_line=False`` for
+    huge files without such fields, which are then split.
+    """
+    return (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
             .schema(schemas.REGISTRY).csv(glob))

@@ -41,20 +41,27 @@ def stream_emergency_alerts(messages: DataFrame) -> DataFrame:
     return messages.filter(emergency_flag(F.col("text")))
 
 
-def stream_upsert(path: str, apply: Callable[[DataFrame, DataFrame], DataFrame] = upsert_items,
-                  empty: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch writer that applies change batches to a keyed table.
+def stream_upsert(path: str) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch writer that logs each batch of changes, at the cost of that batch alone.
 
-    Batch n is written to ``path``/v<n> from ``path``/v<n-1>: a batch that is run again after a
-    failure reads the same input version and overwrites its own output, so it is applied once.
+    A batch that is run again after a failure overwrites its own folder, so it counts once. Read
+    the table with :func:`upserted`, which merges the log on read.
     """
     def write(changes: DataFrame, batch_id: int) -> None:
-        spark = changes.sparkSession
-        current = empty if batch_id == 0 else spark.read.parquet(f"{path}/v{batch_id - 1}")
-        apply(current, changes).write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        changes.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
     return write
 
 
+def upserted(path: str, items: DataFrame,
+             apply: Callable[[DataFrame, DataFrame], DataFrame] = upsert_items) -> DataFrame:
+    """``items`` with all logged changes applied, in batch order and then in ``seq`` order.
+
+    Write the result as the new base table, and start a new log, to compact it.
+    """
+    log = items.sparkSession.read.parquet(path)
+    return apply(items, log.withColumn("seq", F.struct("batch", "seq")).drop("batch"))
+
+
 def stream_search(path: str, fac: DataFrame, vec: DataFrame, geo: DataFrame | None,
                   procedures: DataFrame, **kwargs) -> Callable[[DataFrame, int], None]:
     """A foreachBatch writer that answers each batch of queries against the static tables."""
