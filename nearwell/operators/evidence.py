@@ -43,9 +43,13 @@ def lexical_evidence(hits: DataFrame, terms: DataFrame,
     once per distinct text. Only the ``top`` terms of each task reach the ranking shuffle.
     """
     key = ["facility_id", "need"]
-    asked = hits.select(*key, "name").distinct().withColumn("_q", gram_codes(F.col("need")))
+
+    def codes(c):  # never NULL, so no filter on it is pushed below the distinct
+        return F.coalesce(gram_codes(F.col(c)), F.array().cast("array<bigint>"))
+
+    asked = hits.select(*key, "name").distinct().withColumn("_q", codes("need"))
     have = _hit_terms(hits, terms)
-    texts = spread(have.select("txt").distinct(), "txt").withColumn("_t", gram_codes(F.col("txt")))
+    texts = spread(have.select("txt").distinct(), "txt").withColumn("_t", codes("txt"))
     scored = (asked.join(have, "facility_id").join(texts, "txt")
               .select(*key, "name", "kind", "txt",
                       gram_similarity(F.col("_t"), F.col("_q")).alias("s"))

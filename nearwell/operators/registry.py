@@ -45,8 +45,8 @@ def name_pairs(reg: DataFrame, fac: DataFrame, pin_thr: float = K.PIN_THRESHOLD,
     of at most 64), so blocks of look-alike names do not meet on them. Copies of a name are
     matched once.
 
-    explode_outer is deliberate: for a plain explode Spark infers a filter on the array and would
-    work out the grams again below every earlier step.
+    explode_outer and the never-NULL arrays are deliberate: otherwise Spark infers filters on the
+    arrays, pushes them below the distinct and works out the grams again for every copy.
     """
     t = F.when(F.col("kind") == "pin", F.lit(pin_thr)).otherwise(F.lit(city_thr))
     rnames = _blocks(reg, "registry_name").distinct()
@@ -59,6 +59,8 @@ def name_pairs(reg: DataFrame, fac: DataFrame, pin_thr: float = K.PIN_THRESHOLD,
               .agg(F.transform(F.sort_array(F.collect_list(F.struct(-F.col("count"), "g"))),
                                lambda x: x["g"])).scalar())
 
+    none = F.array().cast("array<bigint>")
+
     def prefixes(df, side):
         def place(g):
             at = F.array_position("_common", g)
@@ -66,10 +68,10 @@ def name_pairs(reg: DataFrame, fac: DataFrame, pin_thr: float = K.PIN_THRESHOLD,
                             F.xxhash64(g).alias("h"), g.alias("g"))
         n = F.array_size("grams")
         df = spread(df, "name").withColumns(
-            {"grams": gram_codes(F.col("name")), "_common": common})
-        df = df.withColumn("prefix", F.transform(
+            {"grams": F.coalesce(gram_codes(F.col("name")), none), "_common": common})
+        df = df.withColumn("prefix", F.coalesce(F.transform(
             F.slice(F.sort_array(F.transform("grams", place)), F.lit(1),
-                    (n - F.ceil(t * n - 1e-6) + 1).cast("int")), lambda x: x["g"]))
+                    (n - F.ceil(t * n - 1e-6) + 1).cast("int")), lambda x: x["g"]), none))
         return spread(df.select(
             "kind", "block", F.col("name").alias(f"{side}name"), F.col("grams").alias(f"{side}grams"),
             F.col("prefix").alias(f"{side}prefix"), F.explode_outer("prefix").alias("gram")),

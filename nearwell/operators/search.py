@@ -108,12 +108,18 @@ SCAN_SCHEMA = "query_id string, facility_id string, similarity double"
 
 
 def _scan_top(qids, q, ids, v, k) -> list[tuple]:
-    sims = np.round(q @ v.T, 3)
+    """Per query the k best ids of one block of vectors, by rounded similarity and id."""
+    sims = np.nan_to_num(q @ v.T, nan=-np.inf)
+    # everything that could round to the k-th best value or above
+    kth = np.partition(sims, -k, axis=1)[:, -k] if sims.shape[1] > k else np.full(len(q), -np.inf)
+    rows, cols = np.nonzero((sims >= (kth - 0.002)[:, None]) & np.isfinite(sims))
+    ends = np.searchsorted(rows, np.arange(len(q) + 1))
     out = []
     for i, qid in enumerate(qids):
-        seen = np.flatnonzero(~np.isnan(sims[i]))
-        best = seen[_best(sims[i][seen], np.zeros(len(seen)), ids[seen], k)]
-        out.append((np.repeat(qid, len(best)), ids[best], sims[i][best]))
+        at = cols[ends[i]:ends[i + 1]]
+        near = np.round(sims[i, at], 3)
+        best = _best(near, np.zeros(len(at)), ids[at], k)
+        out.append((np.repeat(qid, len(best)), ids[at[best]], near[best]))
     return out
 
 
