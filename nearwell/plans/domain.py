@@ -7,6 +7,7 @@ part; registry rows and search queries from suppliers; messages and usage from e
 
 from functools import cache
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -349,12 +350,14 @@ class Domain:
         if name not in SHARED:
             return self._derive(name)
         key = (self.spark.sparkContext.applicationId, self.dir, name)
-        if key not in _BUILT:
+        try:
+            path, schema = _BUILT[key]
+            return self.spark.read.schema(schema).parquet(path)
+        except (KeyError, AnalysisException):  # not built yet, or cleaned up since
             df, path = self._derive(name), scratch_path(self.spark, name)
             df.write.parquet(path)
             _BUILT[key] = path, df.schema
-        path, schema = _BUILT[key]
-        return self.spark.read.schema(schema).parquet(path)
+            return self.spark.read.schema(df.schema).parquet(path)
 
     def _derive(self, name: str) -> DataFrame:
         own = [n for n in _order((name,)) if n == name or n not in SHARED]
