@@ -19,7 +19,10 @@ def words_of(text: Column) -> Column:
 
 
 def window_hashes(words: Column, n: int) -> Column:
-    """64-bit hashes of every run of ``n`` consecutive words; empty for shorter arrays."""
+    """64-bit hashes of every run of ``n`` consecutive words; empty for shorter arrays.
+
+    ``words`` must be a column of the input or bound by ``bind``, as it is read for every word.
+    """
     count = F.size(words) - (n - 1)
     head = F.slice(words, 1, F.greatest(count, F.lit(0)))
     return F.transform(head, lambda w, i: F.xxhash64(w, *(F.get(words, i + k)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearwell.llm import quality
+from nearwell.llm import minhash, quality, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +63,35 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = quality.apply_policies(quality.ledger(table(spark, sf_dir, "documents")))
     return book.select("doc_id", *quality.MEASURES, (~F.col("kept_base")).alias("base_failed"),
                        F.col("kept_v1").alias("kept"), "fail_bits")
+
+
+# --- URL filters -------------------------------------------------------------------------------
+
+# The rules that the query judges by.
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
+             ("allow", "com/fr/"), ("block", "com/de/"))
+SQL_RULES = ", ".join(
+    f"('{v}', '{r}', '{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}')" for v, r in URL_RULES)
+
+
+@query("op3_url_filters", rf"""
+WITH rules(verdict, rule, rule_host, rule_path) AS (VALUES {SQL_RULES}),
+u AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS pos FROM pages),
+s AS (SELECT page_id, CASE WHEN pos > 0 THEN substr(url, pos + 3) ELSE '' END AS rest FROM u),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM s),
+hit AS (SELECT page_id, host, path, rule, verdict, row_number() OVER (
+          PARTITION BY page_id, host, path ORDER BY length(rule) DESC NULLS LAST) AS n
+        FROM p LEFT JOIN rules ON (host = rule_host OR host LIKE '%.' || rule_host)
+          AND starts_with(path, rule_path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM hit WHERE n = 1""")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.match(table(spark, sf_dir, "pages"), urls.rules_table(spark, URL_RULES))
+
+
+# --- MinHash near-duplicates -------------------------------------------------------------------
+
+@query("op10_minhash_near_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
