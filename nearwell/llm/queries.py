@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearwell.llm import minhash, packing, quality, urls
+from nearwell.llm import decontaminate, minhash, packing, quality, urls
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -107,3 +107,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return packing.pack_documents(table(spark, sf_dir, "documents"),
                                   public_tokenizers.path(TOKENIZER))
+
+
+# --- benchmark decontamination -----------------------------------------------------------------
+
+@query("op9_benchmark_decontamination")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(table(spark, sf_dir, "documents"),
+                                    table(spark, sf_dir, "benchmark"))
