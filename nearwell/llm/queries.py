@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearwell.llm import decontaminate, minhash, packing, quality, urls
+from nearwell.llm import decontaminate, minhash, packing, passages, quality, urls
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -115,3 +115,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(table(spark, sf_dir, "documents"),
                                     table(spark, sf_dir, "benchmark"))
+
+
+# --- substring near-duplicates -----------------------------------------------------------------
+
+@query("op4_substring_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.find_passages(table(spark, sf_dir, "documents"))
