@@ -57,6 +57,16 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text",
             at = end
 
 
+def rolling(data: np.ndarray, size: int) -> np.ndarray:
+    """A hash of ``data[i:i + size]`` for every i, cut off at the end."""
+    n = len(data)
+    with np.errstate(over="ignore"):
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTES[data] * _powers(_MULT, n + 1)[:n], out=total[1:])
+        ends = np.minimum(np.arange(n) + size, n)
+        return mix((total[ends] - total[:n]) * _powers(_INVERSE, n + 1)[:n], 2)
+
+
 class Words:
     """Words of a chunk of texts: where each starts and ends, its hash, and words per text."""
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearwell.llm import decontaminate, minhash, packing, passages, quality, urls
+from nearwell.llm import decontaminate, minhash, packing, passages, quality, repeats, urls
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -122,3 +122,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_substring_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.find_passages(table(spark, sf_dir, "documents"))
+
+
+# --- exact repeated strings --------------------------------------------------------------------
+
+@query("op5_suffix_array_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
