@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearwell.llm import decontaminate, minhash, packing, passages, quality, repeats, toxicity, urls
+from nearwell.llm import decontaminate, minhash, packing, passages, quality, repeats, toxicity, urls, warc
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -141,3 +141,18 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select(
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+# --- WARC --------------------------------------------------------------------------------------
+
+@query("op7_warc", """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::bigint AS payload_bytes,
+             sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END
+    AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM f""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
