@@ -7,9 +7,11 @@ which is the plain Jaccard similarity where no shingle repeats. Arrivals are gen
 of time only up to the time by which all slots are filled, so long documents cost little more than
 one number per shingle.
 
-Groups stay cheap however large: exact copies are one representative; a bucket compares its members
-with its most central one, and only members that end in different classes are compared further, a
-bounded number of new centres per round, until nothing is left to compare.
+Groups stay cheap however large: exact copies are one representative, and a bucket compares its
+members with its most central one only. Texts that are near each other but not near that centre
+differ from it in the same way, so where some member isn't near its centre, members are compared once
+more along the shingles that they have and the centre lacks (the smallest ``EXTRA`` of them by hash;
+those that merely leave shingles out, by size), again each with a centre or two per shingle.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearwell.llm.columns import bind, shingle_set, words_of
@@ -29,7 +31,7 @@ from nearwell.session import materialize
 SLOTS = 64
 BAND = 4
 SIMILARITY = 0.8
-CENTRES = 16
+EXTRA = 24
 
 
 def _exponential(keys: np.ndarray, salt: int) -> np.ndarray:
@@ -112,22 +114,33 @@ def sketch(docs: DataFrame, slots: int = SLOTS, band: int = BAND) -> DataFrame:
         _sketch(slots, band), "doc_id long, digest binary, bands array<bigint>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have at least this Jaccard similarity."""
+def _tested(pairs: DataFrame, sets: DataFrame, similarity: float, extra: int = 0) -> DataFrame:
+    """The pairs (a, b), whether their shingle sets are as similar as asked for, and, if ``extra``,
+    keys for what b has besides a: its first shingles in hash order, and its size to within a tenth
+    where it has little else than part of a."""
     one = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
     two = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(one, "a").join(two, "b").where(
-        both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select("a", "b")
+    near = both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)
+    tested = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", near.alias("near"))
+    if not extra:
+        return tested.select("a", "b", "near")
+    other = F.array_except("y", "x")
+    step = F.floor(F.log(F.size("y").cast("double")) / F.log(F.lit(1.1)))
+    sizes = F.when(F.size(other) <= F.lit(1 - similarity) * F.size("y"),
+                   F.array(step, step + 1)).otherwise(F.array().cast("array<bigint>"))
+    return tested.select("a", "b", "near", F.concat(
+        F.slice(F.sort_array(other), 1, extra), sizes).alias("keys"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, slots: int = SLOTS,
                     band: int = BAND) -> DataFrame:
     """(doc_id, class_id) of every document; class_id is the smallest doc_id of its class.
 
-    Classes are the connected components of all pairs whose sets of five-word shingles have a
-    Jaccard similarity of at least ``similarity`` and that meet in a band: with the defaults a pair
-    at 0.8 is missed with a probability of 0.0002. A word is a run of characters other than
+    Classes are connected components of pairs whose sets of five-word shingles have a Jaccard
+    similarity of at least ``similarity``: with the defaults a pair at 0.8 meets in no band with a
+    probability of 0.0002. Of a bucket's pairs, those with its centre are all tested, and others as
+    the module says. A word is a run of characters other than
     white space; a text of one to four words is one shingle. Documents with a null, empty or blank
     text are classes of their own; rows with a null doc_id are left out; repeated rows of one doc_id
     count once (of different texts under one id all links hold). Other columns are ignored.
@@ -153,32 +166,21 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, slots: int
     centre = shared.groupBy("bucket").agg(
         F.max_by("id", F.struct("weight", -F.col("id"))).alias("a"))
     pairs = shared.join(centre, "bucket").where("id <> a").select("a", F.col("id").alias("b"))
-    links = materialize(_verified(pairs.distinct(), sets, similarity), "verified")
-    centres = materialize(centre.select("bucket", F.col("a").alias("id")), "centres")
-
-    while True:
-        classes = components(links)
-        named = shared.join(classes, "id", "left").select(
-            "bucket", "id", "weight", F.coalesce("class_id", "id").alias("class_id"))
-        split = named.groupBy("bucket").agg(
-            F.min("class_id").alias("low"), F.max("class_id").alias("high")).where("low <> high")
-        split = materialize(named.join(split.select("bucket"), "bucket"), "split")
-        # all members outside a bucket's largest class have to be centres once
-        main = split.groupBy("bucket", "class_id").count().groupBy("bucket").agg(
-            F.max_by("class_id", F.struct("count", "class_id")).alias("main"))
-        open_ = split.join(main, "bucket").where("class_id <> main").join(
-            centres, ["bucket", "id"], "left_anti")
-        turn = Window.partitionBy("bucket").orderBy(F.desc("weight"), "id")
-        chosen = materialize(open_.withColumn("turn", F.row_number().over(turn))
-                             .where(F.col("turn") <= CENTRES)
-                             .select("bucket", F.col("id").alias("a"), F.col("class_id").alias("k")),
-                             "chosen")
-        if chosen.isEmpty():
-            break
-        pairs = split.join(chosen, "bucket").where("class_id <> k").select(
-            F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-        links = materialize(links.union(_verified(pairs, sets, similarity)), "verified")
-        centres = centres.union(chosen.select("bucket", F.col("a").alias("id")))
+    tested = materialize(_tested(pairs.distinct(), sets, similarity, EXTRA), "tested")
+    # centres with a member that isn't near; their members once more, by what sets them apart
+    loose = tested.where("NOT near").select("a").distinct()
+    apart = materialize(tested.join(loose, "a").select("a", F.col("b").alias("id"), F.explode(
+        "keys").alias("key")), "apart")
+    order = F.xxhash64("id", "key")
+    ends = apart.groupBy("a", "key").agg(
+        F.min_by("id", order).alias("low"), F.max_by("id", order).alias("high")).where("low <> high")
+    more = apart.join(ends, ["a", "key"]).select("id", F.explode(F.array("low", "high")).alias("c"))
+    more = more.where("id <> c").select(F.least("id", "c").alias("a"),
+                                        F.greatest("id", "c").alias("b")).distinct()
+    more = more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")),
+                     ["a", "b"], "left_anti")
+    links = tested.select("a", "b", "near").union(_tested(more, sets, similarity)).where("near")
+    classes = components(links.select("a", "b"))
 
     # classes of representatives, then of all documents: copies, and the smallest id among them
     near = copies.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select(
