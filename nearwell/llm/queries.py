@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearwell.llm import decontaminate, minhash, packing, passages, quality, repeats, toxicity, urls, warc
+from nearwell.llm import (decontaminate, minhash, packing, passages, quality, repeats, tools,
+                          toxicity, urls, warc)
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -156,3 +157,49 @@ SELECT page_id, payload_bytes, payload_digest,
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# --- chat formatting ---------------------------------------------------------------------------
+
+# The tools of the derived calls.
+TOOL_SCHEMAS = (("search", "query", "string", True), ("search", "limit", "integer", False),
+                ("lookup", "query", "string", True), ("lookup", "limit", "number", True))
+
+
+def tool_log(chats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and results derived from conversations.
+
+    Every assistant turn calls a tool with its whole text, and the user turn after it is the result;
+    the arguments of some are damaged, every second call uses the one before, and in some
+    conversations the one after. System turns are results that nothing asked for.
+    """
+    def call_id(turn: str):
+        return F.expr(f"concat('call_', conv_id, '_', {turn})")
+
+    odd = F.expr("pmod(conv_id + turn, 11)")
+    sound = F.to_json(F.struct("text", F.expr("pmod(turn, 5)").alias("limit")).withField(
+        "query", F.col("text")).dropFields("text"))
+    calls = chats.where("role = 'assistant'").select(
+        "conv_id", "turn", call_id("turn").alias("call_id"),
+        F.expr("CASE pmod(conv_id, 5) WHEN 0 THEN 'lookup' WHEN 1 THEN 'write' ELSE 'search' END")
+        .alias("name"),
+        F.when(odd == 0, F.concat(F.lit('{"limit":"x","query":'), F.to_json(F.struct("text")).substr(
+            9, 2_000_000_000)))
+        .when(odd == 1, F.lit('{"limit": 3, "page": 1}')).when(odd == 2, F.lit("{"))
+        .otherwise(sound).alias("arguments"),
+        F.expr("CASE WHEN pmod(conv_id, 7) = 3 AND pmod(turn, 4) = 1 THEN array(concat('call_', "
+               "conv_id, '_', turn + 2)) WHEN pmod(turn, 4) = 3 AND pmod(conv_id, 7) <> 3 THEN "
+               "array(concat('call_', conv_id, '_', turn - 2)) ELSE array() END").alias("uses"))
+    results = chats.where("role <> 'assistant' AND (role = 'system' OR turn > 0)").select(
+        "conv_id", "turn", F.when(F.col("role") == "system", F.lit("none")).otherwise(
+            call_id("turn - 1")).alias("call_id"), F.col("text").alias("content"))
+    return calls, results
+
+
+@query("op1_tool_calls")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_log(table(spark, sf_dir, "conversations"))
+    schemas = spark.createDataFrame(list(TOOL_SCHEMAS),
+                                    "name string, param string, type string, required boolean")
+    out = tools.link(calls, results, schemas)
+    return out.withColumn("errors", F.array_join("errors", ","))
