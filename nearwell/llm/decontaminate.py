@@ -64,8 +64,10 @@ def _rows(ids: pa.Array, starts, words: int, prints, rows: np.ndarray, names: li
 def _item_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in chunks(batches):
         words = Words(batch.column("text"))
-        hashes, bounds = shingles(words)
-        for i in np.flatnonzero(words.counts):
+        width = np.minimum(words.counts, SHINGLE_WORDS)
+        by_width = {int(w): shingles(words, int(w)) for w in np.unique(width[width > 0])}
+        for i in np.flatnonzero(width):
+            hashes, bounds = by_width[int(width[i])]
             own = hashes[bounds[i]:bounds[i + 1]]
             prints = _fingerprints(own, np.zeros(1, np.int64), np.array([len(own)]))
             yield _rows(batch.column("item_id").slice(int(i), 1), [0], int(words.counts[i]), prints,

@@ -130,7 +130,7 @@ def match(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     hits = sweep(spots, parsed.select(
         F.concat(reversed_host(F.col("rule_host")), F.col("rule_path")).alias("key"),
         F.struct("rule", "verdict", "rule_host").alias("interval")))
-    inner = F.element_at("stack", -1)
+    inner = F.try_element_at("stack", F.lit(-1))
     best = (hits.where(F.size("stack") > 0)
             .select("point.host", "point.path", inner.alias("hit"))
             .groupBy("host", "path")
