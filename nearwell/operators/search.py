@@ -28,8 +28,6 @@ from nearwell.session import spread
 # ship the task functions of this module by value: executors need numpy and pyarrow only
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MAX_BROADCAST_QUERIES = 4096
-
 
 # --- embedding ---------------------------------------------------------------------------------
 
@@ -130,55 +128,21 @@ def _scan_table(parts: list[tuple]) -> pa.Table:
                      "similarity": pa.array(cols[2].astype("float64"), pa.float64())})
 
 
-def semantic_scan(queries: DataFrame, vec: DataFrame, k: int,
-                  max_broadcast: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+def semantic_scan(queries: DataFrame, vec: DataFrame, k: int) -> DataFrame:
     """Top ``k`` facilities per query by cosine over all vectors: query_id, rank, facility_id,
     similarity (3 digits; ties by id).
 
-    Up to ``max_broadcast`` queries are read to the driver (that bound is the size check, and the
-    one action here) and shipped to the scan, which then needs no shuffle of the vectors. A larger
-    batch is joined as (vector part, query part) blocks instead. Both give k rows per query and
-    task to the final ranking.
+    Queries and vectors are joined as (vector part, query part) blocks of bounded size, whatever
+    the batch; each block gives ``k`` rows per query to the final ranking, and nothing passes
+    through the driver.
     """
     q = queries.select(F.col("query_id").cast("string").alias("query_id"), "qv")
-    v = vec.select("facility_id", "embedding")
-    head = q.limit(max_broadcast + 1).toArrow()
-    if head.num_rows <= max_broadcast:
-        best = _scan_broadcast(v, head, k)
-    else:
-        best = _scan_blocks(q, v, k)
+    best = _scan_blocks(q, vec.select("facility_id", "embedding"), k)
     rank = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "facility_id")
     return (best.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "facility_id", "similarity"))
 
 
-def _scan_broadcast(vec: DataFrame, head: pa.Table, k: int) -> DataFrame:
-    shared = vec.sparkSession.sparkContext.broadcast(
-        (np.array(head.column("query_id").to_pylist(), dtype=object), _matrix(head.column("qv")))
-        if head.num_rows else None)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if shared.value is None:
-            return
-        qids, q = shared.value
-        best: list[tuple] | None = None
-        for batch in batches:
-            ids = np.array(batch.column("facility_id").to_pylist(), dtype=object)
-            if not len(ids):
-                continue
-            new = _scan_top(qids, q, ids, _matrix(batch.column("embedding")), k)
-            if best is not None:
-                for i, (old, add) in enumerate(zip(best, new)):
-                    rows = [np.concatenate([a, b]) for a, b in zip(old, add)]
-                    pick = _best(rows[2], np.zeros(len(rows[2])), rows[1], k)
-                    new[i] = tuple(r[pick] for r in rows)
-            best = new
-        if best is not None:
-            yield from _scan_table(best).to_batches()
-
-    return vec.mapInArrow(scan, SCAN_SCHEMA)
-
-
 def _scan_blocks(queries: DataFrame, vec: DataFrame, k: int) -> DataFrame:
     def parts(df, rows):
         return F.greatest(F.lit(1), F.ceil(df.agg(F.count("*")).scalar() / rows)).cast("int")
@@ -277,16 +241,12 @@ def type_operator_filter(pairs: DataFrame) -> DataFrame:
         & (F.col("operator").isNull() | (F.col("operator") == F.col("operator_type"))))
 
 
-def topk_by_score(hits: DataFrame, max_limit: int = K.MAX_LIMIT) -> DataFrame:
+def topk_by_score(hits: DataFrame) -> DataFrame:
     """Add ``rank`` and keep rank <= limit per query: rounded score descending, rounded distance
-    ascending, id. ``max_limit`` bounds the per-query ``limit`` (a larger one is an error), which
-    lets Spark cut each task to that many rows per query before the shuffle."""
+    ascending, id. Every query has its own ``limit``; a null one keeps nothing."""
     order = Window.partitionBy("query_id").orderBy(
         F.desc("score"), F.asc("distance_km"), F.asc("facility_id"))
-    limit = F.when(F.col("limit") <= max_limit, F.col("limit")).otherwise(
-        F.raise_error(F.lit(f"limit is above {max_limit}")).cast("int"))
-    return (hits.withColumn("rank", F.row_number().over(order))
-            .filter(F.col("rank") <= max_limit).filter(F.col("rank") <= limit))
+    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("limit"))
 
 
 def search_pairs(queries: DataFrame, fac: DataFrame, vec: DataFrame, geo: DataFrame | None,

@@ -22,6 +22,9 @@ def answer_batch(messages: DataFrame, replies: DataFrame, grounding: DataFrame,
                  ) -> tuple[DataFrame, DataFrame]:
     """(answers, hits) for messages(message_id, text, device_lat, device_lng).
 
+    Messages may have type, operator, radius_km and limit of their own; where a column is missing or
+    null, any type and operator and the ``radius_km`` and ``limit`` given here hold.
+
     ``replies`` and ``grounding`` are the model replies to ``intent_requests`` and
     ``grounding_requests``; both may be empty. answers: one row per message with route, reply,
     origin, language and emergency flag. hits: ranked facilities with their evidence. The ranked
@@ -33,14 +36,21 @@ def answer_batch(messages: DataFrame, replies: DataFrame, grounding: DataFrame,
     asked = origins.filter("need <> '' AND lat IS NOT NULL")
     vectors = OS.batch_embed(
         asked.select(F.col("message_id").alias("facility_id"), F.col("need").alias("doc")), model)
+    def own(name: str, kind: str, default=None):
+        have = F.col(name).cast(kind) if name in messages.columns else F.lit(None).cast(kind)
+        return F.coalesce(have, F.lit(default).cast(kind)).alias(name)
+
+    asked = asked.drop("type", "operator", "radius_km", "limit").join(messages.select(
+        "message_id", own("type", "string"), own("operator", "string"),
+        own("radius_km", "double", radius_km), own("limit", "int", limit)), "message_id")
     queries = asked.join(vectors.select(F.col("facility_id").alias("message_id"),
                                         F.col("embedding").alias("qv")), "message_id").select(
         F.col("message_id").alias("query_id"), "need", "qv", "lat", "lng",
-        F.lit(radius_km).alias("radius_km"), F.lit(None).cast("string").alias("type"),
-        F.lit(None).cast("string").alias("operator"),
-        F.lit(min(K.MAX_LIMIT, K.OVERFETCH * limit)).alias("limit"))
+        "radius_km", "type", "operator",
+        F.least(F.lit(K.MAX_LIMIT), K.OVERFETCH * F.col("limit")).alias("limit"))
     found = OS.search_facilities(queries, fac, vec, geo, procedures)
-    hits = OS.overfetch_floor(found.withColumn("limit", F.lit(limit))).drop("limit")
+    hits = OS.overfetch_floor(found.drop("limit").join(
+        asked.select(F.col("message_id").alias("query_id"), "limit"), "query_id")).drop("limit")
     need = asked.select(F.col("message_id").alias("query_id"), "need")
     hits = materialize(hits.join(need, "query_id"), "hits")
     lexical = materialize(OE.lexical_evidence(hits, terms), "lexical")

@@ -1,5 +1,8 @@
 """The offline job: bronze directory and PIN list to the serving tables."""
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,16 +43,44 @@ def search_documents(bronze: DataFrame, facility: DataFrame) -> DataFrame:
     return OC.drop_orphans(docs, facility)
 
 
+TABLES = ("facility", "facility_specialty", "facility_procedure", "facility_capability",
+          "facility_phone", "facility_source_url", "pin_geo", "facility_validated",
+          "facility_geo", "facility_vec")
+
+
+def open_directory(spark: SparkSession, out: str) -> dict[str, DataFrame]:
+    """The tables of the last finished refresh under ``out``; none before the first."""
+    try:
+        done = spark.read.schema("seq long, version string").parquet(f"{out}/versions")
+        last = done.orderBy(F.desc("seq")).first()
+    except AnalysisException:  # no such folder yet
+        last = None
+    if last is None:
+        return {}
+    return {t: spark.read.parquet(f"{out}/{last['version']}/{t}") for t in TABLES}
+
+
 def refresh_directory(spark: SparkSession, bronze: DataFrame, pins: DataFrame, out: str,
-                      known_vectors: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Write every serving table under ``out`` and return them, read back from there.
+                      known_vectors: DataFrame | None = None, geocodes: DataFrame | None = None,
+                      ) -> dict[str, DataFrame]:
+    """Write every serving table as a new version under ``out`` and return them, read from there.
+
+    A version is a folder of its own, listed in ``out/versions`` when all of it is written, so a
+    refresh may read any earlier one, and one that fails leaves the last as it was. Vectors of
+    unchanged documents come from ``known_vectors``, or from the last version. ``geocodes``
+    (facility_id, glat, glng) are the geocoder's results so far.
 
     Each table is one distributed write; children and geo checks start from the written facility
     table, so the bronze rows are cleaned once.
     """
+    previous = open_directory(spark, out)
+    if known_vectors is None:
+        known_vectors = previous.get("facility_vec")
+    version = f"v-{uuid.uuid4().hex}"
+
     def store(name: str, df: DataFrame) -> DataFrame:
-        full_refresh_sink(df, f"{out}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{out}/{name}")
+        full_refresh_sink(df, f"{out}/{version}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{out}/{version}/{name}")
 
     tables = {"facility": store("facility", clean_facility(bronze))}
     fac = tables["facility"]
@@ -64,10 +95,13 @@ def refresh_directory(spark: SparkSession, bronze: DataFrame, pins: DataFrame, o
     tables["pin_geo"] = store("pin_geo", OC.pin_defanout(pins))
     silver = store("facility_validated", OG.validate_internal(fac))
     tables["facility_validated"] = silver
-    empty = silver.select("facility_id", *[
-        F.lit(None).cast(t).alias(c) for c, t in OG.GEOCODE_COLUMNS.items()]).limit(0)
+    if geocodes is not None:
+        checked = OG.validate_geocode(silver, geocodes)
+    else:
+        checked = spark.createDataFrame([], ", ".join(
+            ["facility_id string", *(f"{c} {t}" for c, t in OG.GEOCODE_COLUMNS.items())]))
     tables["facility_geo"] = store(
-        "facility_geo", OG.final_geo_valid(OG.merge_geocode(silver, empty)))
+        "facility_geo", OG.final_geo_valid(OG.merge_geocode(silver, checked)))
     docs = search_documents(bronze, fac)
     new = OS.batch_embed(docs, known=known_vectors)
     if known_vectors is not None:
@@ -75,4 +109,9 @@ def refresh_directory(spark: SparkSession, bronze: DataFrame, pins: DataFrame, o
         kept = known_vectors.join(current, ["facility_id", "doc_hash"], "left_semi")
         new = kept.select("facility_id", "doc_hash", "embedding").unionByName(new)
     tables["facility_vec"] = store("facility_vec", new)
+    seq = 1
+    if previous:
+        seq += spark.read.parquet(f"{out}/versions").agg(F.max("seq")).first()[0]
+    spark.createDataFrame([(seq, version)], "seq long, version string").write.mode(
+        "append").parquet(f"{out}/versions")
     return tables

@@ -36,19 +36,23 @@ def _joined(c):
 
 
 @query("batch_embed", f"""
-    WITH docs AS (SELECT b.c_custkey || '-' || copy AS facility_id, concat_ws(' ', name,
+    WITH docs AS (SELECT b.c_custkey || '-' || copy || '-' || coalesce(doc_id, -1) AS facility_id, concat_ws(' ', name,
       {_joined('specialties')}, {_joined('procedure')}, {_joined('capability')},
       coalesce(description,''), coalesce(text,'')) AS doc
-      FROM bronze_all b LEFT JOIN documents ON doc_id=c_custkey), {WORDS}
+      FROM bronze_all b LEFT JOIN (SELECT *, doc_id % (SELECT count(*) FROM customer) AS k
+      FROM documents) ON k=c_custkey), {WORDS}
     SELECT facility_id, sha256(doc) AS doc_hash, coalesce(filled, 0) AS filled,
       coalesce(weighted, 0) AS weighted, coalesce(squares, 0) AS squares
     FROM docs LEFT JOIN vec USING (facility_id)""", "bronze_all")
 def batch_embed(d):
-    rows = d.bronze_all.join(d.base("documents").select(F.col("doc_id").alias("c_custkey"), "text"),
-                             "c_custkey", "left")
+    owners = d.base("customer").agg(F.count("*")).scalar()
+    texts = d.base("documents").select("doc_id", (F.col("doc_id") % owners).alias("c_custkey"),
+                                       "text")
+    rows = d.bronze_all.join(texts, "c_custkey", "left")
     parts = [F.col(c) for c in ("name", "specialties", "procedure", "capability", "description")]
     docs = rows.select(
-        F.concat_ws("-", F.col("c_custkey").cast("string"), F.col("copy").cast("string"))
+        F.concat_ws("-", F.col("c_custkey").cast("string"), F.col("copy").cast("string"),
+                    F.coalesce("doc_id", F.lit(-1)).cast("string"))
         .alias("facility_id"),
         F.concat_ws(" ", C.compose_search_document(*parts), F.coalesce("text", F.lit("")))
         .alias("doc"))
@@ -69,13 +73,16 @@ def batch_embed(d):
 
 
 @query("cosine_similarity", f"""
-    SELECT q.query_id, round(list_cosine_similarity({QV}, e.embedding::double[]), 3) AS similarity
-    FROM query_parts q JOIN embeddings e ON e.vec_id = cast(q.query_id AS bigint) % 500""",
+    SELECT q.query_id, vec_id, round(list_cosine_similarity({QV}, e.embedding::double[]), 3)
+      AS similarity
+    FROM embeddings e JOIN query_parts q
+      ON cast(q.query_id AS bigint) = e.vec_id % (SELECT count(*) FROM supplier)""",
        "query_parts")
 def cosine_similarity(d):
-    vec = d.base("embeddings").select((F.col("vec_id")).alias("v"), "embedding")
-    q = batch_queries(d).withColumn("v", F.col("s_suppkey") % 500)
-    return q.join(vec, "v").select("query_id", F.round(
+    asked = d.base("supplier").agg(F.count("*")).scalar()
+    vec = d.base("embeddings").select("vec_id", "embedding", (F.col("vec_id") % asked)
+                                      .alias("s_suppkey"))
+    return batch_queries(d).join(vec, "s_suppkey").select("query_id", "vec_id", F.round(
         V.cosine_similarity(F.col("qv"), F.col("embedding")), 3).alias("similarity"))
 
 

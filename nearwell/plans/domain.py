@@ -55,7 +55,17 @@ TABLES: dict[str, tuple[list[str], str]] = {
         FROM located"""),
     "facility_vec": ([], """
         SELECT cast(c_custkey AS string) AS facility_id, embedding
-        FROM {customer} JOIN {embeddings} ON vec_id = c_custkey % 500"""),
+        FROM (SELECT c_custkey, c_custkey % (SELECT count(*) FROM {embeddings}) AS v FROM {customer}) c
+        JOIN {embeddings} ON vec_id = v
+        UNION ALL
+        SELECT cast(vec_id AS string) AS facility_id, embedding FROM {embeddings}
+        WHERE vec_id >= (SELECT count(*) FROM {customer})"""),
+    # every customer has a part and every part a customer, whichever table is longer
+    "listed_part": ([], """
+        SELECT c_custkey AS owner, p_partkey, p_name, p_brand, p_type
+        FROM (SELECT c_custkey, c_custkey % (SELECT count(*) FROM {part}) AS k FROM {customer}) c
+        JOIN (SELECT p_partkey, p_name, p_brand, p_type,
+                p_partkey % (SELECT count(*) FROM {customer}) AS k FROM {part}) p ON c.k = p.k"""),
     "facility_geo": ([], """
         SELECT cast(c_custkey AS string) AS facility_id,
           c_custkey % 13 <> 0 AND c_custkey % 29 <> 0 AS geo_valid
@@ -105,8 +115,8 @@ TABLES: dict[str, tuple[list[str], str]] = {
                     || '-1' || cast(c_custkey % 10 AS string) END AS recency_of_page_update
         FROM located"""),
     # JSON columns: repeated, padded, blank, null and malformed elements
-    "bronze_facility": (["bronze_once"], """
-        SELECT b.*, 0 AS copy,
+    "bronze_facility": (["bronze_once", "listed_part"], """
+        SELECT b.*, cast(2 * p_partkey AS int) AS copy,
           '["' || p_brand || '"," ' || p_brand || ' ","' || p_type || '",null,""]' AS specialties,
           CASE WHEN c_custkey % 15 = 0 THEN '[oops' WHEN c_custkey % 15 = 1 THEN NULL
                WHEN c_custkey % 15 = 2 THEN '[]'
@@ -116,7 +126,7 @@ TABLES: dict[str, tuple[list[str], str]] = {
             || '"," ",null]' AS phone_numbers,
           '["https://a.example.org/' || cast(c_custkey % 40 AS string) || '","https://a.example.org/'
             || cast(c_custkey % 40 AS string) || '",""]' AS source_urls
-        FROM bronze_once b JOIN {part} ON p_partkey = c_custkey % 200"""),
+        FROM bronze_once b JOIN listed_part ON owner = c_custkey"""),
     # every facility is listed twice, with an older, missing or equal recency
     "bronze_all": (["bronze_facility"], """
         SELECT * FROM bronze_facility
@@ -127,7 +137,7 @@ TABLES: dict[str, tuple[list[str], str]] = {
           description,
           CASE WHEN c_custkey % 3 = 0 THEN recency_of_page_update WHEN c_custkey % 3 = 1 THEN NULL
                ELSE '2009-01-01' END AS recency_of_page_update,
-          1 AS copy, specialties, procedure, capability, phone_numbers, source_urls
+          copy + 1 AS copy, specialties, procedure, capability, phone_numbers, source_urls
         FROM bronze_facility"""),
     "pin_directory": ([], """
         SELECT CASE WHEN c_custkey % 19 = 0 THEN '12345' WHEN c_custkey % 23 = 0 THEN NULL
@@ -144,7 +154,7 @@ TABLES: dict[str, tuple[list[str], str]] = {
         SELECT facility_id,
           lat + CASE WHEN c_custkey % 2 = 0 THEN 0.3e0 ELSE 0.01e0 END AS glat,
           lng + 0.02e0 AS glng
-        FROM facility JOIN {supplier} ON c_custkey = s_suppkey * 5 WHERE lat IS NOT NULL"""),
+        FROM facility WHERE lat IS NOT NULL AND name NOT LIKE '%Dental%'"""),
     "search_query": ([], """
         SELECT cast(s_suppkey AS string) AS query_id, s_suppkey, p_name || ' procedure' AS need,
           8 + cast((c_nationkey * 113) % 280 AS double) / 10
@@ -156,15 +166,17 @@ TABLES: dict[str, tuple[list[str], str]] = {
           CASE WHEN s_suppkey % 5 = 1 THEN 'hospital' END AS type,
           CASE WHEN s_suppkey % 7 = 2 THEN 'public' END AS operator,
           cast(5 + s_suppkey % 16 AS int) AS lim
-        FROM {supplier} JOIN {customer} ON c_custkey = s_suppkey
-        JOIN {part} ON p_partkey = s_suppkey % 200"""),
+        FROM (SELECT s_suppkey, (s_suppkey * 197) % (SELECT count(*) FROM {part}) AS k FROM {supplier}) s
+        JOIN {customer} ON c_custkey = s_suppkey JOIN {part} ON p_partkey = k"""),
     # a query vector is the sum of three facility vectors
     "query_parts": ([], """
         SELECT cast(s_suppkey AS string) AS query_id, a.embedding AS ea, b.embedding AS eb,
           c.embedding AS ec
-        FROM {supplier} JOIN {embeddings} a ON a.vec_id = s_suppkey % 500
-        JOIN {embeddings} b ON b.vec_id = (s_suppkey * 7 + 13) % 500
-        JOIN {embeddings} c ON c.vec_id = (s_suppkey * 11 + 29) % 500"""),
+        FROM (SELECT s_suppkey, (s_suppkey * 3) % n AS i, (s_suppkey * 7 + 13) % n AS j,
+                (s_suppkey * 11 + 29) % n AS k
+              FROM (SELECT s_suppkey, (SELECT count(*) FROM {embeddings}) AS n FROM {supplier}) t) s
+        JOIN {embeddings} a ON a.vec_id = i JOIN {embeddings} b ON b.vec_id = j
+        JOIN {embeddings} c ON c.vec_id = k"""),
     "registry": (["facility"], """
         SELECT cast(s_suppkey AS string) AS row_id, s_suppkey,
           CASE s_suppkey % 3 WHEN 0 THEN 'PMJAY' WHEN 1 THEN 'NABH' ELSE 'HFR' END AS source,
@@ -176,7 +188,8 @@ TABLES: dict[str, tuple[list[str], str]] = {
           CASE WHEN s_suppkey % 2 = 0 THEN 'Public' ELSE 'Private' END AS facility_type,
           CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE 'Dialysis;Cardiology' END AS services,
           s_suppkey % 3 = 1 AS accredited
-        FROM {supplier} JOIN facility f ON f.c_custkey = s_suppkey * 7"""),
+        FROM (SELECT s_suppkey, (s_suppkey * 1009) % (SELECT count(*) FROM {customer}) AS k
+              FROM {supplier}) s JOIN facility f ON f.c_custkey = k"""),
     "message": ([], """
         SELECT cast(event_id AS string) AS message_id, event_id, user_id,
           CASE WHEN event_id % 13 = 0 THEN need || ' please'
@@ -268,15 +281,16 @@ TABLES: dict[str, tuple[list[str], str]] = {
           nullif(min(l_linenumber), 3) AS rank, min(l_quantity) AS distance_km,
           min(l_discount) AS score, min(l_linestatus) AS match_reason, cast(NULL AS string) AS note,
           'candidate' AS status, cast(min(l_shipdate) AS timestamp) AS added_at
-        FROM {lineitem} WHERE l_returnflag = 'A' GROUP BY l_orderkey, l_suppkey"""),
+        FROM {lineitem} GROUP BY l_orderkey, l_suppkey"""),
     "item_change": ([], """
-        SELECT cast(l_orderkey AS string) AS shortlist_id, cast(l_suppkey AS string) AS facility_id,
+        SELECT cast(l_orderkey AS string) AS shortlist_id,
+          CASE WHEN l_returnflag = 'N' THEN 'n' ELSE '' END || cast(l_suppkey AS string) AS facility_id,
           cast(l_linenumber AS bigint) * 100000000 + l_partkey AS seq,
           nullif(max(l_linenumber), 2) AS rank, max(l_quantity) AS distance_km,
           max(l_discount) AS score, max(l_linestatus) AS match_reason,
           cast(max(l_shipdate) AS timestamp) AS added_at
-        FROM {lineitem} WHERE l_returnflag <> 'A'
-        GROUP BY l_orderkey, l_suppkey, l_linenumber, l_partkey"""),
+        FROM {lineitem}
+        GROUP BY l_orderkey, l_suppkey, l_linenumber, l_partkey, l_returnflag"""),
     "item_patch": ([], """
         SELECT cast(l_orderkey AS string) AS shortlist_id, cast(l_suppkey AS string) AS facility_id,
           cast(l_linenumber AS bigint) * 100000000 + l_partkey AS seq,

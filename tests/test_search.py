@@ -95,18 +95,23 @@ def test_exact_radius_is_inside(spark):
     assert OG.radius_search(q.filter("query_id='out'"), fac).count() == 0
 
 
-def test_scan_paths_agree(world):
+def test_scan_blocks_are_exact(world, monkeypatch):
+    whole = OS.semantic_scan(world["queries"], world["vec"], 40)
     cols = ["query_id", "rank", "facility_id", "similarity"]
-    small = OS.semantic_scan(world["queries"], world["vec"], 40)
-    large = OS.semantic_scan(world["queries"], world["vec"], 40, max_broadcast=2)
-    a, b = ({tuple(r[c] for c in cols) for r in df.collect()} for df in (small, large))
-    assert a == b and len(a) == 9 * 40
-
-
-def test_limit_above_bound_is_an_error(world):
-    too_many = world["queries"].withColumn("limit", F.lit(51))
-    with pytest.raises(Exception, match="limit is above 50"):
-        OS.search_pairs(too_many, world["fac"], world["vec"], None).collect()
+    a = {tuple(r[c] for c in cols) for r in whole.collect()}
+    monkeypatch.setattr(OS, "PLACE_ROWS", 50)
+    monkeypatch.setattr(OS, "QUERY_ROWS", 2)
+    cut = OS.semantic_scan(world["queries"], world["vec"], 40)
+    assert a == {tuple(r[c] for c in cols) for r in cut.collect()} and len(a) == 9 * 40
+
+
+def test_every_query_has_its_own_limit(world):
+    wide = world["queries"].withColumn("limit", F.when(F.col("query_id") == "q1", 51).otherwise(1))
+    rows = OS.search_pairs(wide, world["fac"], world["vec"], None).collect()
+    top = {}
+    for r in rows:
+        top[r.query_id] = max(top.get(r.query_id, 0), r["rank"])
+    assert all(n == 1 for q, n in top.items() if q != "q1")
 
 
 def test_overfetch_floor_order(spark):
