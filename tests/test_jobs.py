@@ -43,6 +43,49 @@ def test_refresh_then_ask(spark):
         assert r.similarity >= 0.4 and r.evidence_confidence in ("listed", "weak")
 
 
+def test_refreshes_into_one_folder_lose_no_vector(spark):
+    d = Domain(spark, SF)
+    out = scratch_path(spark, "versions")
+    assert build.open_directory(spark, out) == {}
+    bronze = d.bronze_all.drop("c_custkey", "copy")
+    first = build.refresh_directory(spark, bronze, d.pin_directory, out, geocodes=d.geocode_result)
+    assert first["facility_geo"].where("NOT geo_valid").count() > 0
+    changed = bronze.withColumn("description", F.when(
+        F.col("unique_id").endswith("3"), F.lit("changed")).otherwise(F.col("description")))
+    for rows in (changed, changed.where("unique_id <> '14'"), bronze):
+        tables = build.refresh_directory(spark, rows, d.pin_directory, out)
+        fac, vec = tables["facility"], tables["facility_vec"]
+        assert vec.count() == fac.count() > 0
+        assert vec.join(fac, "facility_id", "left_anti").count() == 0
+    again = build.open_directory(spark, out)
+    a, b = ({(r.facility_id, r.doc_hash, tuple(r.embedding)) for r in t["facility_vec"].collect()}
+            for t in (first, again))
+    assert a == b
+
+
+def test_requests_have_filters_of_their_own(spark):
+    d = Domain(spark, SF)
+    kinds = ["hospital", "clinic", "dentist", "doctor", "pharmacy", None]
+    messages = spark.createDataFrame(
+        [(str(k), "Eye checkup near NATION_2", None, None, k, 500.0, 2 if k else 40) for k in kinds],
+        "message_id string, text string, device_lat double, device_lng double, type string, "
+        "radius_km double, limit int")
+    empty = spark.createDataFrame([], "message_id string, reply string")
+    badges = spark.createDataFrame([], "facility_id string, source string, verified boolean")
+    documents = d.facility.select("facility_id", F.lit("eye checkup").alias("doc"))
+    terms = d.capability_term.withColumn("kind", F.lit("capability"))
+    _, hits = ask.answer_batch(
+        messages, empty, empty.withColumnRenamed("message_id", "query_id"), d.facility,
+        OS.batch_embed(documents), d.facility_geo, terms, d.procedure_term, badges)
+    found = {}
+    for r in hits.join(d.facility.select("facility_id", F.col("facility_type").alias("k")),
+                       "facility_id").collect():
+        found.setdefault(r.query_id, []).append(r.k)
+    every = found.pop("None")
+    assert len(set(every)) > 1 and len(every) > 2 and found
+    assert all(set(k) == {q} and len(k) <= 2 for q, k in found.items())
+
+
 def test_stream_drops_rows_later_than_the_watermark(spark):
     path = scratch_path(spark, "late")
     schema = "kind string, tokens long, created_at timestamp"
