@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearwell import constants as K
-from nearwell.functions.cleaning import split_services
+from nearwell.functions.cleaning import split_services, unescape_html
 from nearwell.functions.similarity import gram_codes, gram_similarity
 from nearwell.operators.skew import first_row
 from nearwell.session import spread
@@ -72,10 +72,10 @@ def name_pairs(reg: DataFrame, fac: DataFrame, pin_thr: float = K.PIN_THRESHOLD,
         df = df.withColumn("prefix", F.coalesce(F.transform(
             F.slice(F.sort_array(F.transform("grams", place)), F.lit(1),
                     (n - F.ceil(t * n - 1e-6) + 1).cast("int")), lambda x: x["g"]), none))
-        return spread(df.select(
+        # left to the join's own exchange, so that a hot block and gram can be split
+        return df.select(
             "kind", "block", F.col("name").alias(f"{side}name"), F.col("grams").alias(f"{side}grams"),
-            F.col("prefix").alias(f"{side}prefix"), F.explode_outer("prefix").alias("gram")),
-            "kind", "block", "gram")
+            F.col("prefix").alias(f"{side}prefix"), F.explode_outer("prefix").alias("gram"))
 
     met = prefixes(fnames, "f").join(prefixes(rnames, "r"), ["kind", "block", "gram"])
     nf, nr = F.array_size("fgrams"), F.array_size("rgrams")
@@ -138,17 +138,14 @@ def verification_summary(verification: DataFrame) -> DataFrame:
 def extract_listing_links(pages: DataFrame, prefix: str = K.LISTING_HREF_PREFIX) -> DataFrame:
     """(page_id, pos, district, url) of anchors labelled '<District> (PDF ...'.
 
-    Tags are stripped, blanks collapsed, and the entities that can stand in such a label decoded.
+    Tags are stripped, entities decoded, and blanks collapsed.
     """
     anchor = rf'(?is)<a[^>]+href="({prefix}[^"]+\.pdf)"[^>]*>(.*?)</a>'
     found = pages.select("page_id", F.posexplode(F.arrays_zip(
         F.regexp_extract_all("html", F.lit(anchor), F.lit(1)).alias("url"),
         F.regexp_extract_all("html", F.lit(anchor), F.lit(2)).alias("label"))).alias("pos", "a"))
     label = F.regexp_replace(F.col("a.label"), r"<[^>]+>", "")
-    label = F.regexp_replace(label, r"(?i)&(nbsp|#160|#xa0);", " ")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-                         ("&#40;", "("), ("&#41;", ")"), ("&amp;", "&")):
-        label = F.replace(label, F.lit(entity), F.lit(char))
+    label = F.translate(unescape_html(label), "\u00a0", " ")
     label = F.trim(F.regexp_replace(label, r"\s+", " "))
     district = F.trim(F.regexp_extract(label, r"^([A-Za-z][A-Za-z .]+?)\s*\(PDF", 1))
     return found.select("page_id", "pos", district.alias("district"),

@@ -126,3 +126,15 @@ def test_presentation(spark):
     users = values(spark, "e string", [(None,), ("local-dev",), ("a@b",)],
                    P.pseudonymize_user(F.col("e"), "s"))
     assert users[0] == users[1] != users[2] and len(users[2]) == 34
+
+
+def test_unescape_html(spark):
+    from html import unescape
+
+    from nearwell.functions.cleaning import unescape_html
+    texts = ["", "plain & simple; &", "a&amp;#39;b &#39;&#x27; &lt;b&gt; &eacute;&nbsp;&hearts;&unknown;",
+             "&#128512;&#x1F600; &amp;amp;", "&amp", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r[0]: r[1] for r in df.select("i", unescape_html(df.t)).collect()}
+    assert got == {i: None if t is None else (t if t == "&amp" else unescape(t))
+                   for i, t in enumerate(texts)}
