@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nearwell import constants as K
 from nearwell.functions.messages import emergency_flag
 from nearwell.operators.search import search_facilities
+from nearwell.operators.sessions import archive_rollup
 from nearwell.operators.shortlists import upsert_items
 
 
@@ -26,6 +27,24 @@ def stream_idle_sessions(turns: DataFrame, gap: str = f"{K.IDLE_MINUTES} minutes
                     "last_activity_at", F.col("w.end").alias("closed_at"), "turn_count"))
 
 
+def stream_archive(conversations: DataFrame, turns: DataFrame, path: str,
+                   ) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch writer of archive rows for the sessions that ``stream_idle_sessions`` closes.
+
+    ``conversations`` and ``turns`` are the stored tables, read anew for every batch. A batch has a
+    folder of its own under ``path``, so a replayed one replaces what it wrote before.
+    """
+    def write(closed: DataFrame, batch_id: int) -> None:
+        ids = closed.groupBy("conversation_id").agg(F.max("closed_at").alias("closed_at"))
+        edge = ids.agg(F.max("closed_at")).first()[0]
+        if edge is not None:
+            gone = conversations.join(ids.select("conversation_id"), "conversation_id", "left_semi")
+            archive_rollup(gone, turns, edge).write.mode("overwrite").parquet(
+                f"{path}/batch={batch_id}")
+
+    return write
+
+
 def stream_usage_rollup(events: DataFrame, width: str = "1 hour",
                         delay: str = "10 minutes") -> DataFrame:
     """Calls and tokens per kind per tumbling window; rows later than the watermark are dropped."""
