@@ -81,6 +81,7 @@ def _content(flat: np.ndarray, ends: np.ndarray, salt: int) -> np.ndarray:
 
 
 def _shared(bitmap: np.ndarray):
+    """Extracts under the grams of the bitmap, each with a hash of its content."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             data, offsets = text_bytes(batch.column("text"))
@@ -88,14 +89,30 @@ def _shared(bitmap: np.ndarray):
             keep = in_bitmap(bitmap, slot_of(key.view(np.int64), np.zeros(1, np.int64)))
             key, doc, first, count = key[keep], doc[keep], first[keep], count[keep]
             flat, ends = _slices(data, offsets[doc] + first, count + LENGTH - 1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)), pa.array(_content(flat, ends, 20).view(np.int64)),
+                 batch.column("doc_id").take(pa.array(doc)), pa.array(first.astype(np.int32)),
+                 pa.array(count, pa.int32())],
+                ["key", "h", "doc_id", "first", "count"])
+    return run
+
+
+def _contents(bitmap: np.ndarray):
+    """The bytes of the extracts whose document and start are in the bitmap."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            data, offsets = text_bytes(batch.column("text"))
+            key, doc, first, count = extracts(data, offsets)
+            ids = batch.column("doc_id").to_numpy()[doc]
+            keep = in_bitmap(bitmap, slot_of(ids, first))
+            key, doc, first, count = key[keep], doc[keep], first[keep], count[keep]
+            flat, ends = _slices(data, offsets[doc] + first, count + LENGTH - 1)
             content = pa.Array.from_buffers(pa.binary(), len(key), [
                 None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key.view(np.int64)), pa.array(_content(flat, ends, 20).view(np.int64)),
-                 pa.array(_content(flat, ends, 30).view(np.int64)),
-                 batch.column("doc_id").take(pa.array(doc)), pa.array(first),
-                 pa.array(count, pa.int32()), content],
-                ["key", "h1", "h2", "doc_id", "first", "count", "content"])
+                 pa.array(ids[keep]), pa.array(first.astype(np.int32)), content],
+                ["key", "h", "doc_id", "first", "content"])
     return run
 
 
@@ -147,7 +164,6 @@ def equal_strings(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndar
 
 def _block(table: pa.Table) -> pa.Table:
     """Runs of string starts of a block's extracts that are not the first of their group."""
-    data, ends = (np.empty(0, np.uint8), np.zeros(1, np.int64))
     column = table.column("content").combine_chunks().cast(pa.large_binary())
     ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2], np.uint8)[ends[0]:ends[-1]]
@@ -165,7 +181,8 @@ def _block(table: pa.Table) -> pa.Table:
     chosen = inside[order]
     order, group = order[chosen], group[chosen]
     doc = table.column("doc_id").to_numpy()[owner[order]]
-    start = table.column("first").to_numpy()[owner[order]] + order - begin[owner[order]]
+    first = table.column("first").to_numpy().astype(np.int64)
+    start = first[owner[order]] + order - begin[owner[order]]
     by = np.lexsort((start, doc, group))
     first = np.append(True, group[by][1:] != group[by][:-1])
     doc, start = doc[by][~first], start[by][~first]
@@ -202,30 +219,35 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """(doc_id, low, high): runs of starts of strings that also start earlier; runs may overlap.
 
-    Earlier is a smaller doc_id, or the same one and a smaller start. Equal extracts are told by two
-    64-bit hashes. Rows with a null doc_id are left out.
+    Earlier is a smaller doc_id, or the same one and a smaller start. Extracts are told to be equal
+    by their gram's and their content's 64-bit hashes together. Rows with a null doc_id are left out.
     """
     source = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
     keys = source.mapInArrow(_keys, "key long").groupBy("key").count().where("count > 1")
     bitmap = bitmap_of(keys.select("key", F.lit(0).alias("part")), "key", "part")
-    found = materialize(source.mapInArrow(_shared(bitmap), "key long, h1 long, h2 long, doc_id long, "
-                                          "first long, count int, content binary"), "extracts")
-    same = ["key", "h1", "h2"]
+    found = materialize(source.mapInArrow(
+        _shared(bitmap), "key long, h long, doc_id long, first int, count int"), "extracts")
+    same = ["key", "h"]
     firsts = materialize(found.groupBy(*same).agg(
-        F.min(F.struct("doc_id", "first")).alias("r"), F.max("count").alias("count")), "firsts")
-    later = found.select(*same, "doc_id", "first", "count").join(
-        firsts.select(*same, "r"), same).where(
+        F.min(F.struct("doc_id", "first")).alias("r"), F.max("count").alias("count"),
+        F.count("*").alias("copies")), "firsts")
+    later = found.join(firsts.where("copies > 1").select(*same, "r"), same).where(
         F.struct("doc_id", "first") > F.col("r")).select(
-        "doc_id", F.col("first").alias("low"), (F.col("first") + F.col("count") - 1).alias("high"))
-    # one extract of each content, under grams that have several
+        "doc_id", F.col("first").cast("long").alias("low"),
+        (F.col("first") + F.col("count") - 1).cast("long").alias("high"))
+    # one extract of each content, under grams that have several; their bytes from another pass
     several = firsts.groupBy("key").agg(
         F.count("*").alias("n"), F.sum(F.col("count") + LENGTH).alias("bytes")).where("n > 1")
     several = materialize(several, "grams")
     total = several.where(F.col("n") <= BUSY).agg(F.sum("bytes")).first()[0] or 0
     blocks = max(1, -(-int(total) // BLOCK_BYTES))
-    chosen = firsts.join(several, "key").select(*same, "r.doc_id", "r.first", "n")
-    chosen = materialize(found.join(chosen, [*same, "doc_id", "first"]).dropDuplicates(
-        [*same, "doc_id", "first"]), "chosen")
+    chosen = materialize(firsts.join(several, "key").select(
+        *same, "r.doc_id", "r.first", "count", "n"), "chosen")
+    content = source.mapInArrow(
+        _contents(bitmap_of(chosen.select("doc_id", "first"), "doc_id", "first")),
+        "key long, h long, doc_id long, first int, content binary")
+    where = [*same, "doc_id", "first"]
+    chosen = materialize(content.join(chosen, where).dropDuplicates(where), "contents")
     inside = chosen.where(F.col("n") <= BUSY).withColumn(
         "block", F.pmod(F.xxhash64("key"), F.lit(blocks))).select(
         "block", "doc_id", "first", "count", "content").groupBy("block").applyInArrow(_block, RUNS)
