@@ -112,8 +112,16 @@ def fit(toxic: list[str], ordinary: list[str], share: float) -> Model | None:
     if not toxic or not ordinary:
         return None
     bad, good = _word_counts(toxic), _word_counts(ordinary)
-    marks = sorted(w for w, n in bad.items() if w and n >= max(2, 0.01 * len(toxic))
-                   and n / len(toxic) >= 10 * (good[w] + 0.5) / len(ordinary))
+    likely = {w for w, n in bad.items() if w and n >= max(3, 0.01 * len(toxic))
+              and n / len(toxic) >= 10 * (good[w] + 0.5) / len(ordinary)}
+    # words of passages that texts copy from each other always have the same neighbours
+    around: dict[str, list] = {w: [] for w in likely}
+    for text in toxic:
+        words = ["", *(w.strip(TRIM) for w in text.lower().split()), ""]
+        for i, w in enumerate(words):
+            if w in likely:
+                around[w].append((words[i - 1], words[i + 1]))
+    marks = sorted(w for w, near in around.items() if len(set(near)) >= 0.7 * len(near))
     rows = np.random.default_rng(0)
     cut = -len(FILLER)
     plain = [w[:cut] for t in ordinary for w in windows(t, 4)]
