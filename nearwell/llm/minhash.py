@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearwell.llm.columns import bind, shingle_set, words_of
+from nearwell.llm.bitmap import bitmap_of, in_bitmap, slot_of
 from nearwell.llm.components import components
 from nearwell.llm.hashing import Words, chunks, mix, shingles
 from nearwell.session import materialize
@@ -114,6 +114,28 @@ def sketch(docs: DataFrame, slots: int = SLOTS, band: int = BAND) -> DataFrame:
         _sketch(slots, band), "doc_id long, digest binary, bands array<bigint>")
 
 
+def _sets(bitmap: np.ndarray):
+    """The distinct shingles of the documents in the bitmap."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            wanted = batch.filter(pa.array(in_bitmap(bitmap, slot_of(ids, np.zeros(1, np.int64)))))
+            for part in chunks([wanted]):
+                hashes, bounds = shingles(Words(part.column("text")))
+                owner = np.repeat(np.arange(part.num_rows), np.diff(bounds))
+                order = np.lexsort((hashes, owner))
+                hashes, owner = hashes[order], owner[order]
+                new = np.append(True, (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1]))
+                new = new[:len(hashes)]
+                ends = np.concatenate(([0], np.cumsum(np.bincount(owner[new],
+                                                                  minlength=part.num_rows))))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), pa.ListArray.from_arrays(
+                        pa.array(ends, pa.int32()), pa.array(hashes[new].view(np.int64)))],
+                    ["id", "items"])
+    return run
+
+
 def _tested(pairs: DataFrame, sets: DataFrame, similarity: float, extra: int = 0) -> DataFrame:
     """The pairs (a, b), whether their shingle sets are as similar as asked for, and, if ``extra``,
     keys for what b has besides a: its first shingles in hash order, and its size to within a tenth
@@ -158,10 +180,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, slots: int
     # the member that shares buckets with most others stands in the middle of its group
     weight = shared.groupBy("id").agg(F.sum("size").alias("weight"))
     shared = materialize(shared.join(weight, "id").select("bucket", "id", "weight"), "shared")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(
-        shared.select("id").distinct(), "id", "left_semi")
-    sets = materialize(texts.groupBy("id").agg(F.max("text").alias("text")).select(
-        "id", bind(words_of(F.col("text")), shingle_set).alias("items")), "sets")
+    # shingle sets of those documents alone, from another pass: no text is shuffled
+    wanted = bitmap_of(shared.select("id", F.lit(0).alias("part")).distinct(), "id", "part")
+    sets = materialize(docs.where("doc_id IS NOT NULL").select(
+        F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(
+        _sets(wanted), "id long, items array<bigint>"), "sets")
 
     centre = shared.groupBy("bucket").agg(
         F.max_by("id", F.struct("weight", -F.col("id"))).alias("a"))
