@@ -180,10 +180,10 @@ def grid_blocks(queries: DataFrame, places: DataFrame, cell_deg: float = CELL_DE
               .join(asked.groupBy("cy", "cx").agg(F.count("*").alias("nq")), ["cy", "cx"])
               .select("cy", "cx", F.ceil(F.col("np") / place_rows).alias("pps"),
                       F.ceil(F.col("nq") / query_rows).alias("qps")))
-    here = (here.join(F.broadcast(counts), ["cy", "cx"])
+    here = (here.join(counts, ["cy", "cx"])
             .withColumn("pp", F.pmod(F.xxhash64("facility_id"), F.col("pps")))
             .withColumn("qp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qps") - 1))))
-    asked = (asked.join(F.broadcast(counts), ["cy", "cx"])
+    asked = (asked.join(counts, ["cy", "cx"])
              .withColumn("qp", F.pmod(F.xxhash64("query_id"), F.col("qps")))
              .withColumn("pp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pps") - 1))))
     return asked.drop("pps", "qps"), here.drop("pps", "qps")

@@ -62,7 +62,7 @@ def stage_registry(d):
 def full_refresh_sink(d):
     path = scratch_path(d.spark, "facility")
     fac = d.facility.select("facility_id", "name", "lat", "lng", "beds")
-    sinks.full_refresh_sink(fac.limit(1), path)
+    sinks.full_refresh_sink(fac.withColumn("beds", F.lit(0)), path)  # what the refresh replaces
     sinks.full_refresh_sink(fac, path)
     return d.spark.read.parquet(path)
 
@@ -83,8 +83,9 @@ def silver_ctas(d):
        "usage_event")
 def append_event_log(d):
     path = scratch_path(d.spark, "usage")
-    for half in (0, 1):
-        sinks.append_event_log(d.usage_event.filter(F.col("event_id") % 2 == half), path)
+    even = (F.col("event_id") % 2).eqNullSafe(0)
+    for part in (even, ~even):
+        sinks.append_event_log(d.usage_event.filter(part), path)
     return d.spark.read.parquet(path).select("event_id", "kind", "tokens", micros("created_at"))
 
 
@@ -119,7 +120,8 @@ def append_dialogue(d):
     filled = sinks.fill_dialogue_defaults(
         d.turn, AS_OF, ["conversation_id", "turn_no"], "turn_id",
         {"lang": "en", "created_at": "as_of", "loaded_at": "as_of"})
-    for role in ("user", "assistant", "system"):
-        sinks.append_dialogue(filled.filter(F.col("role") == role), path)
+    asked = F.col("role").eqNullSafe("user")
+    for part in (asked, ~asked):
+        sinks.append_dialogue(filled.filter(part), path)
     return d.spark.read.parquet(path).select(
         "turn_id", "conversation_id", "turn_no", "lang", micros("created_at"), micros("loaded_at"))
