@@ -7,11 +7,10 @@ which is the plain Jaccard similarity where no shingle repeats. Arrivals are gen
 of time only up to the time by which all slots are filled, so long documents cost little more than
 one number per shingle.
 
-Groups stay cheap however large: exact copies are one representative, and a bucket compares its
-members with its most central one only. Texts that are near each other but not near that centre
-differ from it in the same way, so where some member isn't near its centre, members are compared once
-more along the shingles that they have and the centre lacks (the smallest ``EXTRA`` of them by hash;
-those that merely leave shingles out, by size), again each with a centre or two per shingle.
+Exact copies are one representative. A bucket first compares its members with its most central one;
+where members then are in different classes, those outside the bucket's largest class meet all others
+in blocks, so that every pair of a bucket is tested or already in one class. A block counts what its
+sets share by matrix products; no pairs are shuffled.
 """
 
 from __future__ import annotations
@@ -31,7 +30,10 @@ from nearwell.session import materialize
 SLOTS = 64
 BAND = 4
 SIMILARITY = 0.8
-EXTRA = 24
+#: Bounds on the sets, and on their shingles, that one part of a block is expected to hold.
+PART_ROWS = 1024
+PART_ITEMS = 1 << 20
+COLUMNS = 4096
 
 
 def _exponential(keys: np.ndarray, salt: int) -> np.ndarray:
@@ -136,23 +138,115 @@ def _sets(bitmap: np.ndarray):
     return run
 
 
-def _tested(pairs: DataFrame, sets: DataFrame, similarity: float, extra: int = 0) -> DataFrame:
-    """The pairs (a, b), whether their shingle sets are as similar as asked for, and, if ``extra``,
-    keys for what b has besides a: its first shingles in hash order, and its size to within a tenth
-    where it has little else than part of a."""
+def _near(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets are as similar as asked for."""
     one = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
     two = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    near = both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)
-    tested = pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y", near.alias("near"))
-    if not extra:
-        return tested.select("a", "b", "near")
-    other = F.array_except("y", "x")
-    step = F.floor(F.log(F.size("y").cast("double")) / F.log(F.lit(1.1)))
-    sizes = F.when(F.size(other) <= F.lit(1 - similarity) * F.size("y"),
-                   F.array(step, step + 1)).otherwise(F.array().cast("array<bigint>"))
-    return tested.select("a", "b", "near", F.concat(
-        F.slice(F.sort_array(other), 1, extra), sizes).alias("keys"))
+    return pairs.join(one, "a").join(two, "b").where(
+        both >= F.lit(similarity) * (F.size("x") + F.size("y") - both)).select("a", "b")
+
+
+def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of the ``left`` sets has in common with each of the ``right`` ones."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    known = np.intersect1d(np.concatenate(left), np.concatenate(right))
+
+    def coded(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        flat = np.concatenate(sets)
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        code = np.searchsorted(known, flat)
+        code[code == len(known)] = 0
+        hit = known[code] == flat
+        row, code = row[hit], code[hit]
+        order = np.argsort(code, kind="stable")
+        return row[order], code[order]
+
+    if not len(known):
+        return out
+    sides = [(len(s), *coded(s)) for s in (left, right)]
+    for begin in range(0, len(known), COLUMNS):
+        width = min(COLUMNS, len(known) - begin)
+        grids = []
+        for n, row, code in sides:
+            lo, hi = np.searchsorted(code, (begin, begin + width))
+            grid = np.zeros((n, width), np.float32)
+            grid[row[lo:hi], code[lo:hi] - begin] = 1
+            grids.append(grid)
+        out += (grids[0] @ grids[1].T).astype(np.int64)
+    return out
+
+
+def _block_links(similarity: float):
+    """Links between the classes of a block; those that join classes joined already are left out."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        side = table["side"].to_numpy()
+        ids, classes = table["id"].to_numpy(), table["class_id"].to_numpy()
+        lists = table["items"].chunk(0)
+        flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()
+        parts = [np.flatnonzero(side == k) for k in (0, 1)]
+        links: list[tuple[int, int]] = []
+        if len(parts[0]) and len(parts[1]):
+            count = shared_counts(*([flat[at[i]:at[i + 1]] for i in part] for part in parts))
+            size = np.diff(at)
+            total = size[parts[0]][:, None] + size[parts[1]][None, :] - count
+            near = (count >= similarity * total) & (
+                classes[parts[0]][:, None] != classes[parts[1]][None, :])
+            x, y = (part[k] for part, k in zip(parts, np.nonzero(near)))
+            _, first = np.unique(np.column_stack((classes[x], classes[y])), axis=0,
+                                 return_index=True)
+            above: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while above.get(c, c) != c:
+                    above[c] = c = above.get(above[c], above[c])
+                return c
+
+            for i in first.tolist():
+                one, two = root(int(classes[x[i]])), root(int(classes[y[i]]))
+                if one != two:
+                    above[one] = two
+                    links.append((int(ids[x[i]]), int(ids[y[i]])))
+        a, b = zip(*links) if links else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return run
+
+
+def _rest(members: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) among ``members`` (bucket, id) that are in different classes so far.
+
+    Of each bucket, members outside its largest class (side 0) meet all members (side 1). Both sides
+    are dealt into parts, and a block is a part of one side with a part of the other.
+    """
+    sizes = sets.groupBy("id").agg(F.max(F.size("items")).alias("items"))
+    named = members.join(classes, "id", "left").join(sizes, "id").select(
+        "bucket", "id", F.coalesce("class_id", "id").alias("class_id"), "items")
+    named = materialize(named, "named")
+    by_class = named.groupBy("bucket", "class_id").agg(
+        F.count("*").alias("rows"), F.sum("items").alias("items"))
+    total = by_class.groupBy("bucket").agg(
+        F.max_by("class_id", F.struct("rows", "class_id")).alias("main"),
+        F.max(F.struct("rows", "class_id", "items")).alias("top"), F.count("*").alias("classes"),
+        F.sum("rows").alias("rows"), F.sum("items").alias("items")).where("classes > 1")
+
+    def parts(rows, items):
+        return F.greatest(F.ceil(rows / PART_ROWS), F.ceil(items / PART_ITEMS)).cast("int")
+
+    total = total.select("bucket", "main", parts(
+        F.col("rows") - F.col("top.rows"), F.col("items") - F.col("top.items")).alias("lefts"),
+        parts(F.col("rows"), F.col("items")).alias("rights"))
+    split = named.drop("items").join(total, "bucket")
+    salt = F.xxhash64("id")
+    right = split.select("bucket", "id", "class_id", F.lit(1).alias("side"), F.explode(
+        F.sequence(F.lit(0), F.col("lefts") - 1)).alias("l"), F.pmod(salt, "rights").alias("r"))
+    left = split.where("class_id <> main").select(
+        "bucket", "id", "class_id", F.lit(0).alias("side"), F.pmod(salt, "lefts").alias("l"),
+        F.explode(F.sequence(F.lit(0), F.col("rights") - 1)).alias("r"))
+    columns = ["bucket", "l", "r", "id", "class_id", "side"]
+    blocks = left.select(columns).union(right.select(columns)).join(sets, "id")
+    return blocks.groupBy("bucket", "l", "r").applyInArrow(
+        _block_links(similarity), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, slots: int = SLOTS,
@@ -161,9 +255,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, slots: int
 
     Classes are connected components of pairs whose sets of five-word shingles have a Jaccard
     similarity of at least ``similarity``: with the defaults a pair at 0.8 meets in no band with a
-    probability of 0.0002. Of a bucket's pairs, those with its centre are all tested, and others as
-    the module says. A word is a run of characters other than
-    white space; a text of one to four words is one shingle. Documents with a null, empty or blank
+    probability of 0.0002. Every pair that meets in a band is tested, or in one class already. A word
+    is a run of characters other than white space; a text of one to four words is one shingle. Documents with a null, empty or blank
     text are classes of their own; rows with a null doc_id are left out; repeated rows of one doc_id
     count once (of different texts under one id all links hold). Other columns are ignored.
     """
@@ -189,21 +282,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, slots: int
     centre = shared.groupBy("bucket").agg(
         F.max_by("id", F.struct("weight", -F.col("id"))).alias("a"))
     pairs = shared.join(centre, "bucket").where("id <> a").select("a", F.col("id").alias("b"))
-    tested = materialize(_tested(pairs.distinct(), sets, similarity, EXTRA), "tested")
-    # centres with a member that isn't near; their members once more, by what sets them apart
-    loose = tested.where("NOT near").select("a").distinct()
-    apart = materialize(tested.join(loose, "a").select("a", F.col("b").alias("id"), F.explode(
-        "keys").alias("key")), "apart")
-    order = F.xxhash64("id", "key")
-    ends = apart.groupBy("a", "key").agg(
-        F.min_by("id", order).alias("low"), F.max_by("id", order).alias("high")).where("low <> high")
-    more = apart.join(ends, ["a", "key"]).select("id", F.explode(F.array("low", "high")).alias("c"))
-    more = more.where("id <> c").select(F.least("id", "c").alias("a"),
-                                        F.greatest("id", "c").alias("b")).distinct()
-    more = more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")),
-                     ["a", "b"], "left_anti")
-    links = tested.select("a", "b", "near").union(_tested(more, sets, similarity)).where("near")
-    classes = components(links.select("a", "b"))
+    links = materialize(_near(pairs.distinct(), sets, similarity), "near")
+    classes = materialize(components(links), "classes")
+    # pairs without the centre that its links leave in different classes
+    others = shared.join(centre, "bucket").where("id <> a").select("bucket", "id")
+    rest = materialize(_rest(others, classes, sets, similarity), "rest")
+    if not rest.isEmpty():
+        classes = components(links.union(rest))
 
     # classes of representatives, then of all documents: copies, and the smallest id among them
     near = copies.join(classes.withColumnRenamed("id", "rep"), "rep", "left").select(

@@ -55,6 +55,35 @@ def test_minhash_keeps_links_outside_the_centre(spark):
     assert got == brute.near_classes(texts)
 
 
+def test_minhash_links_pages_of_a_template_that_differ_in_one_block(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "PART_ROWS", 128)
+    rng = np.random.default_rng(8)
+    template = [f"t{i}" for i in range(280)]
+    blocks = [[f"b{k}_{i}" for i in range(40)] for k in range(50)]
+    chosen = [sorted(rng.choice(len(blocks), 4, replace=False)) for _ in range(1000)]
+    texts = [" ".join(template + [w for k in own for w in blocks[k]]) for own in chosen]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df).collect()}
+    sets = [set(brute.shingles(t)) for t in texts]
+    want = list(range(1000))
+    for i in range(1000):
+        for j in range(i):
+            # with fewer blocks in common they are far below the threshold
+            if len({*chosen[i]} & {*chosen[j]}) >= 3 and (
+                    len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])):
+                low, high = sorted((want[i], want[j]))
+                want = [low if c == high else c for c in want]
+    assert got == dict(enumerate(want)) and len(set(want)) > 50
+
+
+def test_shared_counts():
+    rng = np.random.default_rng(4)
+    left, right = ([np.unique(rng.integers(0, 9000, n)) for n in sizes]
+                   for sizes in ((0, 10, 6000), (3000, 0, 5, 8000)))
+    want = [[len(np.intersect1d(x, y)) for y in right] for x in left]
+    assert minhash.shared_counts(left, right).tolist() == want
+
+
 def test_signatures_estimate_probability_jaccard():
     n, slots = 400, 4096
     left, right = np.arange(1, n + 1), np.arange(101, n + 101)
