@@ -7,6 +7,10 @@ which is the plain Jaccard similarity where no shingle repeats. Arrivals are gen
 of time only up to the time by which all slots are filled, so long documents cost little more than
 one number per shingle.
 
+The plain Jaccard similarity of the shingle sets decides. Repeats of a line move the probability
+similarity but not the plain one, so documents that repeat a shingle are banded by both: by their
+weights, and with every weight 1, which for all other documents is the same signature.
+
 Exact copies are one representative. A bucket first compares its members with its most central one;
 where members then are in different classes, those outside the bucket's largest class meet all others
 in blocks, so that every pair of a bucket is tested or already in one class. A block counts what its
@@ -98,8 +102,20 @@ def _sketch(slots: int, band: int):
             counts = np.diff(np.append(start, len(hashes))).astype(np.float64)
             sig = signatures(hashes[start], counts, owner[start], batch.num_rows, slots)
             used = np.diff(bounds) > 0
-            keys = _bands(sig, band)[used].view(np.int64)
-            ends = np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32)
+            row = np.flatnonzero(used)
+            keys = _bands(sig, band)[row].view(np.int64)
+            # sets that repeat a shingle are banded once more, each shingle counted once
+            again = np.unique(owner[start][counts > 1])
+            if len(again):
+                own = np.isin(owner[start], again)
+                plain = signatures(hashes[start][own], np.ones(own.sum()), np.searchsorted(
+                    again, owner[start][own]), len(again), slots)
+                row = np.concatenate((row, again))
+                keys = np.concatenate((keys, _bands(plain, band).view(np.int64)))
+                order = np.argsort(row, kind="stable")
+                row, keys = row[order], keys[order]
+            ends = np.searchsorted(row, np.append(np.flatnonzero(used), batch.num_rows)).astype(
+                np.int32) * keys.shape[1]
             keep = pa.array(used)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").filter(keep), batch.column("digest").filter(keep),
@@ -254,10 +270,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, slots: int
     """(doc_id, class_id) of every document; class_id is the smallest doc_id of its class.
 
     Classes are connected components of pairs whose sets of five-word shingles have a Jaccard
-    similarity of at least ``similarity``: with the defaults a pair at 0.8 meets in no band with a
-    probability of 0.0002. Every pair that meets in a band is tested, or in one class already. A word
-    is a run of characters other than white space; a text of one to four words is one shingle. Documents with a null, empty or blank
-    text are classes of their own; rows with a null doc_id are left out; repeated rows of one doc_id
+    similarity of at least ``similarity``, however often a shingle occurs: with the defaults a pair
+    at 0.8 meets in no band with a probability of 0.0002. Every pair that meets in a band is tested,
+    or in one class already. A word is a run of characters other than white space; a text of one to
+    four words is one shingle. Documents with a null, empty or blank text are classes of their own;
+    rows with a null doc_id are left out; repeated rows of one doc_id
     count once (of different texts under one id all links hold). Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -267,7 +284,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, slots: int
     copies = materialize(book.join(first, "digest").select("doc_id", "rep").distinct(), "copies")
     members = materialize(
         book.groupBy("digest").agg(F.min(F.struct("doc_id", "bands")).alias("r"))
-        .select(F.col("r.doc_id").alias("id"), F.explode("r.bands").alias("bucket")), "members")
+        .select(F.col("r.doc_id").alias("id"),
+                F.explode(F.array_distinct("r.bands")).alias("bucket")), "members")
     sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     shared = materialize(members.join(sizes, "bucket"), "shared")
     # the member that shares buckets with most others stands in the middle of its group

@@ -76,6 +76,18 @@ def test_minhash_links_pages_of_a_template_that_differ_in_one_block(spark, monke
     assert got == dict(enumerate(want)) and len(set(want)) > 50
 
 
+def test_minhash_links_texts_that_only_repeat_a_line(spark):
+    rng = np.random.default_rng(9)
+    texts = {}
+    for i in range(0, 40, 2):
+        words = [f"w{x}" for x in rng.integers(0, 1 << 40, 104)]
+        texts[i] = " ".join(words)
+        texts[i + 1] = " ".join(words + words[:5] * 100)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(df).collect()}
+    assert got == brute.near_classes(texts) and len(set(got.values())) == 20
+
+
 def test_shared_counts():
     rng = np.random.default_rng(4)
     left, right = ([np.unique(rng.integers(0, 9000, n)) for n in sizes]
