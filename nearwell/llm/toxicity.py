@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, on windows of ordinary texts and on the passages that set
-toxic texts apart; the second also holds the first, so a window only compresses better with it where
+One zstandard dictionary is trained, on windows of ordinary texts. The other holds the same and a list
+of single words that a frequency ratio picks from toxic texts, so a window only compresses better where
 it resembles the toxic material. Every two-word window of a text is compressed with both. How far the
 lengths differ, and in how many windows by more than a calibrated threshold, goes through a logistic
 calibration to a score.
