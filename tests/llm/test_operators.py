@@ -169,6 +169,22 @@ def test_compact_windows(n, width, ties):
     assert sorted(zip(a.tolist(), c.tolist(), b.tolist())) == sorted(want)
 
 
+@pytest.mark.parametrize("size", [50, 60, 70, 80])
+def test_matching_spans_bridge_an_edit_at_every_position(size):
+    rng = np.random.default_rng(size)
+    whole = [f"p{i}" for i in range(size)]
+
+    def hashed(words):
+        return np.array([hash(g) for g in brute.shingles(" ".join(words))])
+
+    for at in range(size):
+        edited = whole[:at] + ["edited"] + whole[at + 1:]
+        noise = [f"n{x}" for x in rng.integers(0, 1 << 40, 80)]
+        mine = hashed(noise[:20] + edited + noise[20:40])
+        found = passages.matching_spans(mine, hashed(noise[40:60] + whole + noise[60:]), 46, 0.8)
+        assert found and all(r[3] >= 0.8 and r[1] - r[0] >= 46 for r in found)
+
+
 def test_passages_find_all_exact_and_edited_repeats(spark):
     rng = np.random.default_rng(5)
 
