@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearwell.llm import (decontaminate, minhash, packing, passages, quality, repeats, tools,
+from nearwell.llm import (decontaminate, minhash, packing, passages, quality, repeats, shards, tools,
                           toxicity, urls, warc)
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -203,3 +203,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     "name string, param string, type string, required boolean")
     out = tools.link(calls, results, schemas)
     return out.withColumn("errors", F.array_join("errors", ","))
+
+
+# --- sharding ----------------------------------------------------------------------------------
+
+@query("op11_sharding")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assign(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"))
