@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearwell.llm import (decontaminate, minhash, packing, passages, quality, repeats, shards, tools,
-                          toxicity, urls, warc)
+from nearwell.llm import (align, decontaminate, minhash, packing, passages, quality, repeats,
+                          shards, tools, toxicity, urls, warc)
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECE_TOKENIZER = "piece_bpe_32k.model"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -212,3 +213,13 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assign(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+# --- cross-tokenizer alignment -----------------------------------------------------------------
+
+@query("op12_cross_tokenizer_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.summaries(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER),
+                           public_tokenizers.path(PIECE_TOKENIZER))
