@@ -30,6 +30,8 @@ from nearwell.session import materialize
 
 #: A tokens of a lane before a long document goes on in another one.
 LANE = 256
+#: Bytes of text aligned at once; a longer text is aligned by itself.
+CHUNK_BYTES = 1 << 20
 #: Bytes of text pieces remembered by one Python worker; only memory and time depend on it.
 REMEMBERED = 16 << 20
 
@@ -247,7 +249,7 @@ def alignments(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     other columns are ignored.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=CHUNK_BYTES):
             own = align_texts(batch.column("text"), a_path, b_path)
             row, cut = own.rows(own.link_a), own.rows(own.cut_a)
             n = np.arange(batch.num_rows + 1)
@@ -308,7 +310,7 @@ def _chunk_rows(a_path: str, b_path: str):
     names = [f.split()[0] for f in CHUNK_SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=CHUNK_BYTES):
             own = align_texts(batch.column("text"), a_path, b_path)
             rows, row = batch.num_rows, own.rows(own.link_a)
             width = int(own.b_ids.max(initial=0)) + 1
