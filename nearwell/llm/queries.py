@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearwell.llm import (align, decontaminate, minhash, packing, passages, quality, repeats,
-                          shards, tools, toxicity, urls, warc)
+from nearwell.llm import (align, decontaminate, lexical, minhash, packing, passages, quality,
+                          repeats, shards, tools, toxicity, urls, warc)
 
 TOKENIZER = "byte_bpe_50k.json"
 PIECE_TOKENIZER = "piece_bpe_32k.model"
@@ -223,3 +223,29 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return align.summaries(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER),
                            public_tokenizers.path(PIECE_TOKENIZER))
+
+
+# --- ranked lexical search ---------------------------------------------------------------------
+
+SQL_TERMS = (r"list_filter(regexp_extract_all(translate(coalesce(text, ''), "
+             r"'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+             r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')")
+
+
+@query("op13_ranked_lexical_search", f"""
+WITH t AS (SELECT doc_id, {SQL_TERMS} AS terms FROM documents),
+d AS (SELECT doc_id, len(terms)::bigint AS n, terms FROM t WHERE len(terms) > 0),
+g AS (SELECT count(*)::bigint AS nd, sum(n)::bigint AS nl FROM d),
+f AS (SELECT doc_id, term, count(*)::bigint AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM d)
+      GROUP BY ALL),
+q AS (SELECT item_id, unnest(list_distinct({SQL_TERMS})) AS term FROM benchmark),
+w AS (SELECT term, floor(1000 * ln((2 * nd + 2)::double / (2 * df + 1)::double))::bigint AS w
+      FROM (SELECT term, count(*)::bigint AS df FROM f GROUP BY term), g),
+m AS (SELECT doc_id, 100 - 50 + ((50 * n * nd) // nl) AS m FROM d, g),
+s AS (SELECT item_id, f.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::bigint AS score
+      FROM q JOIN f USING (term) JOIN w USING (term) JOIN m ON m.doc_id = f.doc_id GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::int AS rank
+      FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
