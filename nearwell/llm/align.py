@@ -31,9 +31,11 @@ from nearwell.session import materialize
 #: A tokens of a lane before a long document goes on in another one.
 LANE = 256
 #: Bytes of text aligned at once; a longer text is aligned by itself.
-CHUNK_BYTES = 1 << 20
-#: Bytes of text pieces remembered by one Python worker; only memory and time depend on it.
-REMEMBERED = 16 << 20
+CHUNK_BYTES = 1 << 19
+#: Memory for text pieces remembered by one Python worker, in bytes, and what one takes besides its
+#: text; only memory and time depend on it.
+REMEMBERED = 24 << 20
+PIECE_BYTES = 200
 
 
 # --- tokenizers --------------------------------------------------------------------------------
@@ -52,6 +54,8 @@ class ByteTokens:
                        for t in (tok.id_to_token(i) or "" for i in range(tok.get_vocab_size()))]
 
     def encode(self, spaced: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if len(self._own.known) * PIECE_BYTES > REMEMBERED:
+            self._own._forget()
         return self._own.encode(spaced)
 
 
@@ -84,7 +88,7 @@ class PieceTokens:
             self._forget()
         new = [u for u in units if u not in self.known]
         if new:
-            self.size += sum(map(len, new))
+            self.size += sum(map(len, new)) + PIECE_BYTES * len(new)
             # the model puts a space before every text, which stands for the unit's first one
             ids = self._own.encode([u[1:].decode() for u in new], num_threads=1)
             ids = [self._space if u == b" " else x for u, x in zip(new, ids)]
@@ -204,14 +208,12 @@ def _drop(ids, bounds, keep):
 
 def _same_bytes(ids, bounds, values, sizes, data, offsets) -> np.ndarray:
     """Whether each text's tokens join to its bytes."""
-    ends = np.concatenate(([0], np.cumsum(sizes[ids])))[bounds]
-    whole = np.diff(ends) == np.diff(offsets)
     joined = np.frombuffer(values.take(pa.array(ids)).buffers()[2] or b"", np.uint8)
-    length = np.where(whole, np.diff(offsets), 0)
-    step = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
-    row = np.repeat(np.arange(len(length)), length)
-    wrong = joined[ends[row] + step] != data[offsets[row] + step]
-    return whole & (np.bincount(row[wrong], minlength=len(length)) == 0)
+    ends = np.concatenate(([0], np.cumsum(sizes[ids])))[bounds]
+    if np.array_equal(ends, offsets) and np.array_equal(joined, data):
+        return np.ones(len(bounds) - 1, bool)
+    return np.array([np.array_equal(joined[w:x], data[y:z]) for w, x, y, z in
+                     zip(ends[:-1], ends[1:], offsets[:-1], offsets[1:])], bool)
 
 
 def align_texts(texts: pa.Array, a_path: str, b_path: str) -> Aligned:
@@ -228,8 +230,9 @@ def align_texts(texts: pa.Array, a_path: str, b_path: str) -> Aligned:
     b_ids, b_bounds = b.encode(spaced)
     good = (_same_bytes(a_ids, a_bounds, a_values, a_sizes, data, offsets)
             & _same_bytes(b_ids, b_bounds, b_values, b_sizes, data, offsets))
-    a_ids, a_bounds = _drop(a_ids, a_bounds, good)
-    b_ids, b_bounds = _drop(b_ids, b_bounds, good)
+    if not good.all():
+        a_ids, a_bounds = _drop(a_ids, a_bounds, good)
+        b_ids, b_bounds = _drop(b_ids, b_bounds, good)
     return Aligned(a_ids, b_ids, a_bounds, b_bounds,
                    *merge(np.cumsum(a_sizes[a_ids]), np.cumsum(b_sizes[b_ids]), a_bounds, b_bounds))
 
