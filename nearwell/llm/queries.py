@@ -170,9 +170,10 @@ TOOL_SCHEMAS = (("search", "query", "string", True), ("search", "limit", "intege
 def tool_log(chats: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results derived from conversations.
 
-    Every assistant turn calls a tool with its whole text, and the user turn after it is the result;
-    the arguments of some are damaged, every second call uses the one before, and in some
-    conversations the one after. System turns are results that nothing asked for.
+    Every assistant turn calls a tool with its whole text, and the turn after it is the result; the
+    arguments of some are damaged, every second call uses the one before, and in some conversations
+    the one after. System turns, and turns that open a conversation, are results that nothing asked
+    for. A turn without a role is a result, and one without a number has no identifier.
     """
     def call_id(turn: str):
         return F.expr(f"concat('call_', conv_id, '_', {turn})")
@@ -191,9 +192,10 @@ def tool_log(chats: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.expr("CASE WHEN pmod(conv_id, 7) = 3 AND pmod(turn, 4) = 1 THEN array(concat('call_', "
                "conv_id, '_', turn + 2)) WHEN pmod(turn, 4) = 3 AND pmod(conv_id, 7) <> 3 THEN "
                "array(concat('call_', conv_id, '_', turn - 2)) ELSE array() END").alias("uses"))
-    results = chats.where("role <> 'assistant' AND (role = 'system' OR turn > 0)").select(
-        "conv_id", "turn", F.when(F.col("role") == "system", F.lit("none")).otherwise(
-            call_id("turn - 1")).alias("call_id"), F.col("text").alias("content"))
+    results = chats.where("role IS DISTINCT FROM 'assistant'").select(
+        "conv_id", "turn", F.when(F.col("role") == "system", F.lit("none")).when(
+            F.col("turn") == 0, F.lit("opening")).otherwise(call_id("turn - 1")).alias("call_id"),
+        F.col("text").alias("content"))
     return calls, results
 
 

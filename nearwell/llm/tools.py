@@ -70,23 +70,43 @@ def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
                        errors.alias("errors"))
 
 
+def ring_calls(uses: DataFrame, turns: DataFrame) -> DataFrame:
+    """Keys of the calls that can't be ordered: in a ring of uses, or using such a call.
+
+    ``uses`` (conv_id, call_id, used) and ``turns`` (conv_id, call_id, turn). A ring holds a use of a
+    call that isn't earlier, so only conversations with such a use are searched: uses of calls that
+    wait for nothing are taken away, until a round takes none. Rounds are the longest chain there.
+    """
+    own = uses.join(turns, KEY).join(turns.select(
+        "conv_id", F.col("call_id").alias("used"), F.col("turn").alias("used_turn")), ["conv_id", "used"])
+    odd = own.where(F.coalesce(F.col("used_turn") >= F.col("turn"), F.lit(True))).select("conv_id").distinct()
+    rest = materialize(uses.join(odd, "conv_id", "left_semi"), "rings")
+    size = rest.count()
+    while size:
+        waiting = rest.select("conv_id", F.col("call_id").alias("used")).distinct()
+        rest = materialize(rest.join(waiting, ["conv_id", "used"], "left_semi"), "rings")
+        size, before = rest.count(), size
+        if size == before:
+            break
+    return rest.select(*KEY).distinct()
+
+
 def order(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, ready, hops) per call; both null for calls that use each other in a ring.
+    """(conv_id, call_id, ready, hops) per call; both null for calls that use each other in a ring,
+    and for calls that use one of those.
 
     ``calls`` has unique keys, turn, and uses: identifiers of calls of the same conversation whose
     results the arguments take up; those that aren't calls are ignored. Sorting by ready, hops, turn
     and call_id is a topological order.
     """
-    spark_place = F.struct(F.col("turn").alias("ready"), F.lit(0).cast("long").alias("hops"))
-    places = materialize(calls.select(*KEY, spark_place.alias("place")), "places")
+    own_place = F.struct(F.col("turn").alias("ready"), F.lit(0).cast("long").alias("hops"))
     uses = calls.select("conv_id", "call_id", F.explode(F.array_distinct("uses")).alias("used"))
     known = calls.select("conv_id", F.col("call_id").alias("used"))
     uses = materialize(uses.join(known, ["conv_id", "used"]), "uses")
-    # no chain is longer than a conversation's calls that use others
-    longest = uses.groupBy("conv_id").agg(F.countDistinct("call_id").alias("n")).agg(
-        F.max("n")).first()[0] or 0
-    moved = None
-    for _ in range(longest + 1):
+    rings = materialize(ring_calls(uses, calls.select(*KEY, "turn")), "ring-calls")
+    places = materialize(calls.select(*KEY, own_place.alias("place")).join(rings, KEY, "left_anti"),
+                         "places")
+    while True:  # without rings, a place moves no further than the longest chain
         now = places.select("conv_id", F.col("call_id").alias("used"), F.struct(
             F.col("place.ready").alias("ready"), (F.col("place.hops") + 1).alias("hops")).alias("p"))
         least = uses.join(now, ["conv_id", "used"]).groupBy(*KEY).agg(F.max("p").alias("p"))
@@ -96,13 +116,8 @@ def order(calls: DataFrame) -> DataFrame:
             break
         places = materialize(places.join(moved, KEY, "left").select(
             *KEY, F.coalesce("p", "place").alias("place")), "places")
-    out = places.select(*KEY, "place.*")
-    if moved is None:
-        return out
-    # still moving after so many rounds: in a ring, or behind one
-    return out.join(moved.select(*KEY, F.lit(True).alias("ring")), KEY, "left").select(
-        *KEY, F.when(F.col("ring").isNull(), F.col("ready")).alias("ready"),
-        F.when(F.col("ring").isNull(), F.col("hops")).alias("hops"))
+    null = F.lit(None).cast("long")
+    return places.select(*KEY, "place.*").union(rings.select(*KEY, null.alias("ready"), null.alias("hops")))
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from compare import connect, differences
 from pyspark.sql import functions as F
 
-from nearwell.llm import (decontaminate, minhash, packing, passages, quality, repeats, tools,
+from nearwell.llm import (decontaminate, minhash, packing, passages, quality, queries, repeats, tools,
                           toxicity, urls, warc)
 from nearwell.llm.components import components
 from nearwell.llm.queries import ORACLES, QUERIES
@@ -320,7 +320,7 @@ def test_tool_links(spark):
                                     "name string, param string, type string, required boolean")
     rows = tools.link(calls, results, schemas).collect()
     got = {(r["conv_id"], r["call_id"], r["status"]): r for r in rows}
-    assert len(got) == len(rows) == 10
+    assert len(got) == len(rows) == 11
     assert {k for k in got if k[2].startswith(("dup", "orph", "unid"))} == {
         (1, "c", "duplicate_call"), (1, "c", "duplicate_result"), (2, "x", "orphan_result"),
         (9, None, "orphan_result"), (3, None, "unidentified_call")}
@@ -335,7 +335,54 @@ def test_tool_links(spark):
     places = [(got[1, c, s]["ready"], got[1, c, s]["hops"]) for c, s in
               (("b", "unanswered"), ("a", "linked"), ("c", "linked"))]
     assert places == [(5, 0), (5, 1), (5, 2)]
-    assert got[2, "a", "unanswered"]["ready"] is None  # a ring
+    assert {(r["ready"], r["hops"]) for k, r in got.items() if k[0] == 2 and r["name"]} == {(None, None)}  # a ring
+
+
+def plain_order(calls):
+    """{key: (ready, hops)} by asking for the used calls first."""
+    uses = {(c, i): [(c, u) for u in us or [] if (c, u) in {(x[0], x[1]) for x in calls}] for c, i, _, us in calls}
+    turn = {(c, i): t for c, i, t, _ in calls}
+
+    def place(k, seen):
+        if k in seen:
+            return None
+        used = [place(u, seen | {k}) for u in uses[k]]
+        if None in used:
+            return None
+        return max([(turn[k], 0), *((r, h + 1) for r, h in used)])
+
+    return {k: place(k, frozenset()) for k in turn}
+
+
+def test_order_matches_recursion(spark):
+    rng = np.random.default_rng(6)
+    calls = [(0, "a", 1, ["b"]), (0, "b", 2, ["a"]), (0, "c", 3, ["a", "d"]), (0, "d", 4, []), (0, "e", 5, ["c"]),
+             (0, "f", 6, ["d"]), (99, "s", 1, ["s"]), (99, "t", 1, None), (98, "u", 2, ["v"]), (98, "v", 2, [])]
+    for c in range(1, 30):
+        n = int(rng.integers(1, 9))
+        order = rng.permutation(n)
+        for i in range(n):  # mostly against the order of turns, some with rings
+            pool = [f"k{j}" for j in (order[:list(order).index(i)] if c % 3 else range(n))]
+            own = sorted({*rng.choice(pool, min(len(pool), int(rng.integers(0, 3))))}) if pool else []
+            calls.append((c, f"k{i}", int(rng.integers(0, 6)), [str(x) for x in own]))
+    df = spark.createDataFrame(calls, "conv_id long, call_id string, turn long, uses array<string>")
+    got = {(r["conv_id"], r["call_id"]): r["ready"] if r["ready"] is None else (r["ready"], r["hops"])
+           for r in tools.order(df).collect()}
+    assert got == plain_order(calls) and sum(v is None for v in got.values()) > 5
+
+
+def test_every_turn_reaches_the_log(spark):
+    chats = spark.read.parquet(f"{SF}/conversations.parquet")
+    odd = spark.createDataFrame([(10**6, 0, None, "x"), (10**6, 1, "assistant", None), (None, 2, "user", "y"),
+                                 (10**6 + 1, None, "user", "z")], "conv_id long, turn long, role string, text string")
+    both = chats.select("conv_id", F.col("turn").cast("long"), "role", "text").unionByName(odd)
+    calls, results = queries.tool_log(both)
+    assert calls.count() + results.count() == both.count()
+    rows = tools.link(calls, results, spark.createDataFrame(list(queries.TOOL_SCHEMAS),
+                      "name string, param string, type string, required boolean")).groupBy("status").count()
+    n = {r["status"]: r["count"] for r in rows.collect()}
+    # a linked row is a call and its result
+    assert sum(n.values()) + n["linked"] == both.count()
 
 
 def test_ablations(documents):
