@@ -1,6 +1,6 @@
 """Conversations: turn numbers, state, idle detection, archive and retention."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearwell import constants as K
@@ -25,14 +25,36 @@ def number_turns(messages: DataFrame, existing: DataFrame | None = None) -> Data
             .drop("_last"))
 
 
+def _json_text(c: str) -> Column:
+    """A string column as JSON; null stays the word null."""
+    whole = F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"})
+    return F.substring(whole, F.lit(6), F.length(whole) - 6)
+
+
+def _json_number(c: str) -> Column:
+    """A measure as a plain decimal without an exponent or trailing zeros."""
+    plain = F.regexp_replace(F.col(c).cast("decimal(38,10)").cast("string"), r"\.?0+$", "")
+    return F.coalesce(plain, F.lit("null"))
+
+
+COMPACT = {"facility_id": _json_text, "name": _json_text, "distance_km": _json_number,
+           "score": _json_number, "match_reason": _json_text, "city": _json_text}
+
+
 def compact_results(hits: DataFrame) -> DataFrame:
-    """(query_id, result_count, results_json): six fields per hit, by rank (at most 50 hits)."""
-    fields = F.struct("facility_id", "name", "distance_km", "score",
-                      F.col("match_reason").alias("match_reason_en"), "city")
-    ordered = F.sort_array(F.collect_list(F.struct("rank", fields.alias("hit"))))
+    """(query_id, result_count, results_json): six fields per hit, by rank (at most 50 hits).
+
+    Numbers are written as 85, 0.0005 or -0.0007, and a missing value as null.
+    """
+    parts: list = []
+    for c, write in COMPACT.items():
+        name = "match_reason_en" if c == "match_reason" else c
+        parts += [F.lit(f'{"," if parts else "{"}"{name}":'), write(c)]
+    ordered = F.sort_array(F.collect_list(F.struct("rank", F.concat(*parts, F.lit("}")).alias("hit"))))
     return hits.groupBy("query_id").agg(
         F.count("*").alias("result_count"),
-        F.to_json(F.transform(ordered, lambda x: x["hit"])).alias("results_json"))
+        F.concat(F.lit("["), F.array_join(F.transform(ordered, lambda x: x["hit"]), ","),
+                 F.lit("]")).alias("results_json"))
 
 
 def conversation_state(turns: DataFrame) -> DataFrame:

@@ -30,10 +30,14 @@ def number_turns(d):
     return ON.number_turns(messages).select("conversation_id", "seq", "turn_no")
 
 
+def _plain(x):
+    return f"regexp_replace(({x}::decimal(18,4))::varchar, '\\.?0+$', '')"
+
+
 @query("compact_results", f"""WITH {hits_sql()}
     SELECT query_id, count(*) AS result_count, '[' || string_agg('{{"facility_id":"' || facility_id
-      || '","name":"' || name || '","distance_km":' || distance_km::varchar || ',"score":'
-      || score::varchar || ',"match_reason_en":"' || name || '","city":"' || city || '"}}', ','
+      || '","name":"' || name || '","distance_km":' || {_plain('distance_km')} || ',"score":'
+      || {_plain('score')} || ',"match_reason_en":"' || name || '","city":"' || city || '"}}', ','
       ORDER BY rank) || ']' AS results_json FROM hits GROUP BY query_id""", SEARCH_TABLES)
 def compact_results(d):
     hits = OS.search_pairs(batch_queries(d), d.facility, d.facility_vec, d.facility_geo)
