@@ -1,6 +1,6 @@
 """Coordinate validation, geocoding from the directory itself, and the grid join."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearwell import constants as K
@@ -153,43 +153,62 @@ def query_box(queries: DataFrame) -> DataFrame:
         "lng_lo": F.col("lng") - dlng, "lng_hi": F.col("lng") + dlng})
 
 
-def grid_blocks(queries: DataFrame, places: DataFrame, cell_deg: float = CELL_DEG,
-                place_rows: int = PLACE_ROWS, query_rows: int = QUERY_ROWS):
-    """Both sides keyed by (cy, cx, pp, qp), so that the circle join is an equi-join.
+def grid_cell(lat, lng, cell_deg: float = CELL_DEG) -> Column:
+    """The number of a point's grid cell."""
+    return _cell_number(F.floor(lat / cell_deg), F.floor(lng / cell_deg))
 
-    A query goes to the grid cells its box covers, a place to its own cell. Cells are then cut into
-    place parts and query parts from their row counts, so a hot cell becomes many blocks of bounded
-    work. The counts table has at most one row per cell of the India box (3,840 at 0.5 degrees),
-    which is what makes broadcasting it safe. Places must carry guarded coordinates (inside India
-    or NULL), as the cleaned facility table does.
-    """
-    (lat0, lat1), (lng0, lng1) = K.INDIA["lat"], K.INDIA["lng"]
 
-    def cell(c):
-        return F.floor(c / cell_deg)
+def _cell_number(cy, cx) -> Column:
+    return ((cy + 1000) * 10000 + cx + 1000).cast("int")
+
+
+def query_cells(queries: DataFrame, cell_deg: float = CELL_DEG) -> DataFrame:
+    """One row per query and ``cell`` that its box covers inside India; boxes elsewhere have none."""
+    (lat0, lat1), (lng0, lng1) = K.INDIA["lat"], K.INDIA["lng"]
 
     def cells(lo, hi, low, high):
         lo, hi = F.greatest(F.col(lo), F.lit(low)), F.least(F.col(hi), F.lit(high))
-        return F.when(lo <= hi, F.sequence(cell(lo), cell(hi)))
-
-    here = places.filter(in_india(F.col("lat"), F.col("lng"))).withColumns({
-        "cy": cell(F.col("lat")), "cx": cell(F.col("lng"))})
-    asked = (query_box(queries).withColumn("cy", F.explode(cells("lat_lo", "lat_hi", lat0, lat1)))
-             .withColumn("cx", F.explode(cells("lng_lo", "lng_hi", lng0, lng1))))
-    counts = (here.groupBy("cy", "cx").agg(F.count("*").alias("np"))
-              .join(asked.groupBy("cy", "cx").agg(F.count("*").alias("nq")), ["cy", "cx"])
-              .select("cy", "cx", F.ceil(F.col("np") / place_rows).alias("pps"),
+        return F.when(lo <= hi, F.sequence(F.floor(lo / cell_deg), F.floor(hi / cell_deg)))
+
+    return (query_box(queries).withColumn("_cy", F.explode(cells("lat_lo", "lat_hi", lat0, lat1)))
+            .withColumn("_cx", F.explode(cells("lng_lo", "lng_hi", lng0, lng1)))
+            .withColumn("cell", _cell_number(F.col("_cy"), F.col("_cx"))).drop("_cy", "_cx"))
+
+
+BLOCK = ["cell", "pp", "qp"]
+
+
+def cut_blocks(asked: DataFrame, here: DataFrame, place_rows: int = PLACE_ROWS,
+               query_rows: int = QUERY_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Both sides, keyed by ``cell`` already, cut into place parts and query parts of bounded size.
+
+    The counts table has at most one row per cell of the India box (3,840 at 0.5 degrees).
+    """
+    counts = (here.groupBy("cell").agg(F.count("*").alias("np"))
+              .join(asked.groupBy("cell").agg(F.count("*").alias("nq")), "cell")
+              .select("cell", F.ceil(F.col("np") / place_rows).alias("pps"),
                       F.ceil(F.col("nq") / query_rows).alias("qps")))
-    here = (here.join(counts, ["cy", "cx"])
+    here = (here.join(counts, "cell")
             .withColumn("pp", F.pmod(F.xxhash64("facility_id"), F.col("pps")))
             .withColumn("qp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("qps") - 1))))
-    asked = (asked.join(counts, ["cy", "cx"])
+    asked = (asked.join(counts, "cell")
              .withColumn("qp", F.pmod(F.xxhash64("query_id"), F.col("qps")))
              .withColumn("pp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pps") - 1))))
     return asked.drop("pps", "qps"), here.drop("pps", "qps")
 
 
-BLOCK = ["cy", "cx", "pp", "qp"]
+def grid_blocks(queries: DataFrame, places: DataFrame, cell_deg: float = CELL_DEG,
+                place_rows: int = PLACE_ROWS, query_rows: int = QUERY_ROWS):
+    """Both sides keyed by (cell, pp, qp), so that the circle join is an equi-join.
+
+    A query goes to the grid cells its box covers, a place to its own cell. Cells are then cut into
+    place parts and query parts from their row counts, so a hot cell becomes many blocks of bounded
+    work. Places must carry guarded coordinates (inside India or NULL), as the cleaned facility table
+    does; others are left out.
+    """
+    here = places.filter(in_india(F.col("lat"), F.col("lng"))).withColumn(
+        "cell", grid_cell(F.col("lat"), F.col("lng"), cell_deg))
+    return cut_blocks(query_cells(queries, cell_deg), here, place_rows, query_rows)
 
 
 def radius_search(queries: DataFrame, fac: DataFrame, **grid) -> DataFrame:

@@ -21,8 +21,10 @@ from pyspark.sql.window import Window
 from nearwell import constants as K
 from nearwell.constants import (BEDS_SCALE, DOCTORS_SCALE, EARTH_KM, WEIGHT_BEDS, WEIGHT_DISTANCE,
                                 WEIGHT_DOCTORS, WEIGHT_SIMILARITY)
-from nearwell.operators.geo import BLOCK, PLACE_ROWS, QUERY_ROWS, grid_blocks
-from nearwell.session import spread
+from nearwell.functions.geo import in_india
+from nearwell.operators.geo import (BLOCK, CELL_DEG, PLACE_ROWS, QUERY_ROWS, cut_blocks, grid_cell,
+                                    query_cells)
+from nearwell.session import materialize, spread
 
 # ship the task functions of this module by value: executors need numpy and pyarrow only
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -176,10 +178,11 @@ def _scan_blocks(queries: DataFrame, vec: DataFrame, k: int) -> DataFrame:
 
 # --- hybrid search -----------------------------------------------------------------------------
 
-PAIR_SCHEMA = ("query_id string, facility_id string, distance_km double, similarity double, "
+PAIR_SCHEMA = ("query_id string, facility_id string, cell int, distance_km double, similarity double, "
                "score double, limit int")
-PAIR_TYPES = {"query_id": pa.string(), "facility_id": pa.string(), "distance_km": pa.float64(),
-              "similarity": pa.float64(), "score": pa.float64(), "limit": pa.int32()}
+PAIR_TYPES = {"query_id": pa.string(), "facility_id": pa.string(), "cell": pa.int32(),
+              "distance_km": pa.float64(), "similarity": pa.float64(), "score": pa.float64(),
+              "limit": pa.int32()}
 
 
 def _allowed(wanted, have) -> np.ndarray:
@@ -205,7 +208,7 @@ def _search_block(left: pa.Table, right: pa.Table) -> pa.Table:
                  + WEIGHT_DOCTORS * _capacity(right.column("num_doctors"), DOCTORS_SCALE))
         box = {c: _floats(left.column(c)) for c in
                ("lat", "lng", "radius_km", "lat_lo", "lat_hi", "lng_lo", "lng_hi")}
-        limits = left.column("limit").to_numpy()
+        limits, cell = left.column("limit").to_numpy(), left.column("cell").to_numpy()
         flat = _floats(right.column("lat"))
         for at in range(0, len(qids), 128):
             part = slice(at, at + 128)
@@ -230,6 +233,7 @@ def _search_block(left: pa.Table, right: pa.Table) -> pa.Table:
                 best = hit[_best(score[i][hit], dist[i][hit], ids[hit], int(limits[at + i]))]
                 cols["query_id"].append(np.repeat(qids[at + i], len(best)))
                 cols["facility_id"].append(ids[best])
+                cols["cell"].append(np.repeat(cell[at + i], len(best)))
                 cols["distance_km"].append(dist[i][best])
                 cols["similarity"].append(sim[i][best])
                 cols["score"].append(score[i][best])
@@ -247,28 +251,87 @@ def type_operator_filter(pairs: DataFrame) -> DataFrame:
 
 def topk_by_score(hits: DataFrame) -> DataFrame:
     """Add ``rank`` and keep rank <= limit per query: rounded score descending, rounded distance
-    ascending, id. Every query has its own ``limit``; a null one keeps nothing."""
+    ascending, id. Every query has its own ``limit``; a null one, or one below 1, keeps nothing."""
     order = Window.partitionBy("query_id").orderBy(
         F.desc("score"), F.asc("distance_km"), F.asc("facility_id"))
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("limit"))
 
 
-def search_pairs(queries: DataFrame, fac: DataFrame, vec: DataFrame, geo: DataFrame | None,
-                 **grid) -> DataFrame:
-    """Ranked (query_id, rank, facility_id, distance_km, similarity, score, limit).
+# --- the stored search table -------------------------------------------------------------------
 
-    Places are cut to the grid cells that the batch touches before their vectors are fetched, so
-    the wide vector table is only joined for candidate places.
+#: Cells along a side of a tile, the unit of the table's folders.
+TILE_CELLS = 4
+SHOWN = ["name", "facility_type", "operator_type", "reason", "beds", "num_doctors", "official_phone",
+         "official_website", "city", "state", "lat", "lng"]
+
+
+def _tile(cell) -> "F.Column":
+    return (F.floor(cell / (10000 * TILE_CELLS)) * 10000
+            + F.floor(F.pmod(cell, F.lit(10000)) / TILE_CELLS)).cast("int")
+
+
+def search_table(fac: DataFrame, vec: DataFrame, geo: DataFrame, procedures: DataFrame,
+                 cell_deg: float = CELL_DEG) -> DataFrame:
+    """All that searching and showing a located facility takes, one row each.
+
+    facility_id, point, capacity, type, ``geo_valid``, vector, the shown columns, the default
+    ``reason``, its grid ``cell`` and the ``tile`` of cells. Facilities without a vector are left out,
+    as they are never found. Store it with :func:`write_search_table`; search then reads only the
+    cells that a batch touches and joins neither vectors nor checks.
+    """
+    places = fac.filter(in_india(F.col("lat"), F.col("lng")))
+    valid = geo.groupBy("facility_id").agg(F.max(F.coalesce("geo_valid", F.lit(False))).alias("geo_valid"))
+    cell = grid_cell(F.col("lat"), F.col("lng"), cell_deg)
+    rows = (default_reason(places, procedures).withColumnRenamed("match_reason", "reason")
+            .join(vec.select("facility_id", "embedding"), "facility_id")
+            .join(valid, "facility_id", "left"))
+    return rows.select("facility_id", *[c for c in SHOWN if c in rows.columns],
+                       F.coalesce("geo_valid", F.lit(False)).alias("geo_valid"), "embedding",
+                       cell.alias("cell"), _tile(cell).alias("tile"))
+
+
+def write_search_table(table: DataFrame, path: str) -> DataFrame:
+    """Store the table in a folder per tile, sorted by cell, and read it back.
+
+    A busy cell spans as many range partitions, and so files, as its rows need; files of one tile
+    hold few cells each, which their statistics tell apart.
+    """
+    order = ["tile", "cell", F.xxhash64("facility_id")]
+    (table.repartitionByRange(*order).sortWithinPartitions(*order)
+     .write.mode("overwrite").partitionBy("tile").parquet(path))
+    return table.sparkSession.read.schema(table.schema).parquet(path)
+
+
+def touched(table: DataFrame, cells: DataFrame) -> DataFrame:
+    """The rows of a search table in the cells of a batch; filters on folders and on statistics.
+
+    The list of cells is bounded by the India box (3,840 at 0.5 degrees).
+    """
+    listed = cells.select("cell", _tile(F.col("cell")).alias("tile")).distinct().collect()
+    tiles, own = sorted({r["tile"] for r in listed}), sorted(r["cell"] for r in listed)
+    if not own:
+        return table.where("false")
+    # one expression from text: a literal object for each cell takes seconds
+    return table.where(f"tile IN ({', '.join(map(str, tiles))}) AND cell IN ({', '.join(map(str, own))})")
+
+
+def search_pairs(queries: DataFrame, table: DataFrame, require_geo_valid: bool = True,
+                 cell_deg: float = CELL_DEG, place_rows: int = PLACE_ROWS,
+                 query_rows: int = QUERY_ROWS) -> DataFrame:
+    """Ranked (query_id, rank, facility_id, cell, distance_km, similarity, score, limit).
+
+    ``table`` is a search table made with the same ``cell_deg``. Queries without a limit of 1 or more,
+    or without a point in or near India, find nothing. One small job lists the cells of the batch.
     """
-    places = fac.filter("lat IS NOT NULL AND lng IS NOT NULL").select(
-        "facility_id", "lat", "lng", "beds", "num_doctors", "facility_type", "operator_type")
-    if geo is not None:
-        places = places.join(geo.filter("geo_valid").select("facility_id"),
-                             "facility_id", "left_semi")
     asked = queries.select("query_id", "lat", "lng", "radius_km", "type", "operator",
-                           F.col("limit").cast("int").alias("limit"), "qv")
-    asked, here = grid_blocks(asked, places, **grid)
-    here = here.join(vec.select("facility_id", "embedding"), "facility_id")
+                           F.col("limit").cast("int").alias("limit"), "qv").where("limit >= 1")
+    asked = query_cells(asked, cell_deg)
+    here = touched(table, asked)
+    if require_geo_valid:
+        here = here.where("geo_valid")
+    here = here.select("facility_id", "lat", "lng", "beds", "num_doctors", "facility_type",
+                       "operator_type", "embedding", "cell")
+    asked, here = cut_blocks(asked, here, place_rows, query_rows)
     asked, here = spread(asked, *BLOCK), spread(here, *BLOCK)
     pairs = asked.groupBy(*BLOCK).cogroup(here.groupBy(*BLOCK)).applyInArrow(
         _search_block, PAIR_SCHEMA)
@@ -292,19 +355,19 @@ HIT_COLUMNS = ["query_id", "rank", "facility_id", "name", "facility_type", "oper
                "official_phone", "official_website", "city", "state", "lat", "lng"]
 
 
-def search_facilities(queries: DataFrame, fac: DataFrame, vec: DataFrame,
-                      geo: DataFrame | None, procedures: DataFrame,
-                      require_geo_valid: bool = True, **grid) -> DataFrame:
-    """Hybrid search for a batch of queries.
+def search_facilities(queries: DataFrame, table: DataFrame, require_geo_valid: bool = True,
+                      cell_deg: float = CELL_DEG, **blocks) -> DataFrame:
+    """Hybrid search for a batch of queries over a stored search table.
 
     queries: query_id string, qv array<float>, lat, lng, radius_km, type, operator, limit.
     With ``require_geo_valid`` (the documented contract) only facilities whose coordinates passed
     validation take part; without it every located facility does.
     """
-    hits = search_pairs(queries, fac, vec, geo if require_geo_valid else None, **grid)
-    shown = fac.select(*[c for c in fac.columns if c in HIT_COLUMNS])
-    named = hits.join(shown, "facility_id")
-    return default_reason(named, procedures).select(*HIT_COLUMNS)
+    hits = search_pairs(queries, table, require_geo_valid, cell_deg, **blocks)
+    found = materialize(hits, "search-hits")
+    shown = touched(table, found).select("facility_id", "cell", *SHOWN)
+    return (found.join(shown, ["cell", "facility_id"])
+            .withColumnRenamed("reason", "match_reason").select(*HIT_COLUMNS))
 
 
 def overfetch_limit(limit) -> "F.Column":

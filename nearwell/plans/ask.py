@@ -16,11 +16,11 @@ from nearwell.session import materialize
 
 
 def answer_batch(messages: DataFrame, replies: DataFrame, grounding: DataFrame, fac: DataFrame,
-                 vec: DataFrame, geo: DataFrame, terms: DataFrame, procedures: DataFrame,
-                 verification: DataFrame, model: Callable[[], Callable] = OS.hashed_words,
+                 geo: DataFrame, table: DataFrame, terms: DataFrame, verification: DataFrame, model: Callable[[], Callable] = OS.hashed_words,
                  radius_km: float = 50.0, limit: int = 20,
                  ) -> tuple[DataFrame, DataFrame]:
-    """(answers, hits) for messages(message_id, text, device_lat, device_lng).
+    """(answers, hits) for messages(message_id, text, device_lat, device_lng), over the stored search
+    ``table``.
 
     Messages may have type, operator, radius_km and limit of their own; where a column is missing or
     null, any type and operator and the ``radius_km`` and ``limit`` given here hold.
@@ -48,7 +48,7 @@ def answer_batch(messages: DataFrame, replies: DataFrame, grounding: DataFrame,
         F.col("message_id").alias("query_id"), "need", "qv", "lat", "lng",
         "radius_km", "type", "operator",
         F.least(F.lit(K.MAX_LIMIT), K.OVERFETCH * F.col("limit")).alias("limit"))
-    found = OS.search_facilities(queries, fac, vec, geo, procedures)
+    found = OS.search_facilities(queries, table)
     hits = OS.overfetch_floor(found.drop("limit").join(
         asked.select(F.col("message_id").alias("query_id"), "limit"), "query_id")).drop("limit")
     need = asked.select(F.col("message_id").alias("query_id"), "need")

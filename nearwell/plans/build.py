@@ -45,7 +45,7 @@ def search_documents(bronze: DataFrame, facility: DataFrame) -> DataFrame:
 
 TABLES = ("facility", "facility_specialty", "facility_procedure", "facility_capability",
           "facility_phone", "facility_source_url", "pin_geo", "facility_validated",
-          "facility_geo", "facility_vec")
+          "facility_geo", "facility_vec", "search")
 
 
 def open_directory(spark: SparkSession, out: str) -> dict[str, DataFrame]:
@@ -109,6 +109,9 @@ def refresh_directory(spark: SparkSession, bronze: DataFrame, pins: DataFrame, o
         kept = known_vectors.join(current, ["facility_id", "doc_hash"], "left_semi")
         new = kept.select("facility_id", "doc_hash", "embedding").unionByName(new)
     tables["facility_vec"] = store("facility_vec", new)
+    tables["search"] = OS.write_search_table(
+        OS.search_table(fac, tables["facility_vec"], tables["facility_geo"],
+                        tables["facility_procedure"]), f"{out}/{version}/search")
     seq = 1
     if previous:
         seq += spark.read.parquet(f"{out}/versions").agg(F.max("seq")).first()[0]

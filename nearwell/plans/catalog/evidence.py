@@ -75,7 +75,7 @@ WEAK = f"""{LEXICAL},
 def hits_with_need(d):
     """The ranked hits, written once: every step of the evidence reads them again."""
     hits = materialize(
-        OS.search_pairs(batch_queries(d), d.facility, d.facility_vec, d.facility_geo), "hits")
+        OS.search_pairs(batch_queries(d), d.search_table), "hits")
     return (hits.join(d.search_query.select("query_id", "need"), "query_id")
             .join(d.facility.select("facility_id", "name"), "facility_id"))
 

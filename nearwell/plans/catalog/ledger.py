@@ -40,7 +40,7 @@ def _plain(x):
       || {_plain('score')} || ',"match_reason_en":"' || name || '","city":"' || city || '"}}', ','
       ORDER BY rank) || ']' AS results_json FROM hits GROUP BY query_id""", SEARCH_TABLES)
 def compact_results(d):
-    hits = OS.search_pairs(batch_queries(d), d.facility, d.facility_vec, d.facility_geo)
+    hits = OS.search_pairs(batch_queries(d), d.search_table)
     shown = hits.join(d.facility.select("facility_id", "name", "city"), "facility_id")
     return ON.compact_results(shown.withColumn("match_reason", F.col("name")))
 

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from nearwell.functions import cleaning as C
 from nearwell.functions import vectors as V
+from nearwell.operators import geo as OG
 from nearwell.operators import search as OS
-from nearwell.plans.catalog.base import QV, SEARCH_TABLES, hits_sql, query
+from nearwell.plans.catalog.base import QV, SEARCH_TABLES, hits_sql, query, slc
 
 TABLES = SEARCH_TABLES + " procedure_term"
 
@@ -111,23 +112,29 @@ def hybrid_score(d):
         .alias("score"))
 
 
-@query("type_operator_filter", """
-    SELECT query_id, facility_id FROM search_query q JOIN facility f ON f.c_custkey % 100 = s_suppkey % 100
-    WHERE (type IS NULL OR facility_type=type) AND (operator IS NULL OR operator_type=operator)""",
-       "search_query facility")
+@query("type_operator_filter", f"""
+    SELECT query_id, facility_id FROM (
+      SELECT q.query_id, f.facility_id, q.radius_km, {slc('q.lat', 'q.lng', 'f.lat', 'f.lng')} AS dist
+      FROM search_query q JOIN facility f
+        ON f.lat BETWEEN q.lat-q.radius_km/111.0 AND q.lat+q.radius_km/111.0
+       AND f.lng BETWEEN q.lng-q.radius_km/(111.0*cos(radians(q.lat)))
+                     AND q.lng+q.radius_km/(111.0*cos(radians(q.lat)))
+      WHERE (type IS NULL OR facility_type=type) AND (operator IS NULL OR operator_type=operator))
+    WHERE dist <= radius_km""", "search_query facility")
 def type_operator_filter(d):
-    q = d.search_query.withColumn("k", F.col("s_suppkey") % 100)
-    f = d.facility.select("facility_id", "facility_type", "operator_type",
-                          (F.col("c_custkey") % 100).alias("k"))
-    return OS.type_operator_filter(q.join(f, "k")).select("query_id", "facility_id")
+    near = OG.radius_search(d.search_query, d.facility)
+    wishes = d.search_query.select("query_id", "type", "operator")
+    kinds = d.facility.select("facility_id", "facility_type", "operator_type")
+    return OS.type_operator_filter(near.join(wishes, "query_id").join(kinds, "facility_id")).select(
+        "query_id", "facility_id")
 
 
 @query("topk_by_score", f"""WITH {hits_sql()}
     SELECT query_id, rank, facility_id, distance_km, similarity, score FROM hits""",
        SEARCH_TABLES)
 def topk_by_score(d):
-    return OS.search_pairs(batch_queries(d), d.facility, d.facility_vec, d.facility_geo).drop(
-        "limit")
+    return OS.search_pairs(batch_queries(d), d.search_table).drop(
+        "limit", "cell")
 
 
 @query("overfetch_floor", f"""WITH {hits_sql('least(50, 3*lim)')}
@@ -136,7 +143,7 @@ def topk_by_score(d):
       WHERE similarity >= 0.4) WHERE r <= lim""", SEARCH_TABLES)
 def overfetch_floor(d):
     q = batch_queries(d, OS.overfetch_limit(F.col("lim")))
-    hits = OS.search_pairs(q, d.facility, d.facility_vec, d.facility_geo).drop("limit")
+    hits = OS.search_pairs(q, d.search_table).drop("limit")
     asked = d.search_query.select("query_id", F.col("lim").alias("limit"))
     return OS.overfetch_floor(hits.join(asked, "query_id")).select(
         "query_id", "rank", "facility_id", "similarity", "score")
@@ -162,8 +169,7 @@ def default_reason(d):
       official_phone, official_website, city, state, lat, lng
     FROM hits h LEFT JOIN firsts f ON f.facility_id=h.facility_id""", TABLES)
 def search_facilities(d):
-    return OS.search_facilities(batch_queries(d), d.facility, d.facility_vec, d.facility_geo,
-                                d.procedure_term)
+    return OS.search_facilities(batch_queries(d), d.search_table)
 
 
 @query("search_facilities_all_located", f"""WITH {hits_sql(geo=False)}, {FIRST}
@@ -172,6 +178,5 @@ def search_facilities(d):
     FROM hits h LEFT JOIN firsts f ON f.facility_id=h.facility_id""", TABLES)
 def search_facilities_all_located(d):
     return OS.search_facilities(
-        batch_queries(d), d.facility, d.facility_vec, None, d.procedure_term,
-        require_geo_valid=False).select("query_id", "rank", "facility_id", "distance_km",
+        batch_queries(d), d.search_table, require_geo_valid=False).select("query_id", "rank", "facility_id", "distance_km",
                                         "similarity", "score", "match_reason")

@@ -96,6 +96,6 @@ def stream_search(d):
     path = scratch_path(d.spark, "answers")
     batch = batch_queries(d).select("query_id", "qv", "lat", "lng", "radius_km", "type",
                                     "operator", "limit")
-    write = X.stream_search(path, d.facility, d.facility_vec, d.facility_geo, d.procedure_term)
+    write = X.stream_search(path, d.search_table)
     _each_batch(d, _stream(d, batch, "queries"), write, "answers")
     return d.spark.read.parquet(path).select("query_id", "rank", "facility_id", "score")

@@ -11,6 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from nearwell.operators.search import search_table, write_search_table
 from nearwell.session import scratch_path, tune
 
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -363,13 +364,21 @@ class Domain:
             raise AttributeError(name)
         if name not in SHARED:
             return self._derive(name)
+        return self._shared(name, lambda: self._derive(name), lambda df, path: df.write.parquet(path))
+
+    @property
+    def search_table(self) -> DataFrame:
+        return self._shared("search_table", lambda: search_table(
+            self.facility, self.facility_vec, self.facility_geo, self.procedure_term), write_search_table)
+
+    def _shared(self, name: str, make, write) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.dir, name)
         try:
             path, schema = _BUILT[key]
             return self.spark.read.schema(schema).parquet(path)
         except (KeyError, AnalysisException):  # not built yet, or cleaned up since
-            df, path = self._derive(name), scratch_path(self.spark, name)
-            df.write.parquet(path)
+            df, path = make(), scratch_path(self.spark, name)
+            write(df, path)
             _BUILT[key] = path, df.schema
             return self.spark.read.schema(df.schema).parquet(path)
 

@@ -81,10 +81,9 @@ def upserted(path: str, items: DataFrame,
     return apply(items, log.withColumn("seq", F.struct("batch", "seq")).drop("batch"))
 
 
-def stream_search(path: str, fac: DataFrame, vec: DataFrame, geo: DataFrame | None,
-                  procedures: DataFrame, **kwargs) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch writer that answers each batch of queries against the static tables."""
+def stream_search(path: str, table: DataFrame, **kwargs) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch writer that answers each batch of queries against a stored search table."""
     def write(queries: DataFrame, batch_id: int) -> None:
-        hits = search_facilities(queries, fac, vec, geo, procedures, **kwargs)
+        hits = search_facilities(queries, table, **kwargs)
         hits.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
     return write

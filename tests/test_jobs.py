@@ -32,8 +32,7 @@ def test_refresh_then_ask(spark):
     terms = tables["facility_capability"].withColumn("kind", F.lit("capability"))
     answers, hits = ask.answer_batch(
         messages, empty, empty.withColumnRenamed("message_id", "query_id"), fac,
-        tables["facility_vec"], tables["facility_geo"], terms, tables["facility_procedure"],
-        badges, radius_km=200.0)
+        tables["facility_geo"], tables["search"], terms, badges, radius_km=200.0)
     got = {r.message_id: r for r in answers.collect()}
     assert got["m1"].route in ("ok", "no_results") and got["m1"].label == "NATION_2"
     assert got["m2"].route == "place_not_found" and got["m2"].emergency
@@ -75,8 +74,9 @@ def test_requests_have_filters_of_their_own(spark):
     documents = d.facility.select("facility_id", F.lit("eye checkup").alias("doc"))
     terms = d.capability_term.withColumn("kind", F.lit("capability"))
     _, hits = ask.answer_batch(
-        messages, empty, empty.withColumnRenamed("message_id", "query_id"), d.facility,
-        OS.batch_embed(documents), d.facility_geo, terms, d.procedure_term, badges)
+        messages, empty, empty.withColumnRenamed("message_id", "query_id"), d.facility, d.facility_geo,
+        OS.search_table(d.facility, OS.batch_embed(documents), d.facility_geo, d.procedure_term),
+        terms, badges)
     found = {}
     for r in hits.join(d.facility.select("facility_id", F.col("facility_type").alias("k")),
                        "facility_id").collect():

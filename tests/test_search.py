@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from nearwell.operators import geo as OG
 from nearwell.operators import search as OS
+from nearwell.session import scratch_path
 
 FAC = ("facility_id string, name string, facility_type string, operator_type string, lat double, "
        "lng double, beds int, num_doctors int, official_phone string, official_website string, "
@@ -74,9 +75,38 @@ def rows(df):
 @pytest.mark.parametrize("grid", [{}, {"place_rows": 16, "query_rows": 2, "cell_deg": 1.0}])
 @pytest.mark.parametrize("valid", [True, False])
 def test_search_equals_brute_force(world, grid, valid):
-    got = OS.search_pairs(world["queries"], world["fac"], world["vec"],
-                          world["geo"] if valid else None, **grid)
-    assert rows(got) == brute(world, valid)
+    table = stored(world, grid.get("cell_deg", 0.5))
+    assert rows(OS.search_pairs(world["queries"], table, valid, **grid)) == brute(world, valid)
+
+
+def stored(world, cell_deg=0.5):
+    procedures = world["fac"].selectExpr("facility_id", "'Check up' AS txt").where("facility_id < 'f2'")
+    table = OS.search_table(world["fac"], world["vec"], world["geo"], procedures, cell_deg)
+    return OS.write_search_table(table, scratch_path(table.sparkSession, "search-table"))
+
+
+def test_search_reads_only_the_touched_cells(world):
+    table, one = stored(world), world["queries"].where("query_id = 'q0'")
+    hits = OS.search_facilities(one, table)
+    want = [x for x in brute(world) if x[0] == "q0"]
+    assert rows(hits) == want and len(want) > 1
+    reasons = {r.facility_id: r.match_reason for r in hits.collect()}
+    names = {f[0]: f[1] for f in world["rows"]}
+    assert all(m == ("Check up" if f < "f2" else names[f]) for f, m in reasons.items())
+    cells = OG.query_cells(one)
+    plan = OS.touched(table, cells)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(tile" in plan or "PartitionFilters: [tile" in plan
+    assert "PushedFilters: [In(cell" in plan or "PushedFilters: [IsNotNull(cell)" in plan
+    assert OS.touched(table, cells).count() < table.count()
+
+
+@pytest.mark.parametrize("limit", [None, 0, -1])
+def test_a_bad_limit_finds_nothing_and_leaves_the_others(world, limit):
+    table = stored(world)
+    bad = world["queries"].where("query_id = 'q1'").withColumn("limit", F.lit(limit).cast("int"))
+    got = OS.search_pairs(bad.union(world["queries"].where("query_id <> 'q1'")), table)
+    assert rows(got) == [x for x in brute(world) if x[0] != "q1"]
+    assert OS.search_pairs(bad, table).count() == 0
 
 
 def test_radius_search_equals_brute_force_when_cells_are_cut(world):
@@ -107,7 +137,7 @@ def test_scan_blocks_are_exact(world, monkeypatch):
 
 def test_every_query_has_its_own_limit(world):
     wide = world["queries"].withColumn("limit", F.when(F.col("query_id") == "q1", 51).otherwise(1))
-    rows = OS.search_pairs(wide, world["fac"], world["vec"], None).collect()
+    rows = OS.search_pairs(wide, stored(world), False).collect()
     top = {}
     for r in rows:
         top[r.query_id] = max(top.get(r.query_id, 0), r["rank"])
