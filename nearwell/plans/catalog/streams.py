@@ -3,19 +3,27 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearwell.plans.catalog.base import SEARCH_TABLES, hits_sql, query
+from nearwell.operators.registry import upsert_verification
+from nearwell.operators.sessions import TURN_FIELDS
+from nearwell.plans.catalog.base import ORACLES, SEARCH_TABLES, hits_sql, query
 from nearwell.plans.catalog.dialogue import PHRASES, WORDS
+from nearwell.plans.catalog.registry import matched
 from nearwell.plans.catalog.search import batch_queries
 from nearwell.session import scratch_path
+from nearwell.sources.keyed import KeyedTable
 from nearwell.sources.sinks import full_refresh_sink
+from nearwell.streaming import archive
 from nearwell.streaming import streams as X
 
 
-def _stream(d, df: DataFrame, name: str) -> DataFrame:
+def _stream(d, df: DataFrame, name: str, per_batch: int | None = None) -> DataFrame:
     """``df`` written to scratch space and read back as a stream of its files."""
     path = scratch_path(d.spark, name)
     full_refresh_sink(df, path)
-    return d.spark.readStream.schema(df.schema).parquet(path)
+    reader = d.spark.readStream.schema(df.schema)
+    if per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", per_batch)
+    return reader.parquet(path)
 
 
 def _to_table(d, stream: DataFrame, name: str) -> DataFrame:
@@ -84,10 +92,48 @@ def stream_emergency_alerts(d):
       ON b.shortlist_id=i.shortlist_id AND b.facility_id=i.facility_id""",
        "shortlist_item item_change")
 def stream_upsert(d):
-    path = scratch_path(d.spark, "items")
-    changes = _stream(d, d.item_change, "changes")
-    _each_batch(d, changes, X.stream_upsert(path), "items")
-    return X.upserted(path, d.shortlist_item).select("shortlist_id", "facility_id", "rank")
+    table = _keyed(d, d.shortlist_item, ("shortlist_id", "facility_id"), "items")
+    _each_batch(d, _stream(d, d.item_change, "changes"), X.stream_upsert(table, "changes"), "items")
+    return table.read().select("shortlist_id", "facility_id", "rank")
+
+
+def _keyed(d, rows: DataFrame, keys: tuple[str, ...], name: str) -> KeyedTable:
+    table = KeyedTable(d.spark, scratch_path(d.spark, name), keys, rows.schema)
+    table.replace(rows, 16)
+    return table
+
+
+@query("stream_upsert_verification", ORACLES["upsert_verification"])
+def stream_upsert_verification(d):
+    """The matches arrive in two files, one batch each, on top of what was verified before."""
+    old = d.base("supplier").select(F.col("s_suppkey").cast("string").alias("facility_id"),
+                                    F.lit("OLD").alias("source"), F.col("s_name").alias("registry_name"))
+    table = _keyed(d, old, ("facility_id",), "verification")
+    new = matched(d).select("facility_id", "source", "registry_name")
+    stream = _stream(d, new.repartition(2, "facility_id"), "matches", per_batch=1)
+    _each_batch(d, stream, X.stream_upsert(table, "matches", upsert_verification), "verification")
+    return table.read()
+
+
+@query("stream_archive", f"""
+    WITH mark AS (SELECT epoch_ms(max(created_at)) - 600000 AS m FROM turn),
+    done AS (SELECT conversation_id, count(*) AS n, epoch_us(max(created_at)) + 1800000000 AS closed_at
+      FROM turn GROUP BY 1 HAVING (epoch_us(max(created_at)) + 1800000000) < (SELECT m FROM mark) * 1000)
+    SELECT t.conversation_id, user_id, c.lang, epoch_us(started_at) AS started_at,
+      closed_at AS archived_at, cast(n AS int) AS turn_count, cast((turn_no - 1) // 500 AS int) AS part,
+      string_agg(role || ':' || content, '|' ORDER BY turn_no) AS turns
+    FROM turn t JOIN done USING (conversation_id) JOIN conversation c USING (conversation_id)
+    GROUP BY ALL""", "turn conversation")
+def stream_archive(d):
+    facts = d.conversation.select("conversation_id", "user_id", F.col("lang").alias("conversation_lang"),
+                                  "started_at")
+    turns = d.turn.select("conversation_id", *TURN_FIELDS).join(facts, "conversation_id")
+    rows = _to_table(d, archive.stream_archive(_stream(d, turns, "turns")), "archive")
+    back = F.from_json("turns", "array<struct<role:string,content:string>>")
+    text = F.transform(back, lambda t: F.concat(t["role"], F.lit(":"), t["content"]))
+    return rows.select("conversation_id", "user_id", "lang", F.unix_micros("started_at").alias("started_at"),
+                       F.unix_micros("archived_at").alias("archived_at"), "turn_count", "part",
+                       F.array_join(text, "|").alias("turns"))
 
 
 @query("stream_search", f"""WITH {hits_sql()}

@@ -13,6 +13,9 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # merge the sessions of a hot key map-side before they are shuffled
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
+    # streaming state on the executors' disks, as timers and large state need it
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

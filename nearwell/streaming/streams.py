@@ -8,16 +8,16 @@ from pyspark.sql import functions as F
 from nearwell import constants as K
 from nearwell.functions.messages import emergency_flag
 from nearwell.operators.search import search_facilities
-from nearwell.operators.sessions import archive_rollup
 from nearwell.operators.shortlists import upsert_items
+from nearwell.sources.keyed import KeyedTable
 
 
 def stream_idle_sessions(turns: DataFrame, gap: str = f"{K.IDLE_MINUTES} minutes",
                          delay: str = "10 minutes") -> DataFrame:
     """One row per conversation stretch once it has been silent for ``gap``.
 
-    turns(conversation_id, created_at). State is one small row per open session; the turns
-    themselves are archived by ``archive_rollup`` for the ids that this stream emits.
+    turns(conversation_id, created_at). State is one small row per open session;
+    ``archive.stream_archive`` keeps the turns as well and emits the archive rows.
     """
     return (turns.withWatermark("created_at", delay)
             .groupBy("conversation_id", F.session_window("created_at", gap).alias("w"))
@@ -27,24 +27,6 @@ def stream_idle_sessions(turns: DataFrame, gap: str = f"{K.IDLE_MINUTES} minutes
                     "last_activity_at", F.col("w.end").alias("closed_at"), "turn_count"))
 
 
-def stream_archive(conversations: DataFrame, turns: DataFrame, path: str,
-                   ) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch writer of archive rows for the sessions that ``stream_idle_sessions`` closes.
-
-    ``conversations`` and ``turns`` are the stored tables, read anew for every batch. A batch has a
-    folder of its own under ``path``, so a replayed one replaces what it wrote before.
-    """
-    def write(closed: DataFrame, batch_id: int) -> None:
-        ids = closed.groupBy("conversation_id").agg(F.max("closed_at").alias("closed_at"))
-        edge = ids.agg(F.max("closed_at")).first()[0]
-        if edge is not None:
-            gone = conversations.join(ids.select("conversation_id"), "conversation_id", "left_semi")
-            archive_rollup(gone, turns, edge).write.mode("overwrite").parquet(
-                f"{path}/batch={batch_id}")
-
-    return write
-
-
 def stream_usage_rollup(events: DataFrame, width: str = "1 hour",
                         delay: str = "10 minutes") -> DataFrame:
     """Calls and tokens per kind per tumbling window; rows later than the watermark are dropped."""
@@ -60,27 +42,24 @@ def stream_emergency_alerts(messages: DataFrame) -> DataFrame:
     return messages.filter(emergency_flag(F.col("text")))
 
 
-def stream_upsert(path: str) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch writer that logs each batch of changes, at the cost of that batch alone.
+def stream_upsert(table: KeyedTable, writer: str,
+                  apply: Callable[[DataFrame, DataFrame], DataFrame] = upsert_items,
+                  ) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch writer that merges each batch of changes into a keyed table.
 
-    A batch that is run again after a failure overwrites its own folder, so it counts once. Read
-    the table with :func:`upserted`, which merges the log on read.
+    Only the buckets that a batch touches are rewritten, and a batch that is run again after a
+    failure changes nothing. ``apply`` is ``upsert_items``, ``upsert_verification`` or another rule
+    (rows, changes) -> rows. Name the ``writer`` after the stream and its checkpoint.
     """
     def write(changes: DataFrame, batch_id: int) -> None:
-        changes.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        changes.persist()
+        try:
+            table.merge(changes, apply, writer, batch_id)
+        finally:
+            changes.unpersist()
     return write
 
 
-def upserted(path: str, items: DataFrame,
-             apply: Callable[[DataFrame, DataFrame], DataFrame] = upsert_items) -> DataFrame:
-    """``items`` with all logged changes applied, in batch order and then in ``seq`` order.
-
-    Write the result as the new base table, and start a new log, to compact it.
-    """
-    log = items.sparkSession.read.parquet(path)
-    return apply(items, log.withColumn("seq", F.struct("batch", "seq")).drop("batch"))
-
-
 def stream_search(path: str, table: DataFrame, **kwargs) -> Callable[[DataFrame, int], None]:
     """A foreachBatch writer that answers each batch of queries against a stored search table."""
     def write(queries: DataFrame, batch_id: int) -> None:

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from nearwell.operators import search as OS
-from nearwell.operators.shortlists import upsert_items
 from nearwell.plans import ask, build
 from nearwell.plans.domain import Domain
 from nearwell.session import scratch_path
@@ -108,41 +107,3 @@ def test_stream_drops_rows_later_than_the_watermark(spark):
     drain(out, state)
     rows = {str(r.window_start): r.calls for r in spark.read.parquet(out).collect()}
     assert rows == {"2024-01-01 00:00:00": 1, "2024-01-01 02:00:00": 1}
-
-
-def test_stream_upsert_applies_a_batch_once(spark):
-    path = scratch_path(spark, "versions")
-    items = Domain(spark, SF).shortlist_item
-    changes = Domain(spark, SF).item_change
-    write = X.stream_upsert(path)
-    half = [changes.filter(F.col("seq") % 2 == i) for i in (1, 0)]
-    for batch_id, batch in ((0, half[0]), (1, half[1]), (1, half[1])):  # batch 1 is run again
-        write(batch, batch_id)
-    want = upsert_items(upsert_items(items, half[0]), half[1])
-    got = X.upserted(path, items)
-    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
-
-
-def test_closed_sessions_are_archived(spark):
-    from nearwell.operators.sessions import archive_rollup
-
-    d = Domain(spark, SF)
-    source, out, state = (scratch_path(spark, n) for n in ("turns", "archive", "state"))
-    d.turn.select("conversation_id", "created_at").write.parquet(source)
-    late = d.turn.agg(F.max("created_at")).first()[0]
-    spark.createDataFrame([("last", late)], "conversation_id string, t timestamp").select(
-        "conversation_id", (F.col("t") + F.expr("INTERVAL 1 DAY")).alias("created_at")).write.mode(
-        "append").parquet(source)
-    writer = X.stream_archive(d.conversation, d.turn, out)
-
-    def twice(batch, batch_id):
-        writer(batch, batch_id)
-        writer(batch, batch_id)  # as after a failure
-
-    turns = spark.readStream.schema("conversation_id string, created_at timestamp").parquet(source)
-    (X.stream_idle_sessions(turns).writeStream.foreachBatch(twice)
-     .option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination())
-    cols = ["conversation_id", "part", "turn_count", "turns"]
-    got = spark.read.parquet(out).select(*cols).collect()
-    want = archive_rollup(d.conversation, d.turn, late).select(*cols).collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and got
