@@ -31,8 +31,12 @@ def gram_codes(c) -> Column:
 
 def gram_similarity(a, b) -> Column:
     """Jaccard similarity of two gram arrays as a 4-byte float; NULL in, NULL out."""
-    shared = F.array_size(F.array_intersect(a, b))
-    union = F.array_size(a) + F.array_size(b) - shared
+    return shared_similarity(F.array_size(F.array_intersect(a, b)), F.array_size(a) + F.array_size(b))
+
+
+def shared_similarity(shared, both) -> Column:
+    """The same from the number of shared grams and the sum of the two numbers of grams."""
+    union = both - shared
     return F.when(union == 0, F.lit(0.0)).otherwise(
         F.try_divide(shared.cast("double"), union.cast("double"))).cast("float")
 

@@ -5,10 +5,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from nearwell import constants as K
+from nearwell.functions.geo import in_india
 from nearwell.functions.messages import json_object, suspect_evidence
-from nearwell.functions.similarity import gram_codes, gram_similarity
+from nearwell.functions.similarity import gram_codes, shared_similarity
+from nearwell.operators.geo import CELL_DEG, grid_cell
+from nearwell.operators.search import tile_of, touched
 from nearwell.operators.skew import split_groups
-from nearwell.session import spread
+from nearwell.session import materialize, spread
 
 
 def union_terms(specialty: DataFrame, procedure: DataFrame, capability: DataFrame) -> DataFrame:
@@ -28,38 +31,52 @@ def suspect_evidence_filter(terms: DataFrame, fac: DataFrame) -> DataFrame:
             .filter(~suspect_evidence(F.col("_name"), F.col("txt"))).drop("_name"))
 
 
-def _hit_terms(hits: DataFrame, terms: DataFrame) -> DataFrame:
-    """Terms of the facilities that were hit at all (hits are few, terms are many)."""
-    return terms.join(hits.select("facility_id").distinct(), "facility_id", "left_semi")
+def evidence_index(terms: DataFrame, fac: DataFrame, cell_deg: float = CELL_DEG) -> DataFrame:
+    """The plausible terms of located facilities with their grams, one row per facility, kind and text.
+
+    facility_id, kind, txt, ``grams`` (sorted codes), ``n_grams``, and the grid ``cell`` and ``tile``.
+    Claims that the facility's kind makes implausible, or whose verdict is unknown, are left out.
+    Store it with ``search.write_search_table``: evidence then reads the tiles of the hits only, and
+    no gram is made again. Grams are made once per distinct text.
+    """
+    places = fac.filter(in_india(F.col("lat"), F.col("lng"))).select(
+        "facility_id", F.col("name").alias("_name"), grid_cell(F.col("lat"), F.col("lng"), cell_deg).alias("cell"))
+    codes = F.array_sort(F.coalesce(gram_codes(F.col("txt")), F.array().cast("array<bigint>")))
+    texts = materialize(spread(terms.select("txt").distinct(), "txt").withColumn("grams", codes), "grams")
+    return (terms.join(places, "facility_id").filter(~suspect_evidence(F.col("_name"), F.col("txt")))
+            .join(texts, "txt").select("facility_id", "kind", "txt", "grams",
+                                       F.array_size("grams").alias("n_grams"), "cell",
+                                       tile_of(F.col("cell")).alias("tile")))
 
 
-def lexical_evidence(hits: DataFrame, terms: DataFrame,
+def lexical_evidence(hits: DataFrame, index: DataFrame,
                      min_sim: float = K.LEXICAL_MIN_SIMILARITY,
                      top: int = K.LEXICAL_TOP) -> DataFrame:
     """(query_id, facility_id, reason): the terms closest to the need, best first.
 
-    hits: query_id, facility_id, name, need. Evidence depends on the need and the facility only, so
-    it is found once per distinct pair of the two, however often a need is asked; grams are made
-    once per distinct text. Only the ``top`` terms of each task reach the ranking shuffle.
+    hits: query_id, facility_id, need, cell; ``index`` is an evidence index. Evidence depends on the
+    need and the facility only, so it is found once per distinct pair of the two, however often a
+    need is asked. Two texts whose numbers of grams differ too much can't be similar enough and are
+    passed over before their grams are compared. Reasons are written before they meet the hits, so
+    that Spark splits a pair that many queries ask for.
     """
     key = ["facility_id", "need"]
-
-    def codes(c):  # never NULL, so no filter on it is pushed below the distinct
-        return F.coalesce(gram_codes(F.col(c)), F.array().cast("array<bigint>"))
-
-    asked = hits.select(*key, "name").distinct().withColumn("_q", codes("need"))
-    have = _hit_terms(hits, terms)
-    texts = spread(have.select("txt").distinct(), "txt").withColumn("_t", codes("txt"))
-    scored = (asked.join(have, "facility_id").join(texts, "txt")
-              .select(*key, "name", "kind", "txt",
-                      gram_similarity(F.col("_t"), F.col("_q")).alias("s"))
-              .filter(F.col("s").cast("double") > min_sim)
-              .filter(~suspect_evidence(F.col("name"), F.col("txt"))))
+    wanted = F.coalesce(gram_codes(F.col("need")), F.array().cast("array<bigint>"))
+    asked = hits.select(*key).distinct().withColumn("_q", wanted).withColumn("_n", F.array_size("_q"))
+    have = touched(index, hits).select("facility_id", "kind", "txt", "grams", "n_grams")
+    # a little below the threshold, as the similarity itself is rounded to a float
+    possible = F.least("_n", "n_grams") >= (min_sim - 1e-6) * F.greatest("_n", "n_grams")
+    # the grams are compared once, in a projection of their own
+    both = asked.join(have, "facility_id").where(possible).select(
+        *key, "kind", "txt", F.array_size(F.array_intersect("grams", "_q")).alias("_both"),
+        (F.col("_n") + F.col("n_grams")).alias("_all")).where("_both > 0")
+    scored = both.withColumn("s", shared_similarity(F.col("_both"), F.col("_all"))).filter(
+        F.col("s").cast("double") > min_sim)
     order = Window.partitionBy(*key).orderBy(F.desc("s"), "txt", "kind")
     best = scored.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= top)
     ordered = F.sort_array(F.collect_list(F.struct("rn", "txt")))
-    reasons = best.groupBy(*key).agg(F.array_join(
-        F.transform(ordered, lambda x: x["txt"]), K.SEPARATOR).alias("reason"))
+    reasons = materialize(best.groupBy(*key).agg(F.array_join(
+        F.transform(ordered, lambda x: x["txt"]), K.SEPARATOR).alias("reason")), "reasons")
     return hits.select("query_id", *key).join(reasons, key).select(
         "query_id", "facility_id", "reason")
 
@@ -70,13 +87,15 @@ def weak_hits(hits: DataFrame, lexical: DataFrame) -> DataFrame:
                      ["query_id", "facility_id"], "left_anti")
 
 
-def grounding_candidates(weak: DataFrame, terms: DataFrame, fac: DataFrame,
-                         top: int = K.GROUNDING_TOP) -> DataFrame:
-    """(facility_id, rn, txt): the shortest distinct plausible terms of each weak facility."""
-    have = _hit_terms(weak, terms).select("facility_id", "txt").distinct()
+def grounding_candidates(weak: DataFrame, index: DataFrame, top: int = K.GROUNDING_TOP) -> DataFrame:
+    """(facility_id, rn, txt): the shortest distinct plausible terms of each weak facility.
+
+    weak: facility_id and cell; ``index`` is an evidence index.
+    """
+    have = touched(index, weak).select("facility_id", "txt").join(
+        weak.select("facility_id").distinct(), "facility_id", "left_semi").distinct()
     order = Window.partitionBy("facility_id").orderBy(F.length("txt"), "txt")
-    return (suspect_evidence_filter(have, fac)
-            .withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= top)
+    return (have.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= top)
             .select("facility_id", "rn", "txt"))
 
 

@@ -9,7 +9,7 @@ from nearwell.functions.geo import distance_haversine, distance_slc, in_india
 from nearwell.functions.messages import extract_pin
 from nearwell.operators.skew import exact_median
 
-CELL_DEG = 0.5
+CELL_DEG = 1.0
 # A block of the grid join: about this many places meet about this many queries in one task.
 PLACE_ROWS = 16384
 QUERY_ROWS = 2048
@@ -182,7 +182,7 @@ def cut_blocks(asked: DataFrame, here: DataFrame, place_rows: int = PLACE_ROWS,
                query_rows: int = QUERY_ROWS) -> tuple[DataFrame, DataFrame]:
     """Both sides, keyed by ``cell`` already, cut into place parts and query parts of bounded size.
 
-    The counts table has at most one row per cell of the India box (3,840 at 0.5 degrees).
+    The counts table has at most one row per cell of the India box (960 at one degree).
     """
     counts = (here.groupBy("cell").agg(F.count("*").alias("np"))
               .join(asked.groupBy("cell").agg(F.count("*").alias("nq")), "cell")

@@ -260,12 +260,12 @@ def topk_by_score(hits: DataFrame) -> DataFrame:
 # --- the stored search table -------------------------------------------------------------------
 
 #: Cells along a side of a tile, the unit of the table's folders.
-TILE_CELLS = 4
+TILE_CELLS = 2
 SHOWN = ["name", "facility_type", "operator_type", "reason", "beds", "num_doctors", "official_phone",
          "official_website", "city", "state", "lat", "lng"]
 
 
-def _tile(cell) -> "F.Column":
+def tile_of(cell) -> "F.Column":
     return (F.floor(cell / (10000 * TILE_CELLS)) * 10000
             + F.floor(F.pmod(cell, F.lit(10000)) / TILE_CELLS)).cast("int")
 
@@ -287,11 +287,11 @@ def search_table(fac: DataFrame, vec: DataFrame, geo: DataFrame, procedures: Dat
             .join(valid, "facility_id", "left"))
     return rows.select("facility_id", *[c for c in SHOWN if c in rows.columns],
                        F.coalesce("geo_valid", F.lit(False)).alias("geo_valid"), "embedding",
-                       cell.alias("cell"), _tile(cell).alias("tile"))
+                       cell.alias("cell"), tile_of(cell).alias("tile"))
 
 
 def write_search_table(table: DataFrame, path: str) -> DataFrame:
-    """Store the table in a folder per tile, sorted by cell, and read it back.
+    """Store the table, or an evidence index, in a folder per tile, sorted by cell, and read it back.
 
     A busy cell spans as many range partitions, and so files, as its rows need; files of one tile
     hold few cells each, which their statistics tell apart.
@@ -303,11 +303,11 @@ def write_search_table(table: DataFrame, path: str) -> DataFrame:
 
 
 def touched(table: DataFrame, cells: DataFrame) -> DataFrame:
-    """The rows of a search table in the cells of a batch; filters on folders and on statistics.
+    """The rows of a table with ``tile`` and ``cell`` in the cells of a batch, by its folders first.
 
-    The list of cells is bounded by the India box (3,840 at 0.5 degrees).
+    The list of cells is bounded by the India box (960 at one degree).
     """
-    listed = cells.select("cell", _tile(F.col("cell")).alias("tile")).distinct().collect()
+    listed = cells.select("cell", tile_of(F.col("cell")).alias("tile")).distinct().collect()
     tiles, own = sorted({r["tile"] for r in listed}), sorted(r["cell"] for r in listed)
     if not own:
         return table.where("false")

@@ -16,11 +16,11 @@ from nearwell.session import materialize
 
 
 def answer_batch(messages: DataFrame, replies: DataFrame, grounding: DataFrame, fac: DataFrame,
-                 geo: DataFrame, table: DataFrame, terms: DataFrame, verification: DataFrame, model: Callable[[], Callable] = OS.hashed_words,
+                 geo: DataFrame, table: DataFrame, evidence: DataFrame, verification: DataFrame, model: Callable[[], Callable] = OS.hashed_words,
                  radius_km: float = 50.0, limit: int = 20,
                  ) -> tuple[DataFrame, DataFrame]:
     """(answers, hits) for messages(message_id, text, device_lat, device_lng), over the stored search
-    ``table``.
+    ``table`` and ``evidence`` index.
 
     Messages may have type, operator, radius_km and limit of their own; where a column is missing or
     null, any type and operator and the ``radius_km`` and ``limit`` given here hold.
@@ -52,10 +52,11 @@ def answer_batch(messages: DataFrame, replies: DataFrame, grounding: DataFrame,
     hits = OS.overfetch_floor(found.drop("limit").join(
         asked.select(F.col("message_id").alias("query_id"), "limit"), "query_id")).drop("limit")
     need = asked.select(F.col("message_id").alias("query_id"), "need")
-    hits = materialize(hits.join(need, "query_id"), "hits")
-    lexical = materialize(OE.lexical_evidence(hits, terms), "lexical")
+    at = OG.grid_cell(F.col("lat"), F.col("lng"))
+    hits = materialize(hits.join(need, "query_id").withColumn("cell", at), "hits")
+    lexical = materialize(OE.lexical_evidence(hits, evidence), "lexical")
     grounded = OE.merge_grounding(OE.weak_hits(hits, lexical), grounding)
-    shown = OE.verification_badge(OE.evidence_confidence(hits, lexical, grounded), verification)
+    shown = OE.verification_badge(OE.evidence_confidence(hits.drop("cell"), lexical, grounded), verification)
     counts = hits.groupBy(F.col("query_id").alias("message_id")).agg(
         F.count("*").cast("int").alias("n_results"))
     answers = OD.route_query(origins.join(counts, "message_id", "left").withColumn(

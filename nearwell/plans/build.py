@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from nearwell.functions import cleaning as C
 from nearwell.functions import geo as G
 from nearwell.operators import cleaning as OC
+from nearwell.operators import evidence as OE
 from nearwell.operators import geo as OG
 from nearwell.operators import search as OS
 from nearwell.sources.sinks import full_refresh_sink
@@ -45,7 +46,8 @@ def search_documents(bronze: DataFrame, facility: DataFrame) -> DataFrame:
 
 TABLES = ("facility", "facility_specialty", "facility_procedure", "facility_capability",
           "facility_phone", "facility_source_url", "pin_geo", "facility_validated",
-          "facility_geo", "facility_vec", "search")
+          "facility_geo", "facility_vec", "search",
+          "evidence")
 
 
 def open_directory(spark: SparkSession, out: str) -> dict[str, DataFrame]:
@@ -112,6 +114,8 @@ def refresh_directory(spark: SparkSession, bronze: DataFrame, pins: DataFrame, o
     tables["search"] = OS.write_search_table(
         OS.search_table(fac, tables["facility_vec"], tables["facility_geo"],
                         tables["facility_procedure"]), f"{out}/{version}/search")
+    terms = OE.union_terms(*(tables[f"facility_{n}"] for n in ("specialty", "procedure", "capability")))
+    tables["evidence"] = OS.write_search_table(OE.evidence_index(terms, fac), f"{out}/{version}/evidence")
     seq = 1
     if previous:
         seq += spark.read.parquet(f"{out}/versions").agg(F.max("seq")).first()[0]

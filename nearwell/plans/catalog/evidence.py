@@ -72,23 +72,22 @@ WEAK = f"""{LEXICAL},
       WHERE l.query_id=h.query_id AND l.facility_id=h.facility_id))"""
 
 
-def hits_with_need(d):
+def hits_with_need(d, need=None):
     """The ranked hits, written once: every step of the evidence reads them again."""
-    hits = materialize(
-        OS.search_pairs(batch_queries(d), d.search_table), "hits")
-    return (hits.join(d.search_query.select("query_id", "need"), "query_id")
-            .join(d.facility.select("facility_id", "name"), "facility_id"))
+    hits = OS.search_pairs(batch_queries(d), d.search_table)
+    named = (hits.join(d.search_query.select("query_id", "need"), "query_id")
+             .join(d.facility.select("facility_id", "name"), "facility_id"))
+    return materialize(named if need is None else named.withColumn("need", need), "hits")
 
 
 @query("lexical_evidence", f"WITH {LEXICAL} SELECT * FROM lexical", ALL)
 def lexical_evidence(d):
-    return OE.lexical_evidence(hits_with_need(d), all_terms(d))
+    return OE.lexical_evidence(hits_with_need(d), d.evidence_index)
 
 
 def odd_hits(d):
     """Every other need is unlike any listed term, so that some hits stay weak."""
-    return hits_with_need(d).withColumn("need", F.when(
-        F.col("query_id").cast("int") % 2 == 0, "zzz qqq").otherwise(F.col("need")))
+    return hits_with_need(d, F.when(F.col("query_id").cast("int") % 2 == 0, "zzz qqq").otherwise(F.col("need")))
 
 
 ODD_WEAK = WEAK.replace(
@@ -98,7 +97,7 @@ ODD_WEAK = WEAK.replace(
 
 def weak_of(d):
     hits = odd_hits(d)
-    return materialize(OE.weak_hits(hits, OE.lexical_evidence(hits, all_terms(d))), "weak")
+    return materialize(OE.weak_hits(hits, OE.lexical_evidence(hits, d.evidence_index)), "weak")
 
 
 @query("weak_hits", f"WITH {ODD_WEAK} SELECT query_id, facility_id, need FROM weak", ALL)
@@ -118,7 +117,7 @@ CANDIDATES = f"""
 
 @query("grounding_candidates", f"WITH {ODD_WEAK}, {CANDIDATES} SELECT * FROM cand", ALL)
 def grounding_candidates(d):
-    return OE.grounding_candidates(weak_of(d), all_terms(d), d.facility)
+    return OE.grounding_candidates(weak_of(d), d.evidence_index)
 
 
 @query("grounding_requests", f"""WITH {ODD_WEAK}, {CANDIDATES},
@@ -129,7 +128,7 @@ def grounding_candidates(d):
     FROM weak LEFT JOIN lists USING (facility_id) GROUP BY query_id, need""", ALL)
 def grounding_requests(d):
     weak = weak_of(d)
-    cands = OE.grounding_candidates(weak, all_terms(d), d.facility)
+    cands = OE.grounding_candidates(weak, d.evidence_index)
     return OE.grounding_requests(weak, cands).select("query_id", "prompt")
 
 
@@ -167,7 +166,7 @@ def merge_grounding(d):
     LEFT JOIN grounded g USING (query_id, facility_id)""", ALL + " grounding_reply")
 def evidence_confidence(d):
     hits = odd_hits(d)
-    lexical = materialize(OE.lexical_evidence(hits, all_terms(d)), "lexical")
+    lexical = materialize(OE.lexical_evidence(hits, d.evidence_index), "lexical")
     grounded = OE.merge_grounding(OE.weak_hits(hits, lexical), d.grounding_reply)
     named = hits.withColumn("match_reason", F.col("name"))
     return OE.evidence_confidence(named, lexical, grounded).select(

@@ -11,6 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from nearwell.operators.evidence import evidence_index, union_terms
 from nearwell.operators.search import search_table, write_search_table
 from nearwell.session import scratch_path, tune
 
@@ -371,6 +372,11 @@ class Domain:
         return self._shared("search_table", lambda: search_table(
             self.facility, self.facility_vec, self.facility_geo, self.procedure_term), write_search_table)
 
+    @property
+    def evidence_index(self) -> DataFrame:
+        return self._shared("evidence_index", lambda: evidence_index(union_terms(
+            self.specialty_term, self.procedure_term, self.capability_term), self.facility), write_search_table)
+
     def _shared(self, name: str, make, write) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.dir, name)
         try:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from nearwell.operators import evidence as OE
 from nearwell.operators import search as OS
 from nearwell.plans import ask, build
 from nearwell.plans.domain import Domain
@@ -28,10 +29,9 @@ def test_refresh_then_ask(spark):
         "message_id string, text string, device_lat double, device_lng double")
     empty = spark.createDataFrame([], "message_id string, reply string")
     badges = spark.createDataFrame([], "facility_id string, source string, verified boolean")
-    terms = tables["facility_capability"].withColumn("kind", F.lit("capability"))
     answers, hits = ask.answer_batch(
         messages, empty, empty.withColumnRenamed("message_id", "query_id"), fac,
-        tables["facility_geo"], tables["search"], terms, badges, radius_km=200.0)
+        tables["facility_geo"], tables["search"], tables["evidence"], badges, radius_km=200.0)
     got = {r.message_id: r for r in answers.collect()}
     assert got["m1"].route in ("ok", "no_results") and got["m1"].label == "NATION_2"
     assert got["m2"].route == "place_not_found" and got["m2"].emergency
@@ -75,7 +75,7 @@ def test_requests_have_filters_of_their_own(spark):
     _, hits = ask.answer_batch(
         messages, empty, empty.withColumnRenamed("message_id", "query_id"), d.facility, d.facility_geo,
         OS.search_table(d.facility, OS.batch_embed(documents), d.facility_geo, d.procedure_term),
-        terms, badges)
+        OE.evidence_index(terms, d.facility), badges)
     found = {}
     for r in hits.join(d.facility.select("facility_id", F.col("facility_type").alias("k")),
                        "facility_id").collect():

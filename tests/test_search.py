@@ -72,14 +72,14 @@ def rows(df):
                   for r in df.collect())
 
 
-@pytest.mark.parametrize("grid", [{}, {"place_rows": 16, "query_rows": 2, "cell_deg": 1.0}])
+@pytest.mark.parametrize("grid", [{}, {"place_rows": 16, "query_rows": 2, "cell_deg": 0.5}])
 @pytest.mark.parametrize("valid", [True, False])
 def test_search_equals_brute_force(world, grid, valid):
-    table = stored(world, grid.get("cell_deg", 0.5))
+    table = stored(world, grid.get("cell_deg", 1.0))
     assert rows(OS.search_pairs(world["queries"], table, valid, **grid)) == brute(world, valid)
 
 
-def stored(world, cell_deg=0.5):
+def stored(world, cell_deg=1.0):
     procedures = world["fac"].selectExpr("facility_id", "'Check up' AS txt").where("facility_id < 'f2'")
     table = OS.search_table(world["fac"], world["vec"], world["geo"], procedures, cell_deg)
     return OS.write_search_table(table, scratch_path(table.sparkSession, "search-table"))
