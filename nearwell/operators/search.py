@@ -6,6 +6,7 @@ order of magnitude cheaper than a higher-order function over two arrays.
 """
 
 import hashlib
+import itertools
 import sys
 from collections.abc import Callable, Iterator
 
@@ -13,6 +14,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +27,7 @@ from nearwell.constants import (BEDS_SCALE, DOCTORS_SCALE, EARTH_KM, WEIGHT_BEDS
 from nearwell.functions.geo import in_india
 from nearwell.operators.geo import (BLOCK, CELL_DEG, PLACE_ROWS, QUERY_ROWS, cut_blocks, grid_cell,
                                     query_cells)
-from nearwell.session import materialize, spread
+from nearwell.session import materialize, scratch_path, spread
 
 # ship the task functions of this module by value: executors need numpy and pyarrow only
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -111,19 +114,24 @@ def _best(primary: np.ndarray, secondary: np.ndarray, ids: np.ndarray, k: int) -
 SCAN_SCHEMA = "query_id string, facility_id string, similarity double"
 
 
-def _scan_top(qids, q, ids, v, k) -> list[tuple]:
-    """Per query the k best ids of one block of vectors, by rounded similarity and id."""
+def _scan_top(qids, q, ids, v, k, best) -> list[tuple]:
+    """Per query the k best ids of one block of vectors, by rounded similarity and id.
+
+    ``best`` holds the k best similarities of each query in the blocks before, and then with this one;
+    what can't round to the least of them is passed over.
+    """
     sims = np.nan_to_num(q @ v.T, nan=-np.inf)
+    top = np.partition(sims, -k, axis=1)[:, -k:] if sims.shape[1] > k else sims
+    best[:] = np.partition(np.concatenate((best, top), axis=1), -k, axis=1)[:, -k:]
     # everything that could round to the k-th best value or above
-    kth = np.partition(sims, -k, axis=1)[:, -k] if sims.shape[1] > k else np.full(len(q), -np.inf)
-    rows, cols = np.nonzero((sims >= (kth - 0.002)[:, None]) & np.isfinite(sims))
+    rows, cols = np.nonzero((sims >= (best.min(axis=1) - 0.002)[:, None]) & np.isfinite(sims))
     ends = np.searchsorted(rows, np.arange(len(q) + 1))
     out = []
-    for i, qid in enumerate(qids):
+    for i in np.unique(rows):
         at = cols[ends[i]:ends[i + 1]]
         near = np.round(sims[i, at], 3)
-        best = _best(near, np.zeros(len(at)), ids[at], k)
-        out.append((np.repeat(qid, len(best)), ids[at[best]], near[best]))
+        first = _best(near, np.zeros(len(at)), ids[at], k)
+        out.append((np.repeat(qids[i], len(first)), ids[at[first]], near[first]))
     return out
 
 
@@ -138,42 +146,65 @@ def semantic_scan(queries: DataFrame, vec: DataFrame, k: int) -> DataFrame:
     """Top ``k`` facilities per query by cosine over all vectors: query_id, rank, facility_id,
     similarity (3 digits; ties by id).
 
-    Queries and vectors are joined as (vector part, query part) blocks of bounded size, whatever
-    the batch; each block gives ``k`` rows per query to the final ranking, and nothing passes
-    through the driver.
+    The vectors are read once, where they lie, whatever the batch: the queries come to them, in blocks
+    of ``QUERY_ROWS``. One block goes with the task, more are files in shared scratch space, one of
+    them in memory at a time. A task keeps the ``k`` best similarities of each query so far and gives
+    on only what can be among them. Vectors of fewer splits than there are cores are spread first.
     """
-    q = queries.select(F.col("query_id").cast("string").alias("query_id"), "qv")
-    best = _scan_blocks(q, vec.select("facility_id", "embedding"), k)
+    blocks = _query_blocks(queries.select(F.col("query_id").cast("string").alias("query_id"), "qv"))
+    vec = vec.select("facility_id", "embedding")
+    cores = vec.sparkSession.sparkContext.defaultParallelism
+    if len(blocks) > 1 and vec._jdf.queryExecution().toRdd().getNumPartitions() < cores:
+        vec = vec.repartition(cores)
+    best = vec.mapInArrow(_scan(blocks, k, PLACE_ROWS), SCAN_SCHEMA)
     rank = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "facility_id")
     return (best.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "facility_id", "similarity"))
 
 
-def _scan_blocks(queries: DataFrame, vec: DataFrame, k: int) -> DataFrame:
-    def parts(df, rows):
-        return F.greatest(F.lit(1), F.ceil(df.agg(F.count("*")).scalar() / rows)).cast("int")
-
-    sizes = {"vp": parts(vec, PLACE_ROWS), "qp": parts(queries, QUERY_ROWS)}
-    v = (vec.withColumns({"_v": sizes["vp"], "_q": sizes["qp"]})
-         .withColumn("vp", F.pmod(F.xxhash64("facility_id"), F.col("_v")).cast("int"))
-         .withColumn("qp", F.explode(F.sequence(F.lit(0), F.col("_q") - 1))).drop("_v", "_q"))
-    q = (queries.withColumns({"_v": sizes["vp"], "_q": sizes["qp"]})
-         .withColumn("qp", F.pmod(F.xxhash64("query_id"), F.col("_q")).cast("int"))
-         .withColumn("vp", F.explode(F.sequence(F.lit(0), F.col("_v") - 1))).drop("_v", "_q"))
-
-    def block(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return _scan_table([])
-        qids = np.array(left.column("query_id").to_pylist(), dtype=object)
-        q, v = _matrix(left.column("qv")), _matrix(right.column("embedding"))
-        ids = np.array(right.column("facility_id").to_pylist(), dtype=object)
-        out = []
-        for at in range(0, len(qids), 128):
-            out += _scan_top(qids[at:at + 128], q[at:at + 128], ids, v, k)
-        return _scan_table(out)
-
-    q, v = spread(q, "vp", "qp"), spread(v, "vp", "qp")
-    return q.groupBy("vp", "qp").cogroup(v.groupBy("vp", "qp")).applyInArrow(block, SCAN_SCHEMA)
+def _query_blocks(queries: DataFrame) -> list[pa.Table | str]:
+    """The batch itself if it is one block, else the files of its blocks."""
+    head = queries.limit(QUERY_ROWS + 1).toArrow()
+    if head.num_rows <= QUERY_ROWS:
+        return [head]
+    path = scratch_path(queries.sparkSession, "scan-queries")
+    queries.write.option("maxRecordsPerFile", QUERY_ROWS).parquet(path)
+    return sorted(queries.sparkSession.read.schema(queries.schema).parquet(path).inputFiles())
+
+
+def _scan(blocks: list[pa.Table | str], k: int, rows: int):
+    def load(block: pa.Table | str) -> tuple[np.ndarray, np.ndarray]:
+        if isinstance(block, str):
+            system, name = fs.FileSystem.from_uri(block)
+            block = pq.read_table(name, filesystem=system, partitioning=None)
+        return np.array(block["query_id"].to_pylist(), dtype=object), _matrix(block["qv"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, np.ndarray] = {}
+        only = load(blocks[0]) if len(blocks) == 1 and len(blocks[0]) else None
+        waiting, have = [], 0
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None and batch.num_rows:
+                waiting.append(batch)
+                have += batch.num_rows
+            if not waiting or (batch is not None and have < rows):
+                continue
+            part = pa.Table.from_batches(waiting)
+            waiting, have = [], 0
+            ids, v = np.array(part["facility_id"].to_pylist(), dtype=object), _matrix(part["embedding"])
+            for b, block in enumerate(blocks):
+                if only is None and not isinstance(block, str):
+                    continue  # no queries
+                qids, q = only or load(block)
+                if b not in best:
+                    best[b] = np.full((len(qids), k), -np.inf, np.float64)
+                found: list[tuple] = []
+                for at in range(0, len(qids), 128):
+                    cut = slice(at, at + 128)
+                    found += _scan_top(qids[cut], q[cut], ids, v, k, best[b][cut])
+                yield from _scan_table(found).to_batches()
+
+    return run
 
 
 # --- hybrid search -----------------------------------------------------------------------------

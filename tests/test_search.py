@@ -125,14 +125,28 @@ def test_exact_radius_is_inside(spark):
     assert OG.radius_search(q.filter("query_id='out'"), fac).count() == 0
 
 
-def test_scan_blocks_are_exact(world, monkeypatch):
-    whole = OS.semantic_scan(world["queries"], world["vec"], 40)
+def test_scan_equals_brute_force(world, monkeypatch):
     cols = ["query_id", "rank", "facility_id", "similarity"]
-    a = {tuple(r[c] for c in cols) for r in whole.collect()}
-    monkeypatch.setattr(OS, "PLACE_ROWS", 50)
-    monkeypatch.setattr(OS, "QUERY_ROWS", 2)
-    cut = OS.semantic_scan(world["queries"], world["vec"], 40)
-    assert a == {tuple(r[c] for c in cols) for r in cut.collect()} and len(a) == 9 * 40
+    vecs = world["vecs"].astype("float64")
+    unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    want = set()
+    for qid, qv, *_ in world["q"]:
+        sims = np.round(unit @ (np.array(qv, "float64") / np.linalg.norm(qv)), 3)
+        order = sorted(range(len(sims)), key=lambda i: (-sims[i], i))[:40]
+        want |= {(qid, r + 1, f"f{i:03d}", float(sims[i])) for r, i in enumerate(order)}
+
+    def scan(vec):
+        return {tuple(r[c] for c in cols) for r in OS.semantic_scan(world["queries"], vec, 40).collect()}
+
+    assert scan(world["vec"]) == want
+    for rows in (50, 7):  # several blocks of vectors in a task, several files of queries
+        monkeypatch.setattr(OS, "PLACE_ROWS", rows)
+        monkeypatch.setattr(OS, "QUERY_ROWS", 2)
+        assert scan(world["vec"].coalesce(1)) == want
+    assert scan(world["vec"].where("false")) == set()
+    zero = world["vec"].selectExpr("facility_id", "transform(embedding, x -> cast(0 AS float)) AS embedding")
+    assert scan(zero) == set()
+    assert OS.semantic_scan(world["queries"].where("false"), world["vec"], 3).count() == 0
 
 
 def test_every_query_has_its_own_limit(world):
