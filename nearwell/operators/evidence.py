@@ -164,9 +164,10 @@ def facility_detail(fac: DataFrame, specialty: DataFrame, procedure: DataFrame,
                     max_items: int = 10000) -> DataFrame:
     """Every facility with arrays of its specialties, procedures, capabilities, URLs and phones.
 
-    The children are shuffled once, as one long table. A facility with more than about
-    ``max_items`` children is given on several rows (``part`` of ``parts``), each with a share of
-    them, so no row and no buffer grows without bound.
+    A facility with more than about ``max_items`` children, or 64 MB of them, is given on several rows
+    (``part`` of ``parts``), each with a share of them. Its children are cut before any join, by counts
+    of salted pieces, and its rows are written before they meet the facility, so no task, row or buffer
+    holds all of them.
     """
     def child(df, kind, value):
         official = F.col("is_official") if kind == "phone" else F.lit(None).cast("boolean")
@@ -176,7 +177,7 @@ def facility_detail(fac: DataFrame, specialty: DataFrame, procedure: DataFrame,
     items = (child(specialty, "specialty", "txt").unionAll(child(procedure, "procedure", "txt"))
              .unionAll(child(capability, "capability", "txt"))
              .unionAll(child(urls, "url", "source_url")).unionAll(child(phones, "phone", "phone")))
-    items = split_groups(items, "facility_id", F.concat("kind", "txt"), max_items)
+    items = split_groups(items, "facility_id", F.concat("kind", "txt"), max_items, F.octet_length("txt"))
 
     def listed(kind):
         return F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.col("txt"))))
@@ -186,5 +187,10 @@ def facility_detail(fac: DataFrame, specialty: DataFrame, procedure: DataFrame,
         listed("specialty").alias("specialties"), listed("procedure").alias("procedures"),
         listed("capability").alias("capabilities"), listed("url").alias("source_urls"),
         F.sort_array(F.collect_list(phone)).alias("phones"))
-    return fac.join(lists, "facility_id", "left").withColumns({
-        "part": F.coalesce("part", F.lit(0)), "parts": F.coalesce("parts", F.lit(1))})
+    lists = materialize(lists, "facility-children")
+    # an inner join, as Spark splits a hot key of the right side only there
+    bare = fac.join(lists.select("facility_id").distinct(), "facility_id", "left_anti")
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) if f.name not in ("part", "parts")
+             else F.lit(0 if f.name == "part" else 1).alias(f.name)
+             for f in lists.schema if f.name != "facility_id"]
+    return fac.join(lists, "facility_id").unionByName(bare.select(*fac.columns, *empty))

@@ -12,11 +12,9 @@ TURNS_PER_ARCHIVE_ROW = 500
 def number_turns(messages: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Add turn_no to messages(conversation_id, created_at, seq), after any existing turns.
 
-    Numbered hour by hour, so one endless conversation is spread over many tasks.
+    Numbered in ranges of time, so one busy conversation is spread over many tasks.
     """
-    hour = F.floor(F.unix_seconds("created_at") / 3600)
-    numbered = running_number(messages, "conversation_id",
-                              [F.col("created_at"), F.col("seq")], hour, "turn_no")
+    numbered = running_number(messages, "conversation_id", [F.col("created_at"), F.col("seq")], "turn_no")
     if existing is None:
         return numbered
     last = existing.groupBy("conversation_id").agg(F.max("turn_no").alias("_last"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from nearwell.session import materialize
+
 
 def _one_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column], pick) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
@@ -75,31 +77,34 @@ def exact_median(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
         F.max("n").alias("n"))
 
 
-def running_number(df: DataFrame, key: str, order: Sequence[Column], bucket: Column,
-                   name: str) -> DataFrame:
-    """1, 2, 3, ... per key in ``order``, one (key, bucket) piece per task.
+def running_number(df: DataFrame, key: str, order: Sequence[Column], name: str) -> DataFrame:
+    """1, 2, 3, ... per key in ``order``, however many rows a key has at one time.
 
-    ``bucket`` must not decrease along ``order`` (a time slice of its first column, say). Pieces
-    are numbered apart and shifted by the map-side counts of the buckets before them.
+    Rows are dealt by ranges of (key, order), so a hot key is as many pieces as its rows need; the
+    pieces are written, numbered apart, and shifted by the counts of the pieces before them. Rows that
+    agree in key and order are numbered by a hash of the row.
     """
-    df = df.withColumn("_bucket", bucket)
-    counts = df.groupBy(key, "_bucket").agg(F.count("*").alias("_n"))
-    earlier = (Window.partitionBy(key).orderBy("_bucket")
-               .rowsBetween(Window.unboundedPreceding, -1))
-    shift = counts.select(
-        key, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
-    piece = Window.partitionBy(key, "_bucket").orderBy(*order)
-    return (df.join(shift, [key, "_bucket"])
+    tie = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))
+    pieces = materialize(
+        df.repartitionByRange(F.col(key), *order, tie).withColumn("_piece", F.spark_partition_id()), "pieces")
+    earlier = Window.partitionBy(key).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    shift = pieces.groupBy(key, "_piece").agg(F.count("*").alias("_n")).select(
+        F.col(key).alias("_key"), F.col("_piece").alias("_at"),
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_shift"))
+    piece = Window.partitionBy(key, "_piece").orderBy(*order, tie)
+    same = (F.col("_piece") == F.col("_at")) & F.col(key).eqNullSafe(F.col("_key"))
+    return (pieces.join(shift, same)
             .withColumn(name, (F.row_number().over(piece) + F.col("_shift")).cast("int"))
-            .drop("_bucket", "_shift"))
+            .drop("_piece", "_key", "_at", "_shift"))
 
 
 def previous_value(df: DataFrame, key: str, order: Column, bucket: Column, value: Column,
                    name: str) -> DataFrame:
     """The last non-NULL ``value`` strictly before each row of its key, in ``order``.
 
-    Split like :func:`running_number`: the last value of every bucket is a map-side aggregate,
-    carried over the (few) buckets, and only rows of one bucket meet in a window.
+    ``bucket`` must not decrease along ``order`` (a time slice of its first column, say). The last
+    value of every bucket is a map-side aggregate, carried over the (few) buckets, and only rows of
+    one bucket meet in a window.
     """
     df = df.withColumn("_bucket", bucket).withColumn("_value", value)
     lasts = df.groupBy(key, "_bucket").agg(
@@ -117,9 +122,29 @@ def previous_value(df: DataFrame, key: str, order: Column, bucket: Column, value
             .drop("_bucket", "_value", "_carried"))
 
 
-def split_groups(df: DataFrame, key: str, item: Column, max_rows: int) -> DataFrame:
-    """Add ``part`` and ``parts`` so that (key, part) holds about ``max_rows`` rows at most."""
-    counts = df.groupBy(key).agg(
-        F.ceil(F.count("*") / max_rows).cast("int").alias("parts"))
-    return df.join(counts, key).withColumn(
-        "part", F.pmod(F.xxhash64(item), F.col("parts").cast("long")).cast("int"))
+#: Salts that a key's rows are counted under before they are cut.
+SALTS = 256
+
+
+def split_groups(df: DataFrame, key: str, item: Column, max_rows: int, size: Column | None = None,
+                 max_bytes: int = 64 << 20) -> DataFrame:
+    """Add ``part`` and ``parts`` so that (key, part) holds about ``max_rows`` rows at most, and about
+    ``max_bytes`` of ``size`` where that is given.
+
+    Rows are counted per key and salt of ``item``, a key's counts (``SALTS`` rows at most) are added
+    up, and every row meets the count of its own salt: no task gets a whole hot key. A null key has
+    its parts like any other.
+    """
+    salt = F.pmod(F.xxhash64(item), F.lit(SALTS)).cast("int")
+    rows = df.withColumn("_salt", salt)
+    weight = F.lit(0) if size is None else F.coalesce(size, F.lit(0))
+    counts = rows.groupBy(key, "_salt").agg(F.count("*").alias("_n"), F.sum(weight).alias("_b"))
+    whole = Window.partitionBy(key)
+    needed = F.greatest(F.ceil(F.sum("_n").over(whole) / max_rows), F.ceil(F.sum("_b").over(whole) / max_bytes))
+    # written first, so that the join is one of two tables
+    counts = materialize(counts.select(F.col(key).alias("_key"), F.col("_salt").alias("_of"),
+                                       needed.cast("int").alias("parts")), "group-parts")
+    same = (F.col("_salt") == F.col("_of")) & F.col(key).eqNullSafe(F.col("_key"))
+    return rows.join(counts, same).withColumn(
+        "part", F.pmod(F.xxhash64(item, F.lit("part")), F.col("parts").cast("long")).cast("int")).drop(
+        "_salt", "_key", "_of")

@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 from statistics import median
 
+import pytest
 from pyspark.sql import functions as F
 
 from nearwell.operators import skew
@@ -41,7 +42,7 @@ def test_running_number_and_previous_value(spark):
     df = spark.createDataFrame(rows, "k string, i int, v double, o int")
     bucket = F.floor(F.col("o") / 100)
     got = defaultdict(dict)
-    for r in skew.running_number(df, "k", [F.col("o"), F.col("i")], bucket, "n").collect():
+    for r in skew.running_number(df, "k", [F.col("o"), F.col("i")], "n").collect():
         got[r.k][r.i] = r.n
     want, last = defaultdict(list), {}
     for k, i, _, o in sorted(rows, key=lambda r: (r[3], r[1])):
@@ -59,8 +60,46 @@ def test_running_number_and_previous_value(spark):
             last[r.k] = r.i
 
 
+def largest_task(df):
+    """Rows of the largest partition of a plan that ends in work on hot groups."""
+    return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+
+@pytest.fixture
+def apart(spark):
+    """No broadcasts and no coalescing, as on tables of any size."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {c: spark.conf.get(c) for c in settings}
+    for c, v in settings.items():
+        spark.conf.set(c, v)
+    yield
+    for c, v in before.items():
+        spark.conf.set(c, v)
+
+
+def test_one_busy_hour_is_many_tasks(spark, apart):
+    df = spark.range(40_000).select(F.when(F.col("id") % 5 > 0, "hot").alias("k"), "id",
+                                    F.lit("2024-01-01 10:00:00").cast("timestamp").alias("at"))
+    out = skew.running_number(df, "k", [F.col("at"), F.col("id")], "n")
+    assert largest_task(out) < 12_000  # 32,000 rows are hot, 8,000 have a null key
+    assert out.where("k IS NOT NULL AND n <> id - id div 5").count() == 0
+    assert out.where("k IS NULL AND n <> id div 5 + 1").count() == 0
+
+
 def test_split_groups_bounds_and_keeps_rows(spark):
     df = spark.range(5000).select(F.lit("hot").alias("k"), "id")
     parts = skew.split_groups(df, "k", F.col("id"), 500)
     sizes = [r["count"] for r in parts.groupBy("k", "part").count().collect()]
     assert sum(sizes) == 5000 and len(sizes) == 10 and max(sizes) < 700
+    wide = skew.split_groups(df, "k", F.col("id"), 50_000, F.lit(1000), 1_000_000)
+    assert {r["parts"] for r in wide.select("parts").distinct().collect()} == {5}
+
+
+def test_a_hot_group_is_cut_before_any_join(spark, apart):
+    df = spark.range(40_000).select(F.when(F.col("id") % 5 > 0, "hot").when(F.col("id") % 10 == 0, "cool")
+                                    .alias("k"), "id").repartition(8)
+    out = skew.split_groups(df, "k", F.col("id"), 500)
+    assert largest_task(out) < 9_000  # 32,000 rows are hot
+    got = {r["k"]: (r["n"], r["p"]) for r in out.groupBy("k").agg(
+        F.count("*").alias("n"), F.max("parts").alias("p")).collect()}
+    assert got == {"hot": (32_000, 64), "cool": (4_000, 8), None: (4_000, 8)}
