@@ -325,6 +325,13 @@ def pin_defanout(d):
         c: F.round(c, 6) for c in ("centroid_lat", "centroid_lng")})
 
 
+@query("pin_candidate_districts", f"""
+    SELECT DISTINCT pincode, {initcap('trim(district)')} AS district FROM pin_directory
+    WHERE regexp_full_match(pincode, '[0-9]{{6}}') AND district IS NOT NULL""", "pin_directory")
+def pin_candidate_districts(d):
+    return OC.pin_candidate_districts(d.pin_directory)
+
+
 @query("dedupe_first_seen", """
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (
       SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber

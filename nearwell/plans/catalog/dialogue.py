@@ -124,6 +124,16 @@ def route_query(d):
     return OD.route_query(asked, chat=True).select("message_id", "route", "reply")
 
 
+@query("localize_requests", f"""
+    SELECT query_id, '{K.LOCALIZE_PROMPT.replace("'", "''")}' AS system,
+      'target=' || lang || '  ' || to_json({{'summary': summary, 'reasons': [reason_one, reason_two]}})::varchar
+        AS prompt
+    FROM answer WHERE lang <> 'en'""", "answer")
+def localize_requests(d):
+    return OD.localize_requests(d.answer.select(
+        "query_id", "lang", "summary", F.array("reason_one", "reason_two").alias("reasons")))
+
+
 @query("localize_merge", """
     WITH a AS (SELECT *, regexp_extract(reply, '(?s)\\{.*\\}', 0) AS span FROM answer),
     b AS (SELECT *, CASE WHEN lang <> 'en' AND json_valid(span) THEN span END AS o FROM a)

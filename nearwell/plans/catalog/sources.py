@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from nearwell.operators import cleaning as OC
 from nearwell.operators import geo as OG
 from nearwell.operators import registry as OR
 from nearwell.operators import sessions as ON
@@ -51,6 +52,22 @@ def scan_registry_csv(d):
     return readers.scan_registry_csv(d.spark, _registry_path(d))
 
 
+@query("dedupe_first_seen_registry", """
+    SELECT registry_name, city, source, state FROM (
+      SELECT *, row_number() OVER (PARTITION BY lower(registry_name), lower(city)
+        ORDER BY s_suppkey % 4, s_suppkey) AS rn FROM registry) WHERE rn=1""", "facility registry")
+def dedupe_first_seen_registry(d):
+    """Registry rows in four files, in the order of their files and of the rows there."""
+    path = scratch_path(d.spark, "registry")
+    part = F.pmod("s_suppkey", F.lit(4))
+    raw = d.registry.select(*REGISTRY.split(", "), "s_suppkey", part.alias("part"))
+    (raw.repartition(4, "part").sortWithinPartitions("part", "s_suppkey").drop("s_suppkey")
+     .write.option("header", True).option("escape", '"').partitionBy("part").csv(path))
+    rows = readers.scan_registry_csv(d.spark, path, positions=True)
+    keys = {"name": F.lower("registry_name"), "place": F.lower("city")}
+    return OC.dedupe_first_seen(rows, keys, ["file", "pos"]).select("registry_name", "city", "source", "state")
+
+
 @query("stage_registry", f"""SELECT {REGISTRY.replace('registry_name,',
     "registry_name || ' ' || '\"x\",' || ' ' || 'y' AS registry_name,")} FROM registry""",
        "facility registry")
