@@ -66,3 +66,33 @@ def answer_batch(messages: DataFrame, replies: DataFrame, grounding: DataFrame,
         emergency_flag(F.col("text")).alias("emergency"), "lat", "lng", "label", "precision",
         "n_results", "route", "reply",
         result_summary(F.col("n_results"), F.col("need"), F.col("label")).alias("summary")), shown
+
+
+def answer_requests(requests: DataFrame, replies: DataFrame, grounding: DataFrame, fac: DataFrame,
+                    geo: DataFrame, table: DataFrame, evidence: DataFrame, verification: DataFrame,
+                    **options) -> tuple[DataFrame, DataFrame]:
+    """(answers, hits) for raw requests(message_id, text, lat, lng, radius, limit, operator, type), all
+    of them text as it arrives.
+
+    Requests with a parameter out of range are not searched: their answer has the route ``invalid``
+    and names the parameters in its reply. The others are answered by :func:`answer_batch`, each
+    with its own radius, limit, type and operator.
+    """
+    good, bad = OD.validate_request(requests, "text", point_required=False, default_limit=20,
+                                    check_operator=True)
+    messages = good.select("message_id", "text", F.col("lat").alias("device_lat"),
+                           F.col("lng").alias("device_lng"), F.col("radius").alias("radius_km"), "limit",
+                           "operator", "type")
+    answers, hits = answer_batch(messages, replies, grounding, fac, geo, table, evidence, verification, **options)
+    refused = {"message_id": F.col("message_id"), "emergency": emergency_flag(F.col("text")),
+               "n_results": F.lit(0), "route": F.lit("invalid"),
+               "reply": F.concat(F.lit("invalid: "), "error")}
+    rows = bad.select(*[refused.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
+                        for f in answers.schema])
+    return answers.unionByName(rows), hits
+
+
+def model_requests(messages: DataFrame) -> DataFrame:
+    """(message_id, system, prompt) of the messages that the plain "need near place" form doesn't read;
+    the replies to these are the ``replies`` of :func:`answer_batch`."""
+    return OD.intent_requests(OD.parse_need_place(messages))

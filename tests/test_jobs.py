@@ -85,6 +85,35 @@ def test_requests_have_filters_of_their_own(spark):
     assert all(set(k) == {q} and len(k) <= 2 for q, k in found.items())
 
 
+def test_bad_requests_are_refused_and_the_others_answered(spark):
+    d = Domain(spark, SF)
+    rows = [("ok", "Eye checkup near NATION_2", None, None, "500", "3", None, None),
+            ("default", "Eye checkup near NATION_2", None, None, None, None, "public", None),
+            ("limit", "Eye checkup near NATION_2", None, None, None, "0", None, None),
+            ("many", "Eye checkup near NATION_2", "north", "80", "501", "x", "state", None),
+            ("sos", "heart attack", "20", "181", None, None, None, None)]
+    requests = spark.createDataFrame(rows, "message_id string, text string, lat string, lng string, "
+                                           "radius string, limit string, operator string, type string")
+    empty = spark.createDataFrame([], "message_id string, reply string")
+    badges = spark.createDataFrame([], "facility_id string, source string, verified boolean")
+    documents = d.facility.select("facility_id", F.lit("eye checkup").alias("doc"))
+    answers, hits = ask.answer_requests(
+        requests, empty, empty.withColumnRenamed("message_id", "query_id"), d.facility, d.facility_geo,
+        OS.search_table(d.facility, OS.batch_embed(documents), d.facility_geo, d.procedure_term),
+        d.evidence_index, badges)
+    got = {r.message_id: r for r in answers.collect()}
+    assert {m: r.reply for m, r in got.items() if r.route == "invalid"} == {
+        "limit": "invalid: limit", "many": "invalid: lat, radius, limit, operator", "sos": "invalid: lng"}
+    assert got["sos"].emergency and not got["limit"].emergency
+    assert got["ok"].route == "ok" and got["ok"].n_results == 3
+    found = {r.query_id for r in hits.select("query_id").distinct().collect()}
+    assert "ok" in found and found <= {"ok", "default"}
+    asked = {r.message_id for r in ask.model_requests(
+        requests.select("message_id", "text").union(spark.createDataFrame([("x", "help me")], "a string, b string"))
+    ).collect()}
+    assert "x" in asked and "ok" not in asked
+
+
 def test_stream_drops_rows_later_than_the_watermark(spark):
     path = scratch_path(spark, "late")
     schema = "kind string, tokens long, created_at timestamp"
