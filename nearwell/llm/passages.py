@@ -245,9 +245,10 @@ def find_passages(docs: DataFrame, min_words: int = MIN_WORDS,
     A passage is a run of at least ``min_words`` words (from word ``start`` up to ``end``) whose set
     of five-word shingles has a Jaccard similarity of at least ``similarity`` with a run of a
     document of smaller doc_id; that document's first word there is ``ref_start``. A passage may be
-    found against more than one document. Exact repeats share all min-hashes and are found; a
-    passage at the threshold shares two of four with a probability of 0.97. Repeats within one
-    document are not passages. Null, empty and short texts have none; rows with a null doc_id are
+    found against more than one document. Exact repeats share all min-hashes; they are lost where the
+    first document that shares a hash and its context holds a fragment only. A passage at the
+    threshold shares two of four hashes with a probability of 0.97. Repeats within one document are
+    not passages. Null, empty and short texts have none; rows with a null doc_id are
     left out, and rows that share a doc_id are never compared with each other. Other columns are
     ignored.
     """
