@@ -8,11 +8,18 @@ from nearwell.functions.cleaning import compose_address
 from nearwell.functions.geo import distance_haversine, distance_slc, in_india
 from nearwell.functions.messages import extract_pin
 from nearwell.operators.skew import exact_median
+from nearwell.session import materialize
 
 CELL_DEG = 1.0
 # A block of the grid join: about this many places meet about this many queries in one task.
 PLACE_ROWS = 16384
 QUERY_ROWS = 2048
+# Cells of a cover: one degree, halved up to this often where the circle's edge cuts them.
+COVER_LEVELS = 4
+# Closer than this to the circle a cell counts as cut by it (rounding of the distances).
+COVER_SLACK_KM = 0.001
+# Circles are convex, so corners decide for whole cells, up to a quarter of the globe.
+COVER_MAX_KM = 9000.0
 
 
 def city_median_center(fac: DataFrame) -> DataFrame:
@@ -182,7 +189,8 @@ def cut_blocks(asked: DataFrame, here: DataFrame, place_rows: int = PLACE_ROWS,
                query_rows: int = QUERY_ROWS) -> tuple[DataFrame, DataFrame]:
     """Both sides, keyed by ``cell`` already, cut into place parts and query parts of bounded size.
 
-    The counts table has at most one row per cell of the India box (960 at one degree).
+    The counts table has at most one row per cell of the India box (960 at one degree, 245,760 at a
+    sixteenth).
     """
     counts = (here.groupBy("cell").agg(F.count("*").alias("np"))
               .join(asked.groupBy("cell").agg(F.count("*").alias("nq")), "cell")
@@ -223,3 +231,102 @@ def radius_search(queries: DataFrame, fac: DataFrame, **grid) -> DataFrame:
     dist = distance_slc(F.col("lat"), F.col("lng"), F.col("flat"), F.col("flng"))
     return (pairs.select("query_id", "facility_id", dist.alias("dist_km"), "radius_km")
             .filter("dist_km <= radius_km").drop("radius_km"))
+
+
+def _cover_cell(level: int, cy, cx) -> Column:
+    """The number of a cell among all levels; each level's cells have sides of 2 ** -level degrees."""
+    return (F.lit(level << 40).cast("long") + (cy + 20000) * 1048576 + cx + 20000).cast("long")
+
+
+def circle_cells(queries: DataFrame, levels: int = COVER_LEVELS) -> DataFrame:
+    """(query_id, lat, lng, radius_km, the box, level, cell, whole): the cells each circle takes up.
+
+    One-degree cells inside India, of which those that the circle cuts are quartered up to ``levels``
+    times. ``whole`` cells lie inside the circle and its box with all their points; the others, all of
+    the last level, are cut. The rows grow with the circle's edge in cells of the last level. Null
+    coordinates or radii have none.
+    """
+    (lat0, lat1), (lng0, lng1) = K.INDIA["lat"], K.INDIA["lng"]
+    box = ["query_id", "lat", "lng", "radius_km", "lat_lo", "lat_hi", "lng_lo", "lng_hi"]
+
+    def numbers(lo, hi, low, high):
+        lo, hi = F.greatest(F.col(lo), F.lit(low)), F.least(F.col(hi), F.lit(high))
+        return F.when(lo <= hi, F.sequence(F.floor(lo), F.floor(hi)))
+
+    open_cells = (query_box(queries.select("query_id", "lat", "lng", "radius_km"))
+                  .where("lat IS NOT NULL AND lng IS NOT NULL AND radius_km IS NOT NULL")
+                  .withColumn("_cy", F.explode(numbers("lat_lo", "lat_hi", lat0, lat1)))
+                  .withColumn("_cx", F.explode(numbers("lng_lo", "lng_hi", lng0, lng1)))
+                  .withColumn("_level", F.lit(0)).withColumn("_done", F.lit(False)))
+    for level in range(levels + 1):
+        side = 2.0 ** -level
+        south, west = F.col("_cy") * side, F.col("_cx") * side
+        north, east = south + side, west + side
+        far = F.greatest(*[distance_slc(F.col("lat"), F.col("lng"), y, x)
+                           for y in (south, north) for x in (west, east)])
+        inside = ((far <= F.least(F.col("radius_km"), F.lit(COVER_MAX_KM)) - COVER_SLACK_KM)
+                  & (south >= F.col("lat_lo")) & (north <= F.col("lat_hi"))
+                  & (west >= F.col("lng_lo")) & (east <= F.col("lng_hi")))
+        meets = ((south <= F.col("lat_hi")) & (north >= F.col("lat_lo"))
+                 & (west <= F.col("lng_hi")) & (east >= F.col("lng_lo")))
+        open_cells = open_cells.where(F.col("_done") | meets).withColumn(
+            "_done", F.col("_done") | inside)
+        if level < levels:
+            quarters = F.array(*[F.struct((F.col("_cy") * 2 + y).alias("_cy"),
+                                          (F.col("_cx") * 2 + x).alias("_cx"),
+                                          F.lit(level + 1).alias("_level"))
+                                 for y in (0, 1) for x in (0, 1)])
+            itself = F.array(F.struct("_cy", "_cx", "_level"))
+            open_cells = open_cells.select(*box, "_done", F.inline(
+                F.when(F.col("_done"), itself).otherwise(quarters)))
+    cell = F.coalesce(*[F.when(F.col("_level") == v, _cover_cell(v, F.col("_cy"), F.col("_cx")))
+                        for v in range(levels + 1)])
+    return open_cells.select(*box, F.col("_level").alias("level"), cell.alias("cell"),
+                             F.col("_done").alias("whole"))
+
+
+def place_cells(places: DataFrame, levels: int = COVER_LEVELS) -> DataFrame:
+    """The places inside India, each in its cell of every level."""
+    here = places.where(in_india(F.col("lat"), F.col("lng")))
+    cells = [F.struct(F.lit(v).alias("level"),
+                      _cover_cell(v, F.floor(F.col("lat") * 2 ** v),
+                                  F.floor(F.col("lng") * 2 ** v)).alias("cell"))
+             for v in range(levels + 1)]
+    return here.select("*", F.inline(F.array(*cells)))
+
+
+def radius_cover(queries: DataFrame, fac: DataFrame, levels: int = COVER_LEVELS
+                 ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(whole, edge, members): :func:`radius_search` without a row per pair.
+
+    whole(query_id, level, cell, places): a cell that lies inside the circle, and how many facilities
+    it has; empty ones are left out. edge(query_id, facility_id, dist_km): the facilities within the
+    radius in cells that the circle cuts, by the exact distance. members(level, cell, facility_id)
+    tells who the facilities of a whole cell are. ``whole`` joined with ``members``, and ``edge``, hold
+    every pair once.
+    """
+    places = fac.select("facility_id", "lat", "lng")
+    members = place_cells(places, levels)
+    counts = materialize(members.groupBy("level", "cell").agg(F.count("*").alias("places")),
+                         "cell-counts")
+    cover = circle_cells(queries, levels)
+    whole = cover.where("whole").select("query_id", "level", "cell").join(counts, ["level", "cell"])
+    cut = cover.where(~F.col("whole")).drop("whole", "level")
+    cut, here = cut_blocks(cut, members.where(F.col("level") == levels).select(
+        "cell", "facility_id", F.col("lat").alias("flat"), F.col("lng").alias("flng")))
+    dist = distance_slc(F.col("lat"), F.col("lng"), F.col("flat"), F.col("flng"))
+    edge = cut.join(here, BLOCK).where(
+        F.col("flat").between(F.col("lat_lo"), F.col("lat_hi"))
+        & F.col("flng").between(F.col("lng_lo"), F.col("lng_hi"))).select(
+        "query_id", "facility_id", dist.alias("dist_km"), "radius_km")
+    return (whole.select("query_id", "level", "cell", "places"),
+            edge.where("dist_km <= radius_km").drop("radius_km"),
+            members.select("level", "cell", "facility_id"))
+
+
+def radius_counts(queries: DataFrame, fac: DataFrame, levels: int = COVER_LEVELS) -> DataFrame:
+    """(query_id, places): how many facilities each circle holds; circles without any have no row."""
+    whole, edge, _ = radius_cover(queries, fac, levels)
+    rows = whole.select("query_id", "places").unionByName(
+        edge.groupBy("query_id").agg(F.count("*").alias("places")))
+    return rows.groupBy("query_id").agg(F.sum("places").alias("places"))

@@ -30,19 +30,30 @@ def distance_haversine(d):
         F.col("lat"), F.col("lng"), F.col("glat"), F.col("glng")), 4).alias("km"))
 
 
-@query("radius_search", f"""
-    SELECT query_id, facility_id, round(dist, 3) AS dist_km FROM (
+WITHIN = f"""
+    within AS (SELECT query_id, facility_id, dist FROM (
       SELECT q.query_id, f.facility_id, q.radius_km, {slc('q.lat', 'q.lng', 'f.lat', 'f.lng')} AS dist
       FROM search_query q JOIN facility f
         ON f.lat BETWEEN q.lat-q.radius_km/111.0 AND q.lat+q.radius_km/111.0
        AND f.lng BETWEEN q.lng-q.radius_km/(111.0*cos(radians(q.lat)))
                      AND q.lng+q.radius_km/(111.0*cos(radians(q.lat))))
-    WHERE dist <= radius_km""", "search_query facility")
+    WHERE dist <= radius_km)"""
+
+
+@query("radius_search", f"""WITH {WITHIN}
+    SELECT query_id, facility_id, round(dist, 3) AS dist_km FROM within""", "search_query facility")
 def radius_search(d):
     return OG.radius_search(d.search_query, d.facility).withColumn(
         "dist_km", F.round("dist_km", 3))
 
 
+@query("radius_counts", f"""WITH {WITHIN}
+    SELECT query_id, count(*)::bigint AS places FROM within GROUP BY query_id""",
+       "search_query facility")
+def radius_counts(d):
+    return OG.radius_counts(d.search_query, d.facility)
+
+
 CENTERS = """
     cc AS (SELECT lower(city) AS c, lower(coalesce(state,'')) AS s, median(lat) AS mlat,
       median(lng) AS mlng, count(*) AS n FROM facility

@@ -116,6 +116,35 @@ def test_radius_search_equals_brute_force_when_cells_are_cut(world):
     assert {(r.query_id, r.facility_id) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("levels", [0, 2, 4])
+def test_cover_equals_brute_force_and_grows_with_cells(world, spark, levels):
+    want = sorted((q[0], f[0]) for q in world["q"] for f in world["rows"]
+                  if km(q[2], q[3], f[4], f[5]) <= q[4])
+    whole, edge, members = OG.radius_cover(world["queries"], world["fac"], levels)
+    got = whole.join(members, ["level", "cell"]).select("query_id", "facility_id").union(
+        edge.select("query_id", "facility_id"))
+    assert sorted((r.query_id, r.facility_id) for r in got.collect()) == want
+    counts = {r.query_id: r.places for r in OG.radius_counts(
+        world["queries"], world["fac"], levels).collect()}
+    assert counts == {q: sum(x[0] == q for x in want) for q in {x[0] for x in want}}
+    # ten times the facilities, the same rows for whole cells
+    copies = world["fac"].withColumn("facility_id", F.explode(F.transform(
+        F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat("facility_id", F.lit("-"), i))))
+    assert OG.radius_cover(world["queries"], copies, levels)[0].count() == whole.count()
+
+
+def test_cover_of_odd_circles(spark):
+    fac = spark.createDataFrame([("a", 20.0, 80.0), ("b", 37.6, 97.6), ("c", None, None),
+                                 ("d", 51.0, 0.0)], "facility_id string, lat double, lng double")
+    q = spark.createDataFrame(
+        [("point", 20.0, 80.0, 0.001), ("all", 22.0, 82.0, 20000.0), ("null", None, 80.0, 5.0),
+         ("away", 51.0, 0.0, 10.0), ("none", 20.0, 80.0, None)],
+        "query_id string, lat double, lng double, radius_km double")
+    got = {r.query_id: r.places for r in OG.radius_counts(q, fac).collect()}
+    assert got == {"point": 1, "all": 2}
+    assert OG.radius_counts(q.limit(0), fac).count() == OG.radius_counts(q, fac.limit(0)).count() == 0
+
+
 def test_exact_radius_is_inside(spark):
     fac = spark.createDataFrame([("a", 20.0, 80.0)], "facility_id string, lat double, lng double")
     edge = km(20.3, 80.0, 20.0, 80.0)
