@@ -7,7 +7,7 @@ from nearwell import constants as K
 from nearwell.functions.cleaning import split_services, unescape_html
 from nearwell.functions.similarity import gram_codes, gram_similarity
 from nearwell.operators.skew import first_row
-from nearwell.session import spread
+from nearwell.session import materialize, spread
 
 COMMON_GRAMS = 64
 
@@ -87,16 +87,48 @@ def name_pairs(reg: DataFrame, fac: DataFrame, pin_thr: float = K.PIN_THRESHOLD,
             .filter(F.col("score").cast("double") >= t))
 
 
+def match_classes(reg: DataFrame, fac: DataFrame, pin_thr: float = K.PIN_THRESHOLD,
+                  city_thr: float = K.CITY_THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs, facilities, entries): every qualifying pair, by classes instead of rows.
+
+    A class is all rows of one name within one PIN or city. pairs(kind, block, fname, rname, score) are
+    the classes that match; facilities(kind, block, fname, facility_id) and entries(kind, block, rname,
+    row_id) tell who is in those classes. Copies add members, never pairs, so a row is written at most
+    twice (once for its PIN and once for its city) however many partners it has.
+    """
+    pairs = materialize(name_pairs(reg, fac, pin_thr, city_thr), "name-pairs")
+
+    def members(df, name, side, key):
+        matched = pairs.select("kind", "block", side).distinct()
+        own = _blocks(df, name, key).withColumnRenamed("name", side)
+        return own.join(matched, ["kind", "block", side], "left_semi")
+
+    return (pairs, members(fac, "name", "fname", "facility_id"),
+            members(reg, "registry_name", "rname", "row_id"))
+
+
+def class_pairs(reg: DataFrame, fac: DataFrame, pin_thr: float = K.PIN_THRESHOLD,
+                city_thr: float = K.CITY_THRESHOLD) -> DataFrame:
+    """The matching classes with their sizes and smallest members:
+    (kind, block, fname, rname, score, facilities, facility_id, entries, row_id)."""
+    pairs, facilities, entries = match_classes(reg, fac, pin_thr, city_thr)
+    key = ["kind", "block"]
+    f = materialize(facilities.groupBy(*key, "fname").agg(
+        F.count("*").alias("facilities"), F.min("facility_id").alias("facility_id")), "facility-classes")
+    r = materialize(entries.groupBy(*key, "rname").agg(
+        F.count("*").alias("entries"), F.min("row_id").alias("row_id")), "entry-classes")
+    return pairs.join(f, [*key, "fname"]).join(r, [*key, "rname"]).select(
+        *key, "fname", "rname", "score", "facilities", "facility_id", "entries", "row_id")
+
+
 def blocked_fuzzy_join(reg: DataFrame, fac: DataFrame, pin_thr: float = K.PIN_THRESHOLD,
                        city_thr: float = K.CITY_THRESHOLD) -> DataFrame:
     """(row_id, facility_id, score) of every qualifying registry row and facility.
 
-    The output holds every matching pair, copies included; use :func:`best_match` for one row per
-    facility without making them.
+    The expansion of :func:`match_classes`: it holds every matching pair, copies included. Use the
+    classes, or :func:`best_match` for one row per facility, where there are many copies.
     """
-    pairs = name_pairs(reg, fac, pin_thr, city_thr)
-    f = _blocks(fac, "name", "facility_id").withColumnRenamed("name", "fname")
-    r = _blocks(reg, "registry_name", "row_id").withColumnRenamed("name", "rname")
+    pairs, f, r = match_classes(reg, fac, pin_thr, city_thr)
     return (pairs.join(f, ["kind", "block", "fname"]).join(r, ["kind", "block", "rname"])
             .select("row_id", "facility_id", "score").distinct())
 

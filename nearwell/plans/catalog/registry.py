@@ -34,6 +34,45 @@ def blocked_fuzzy_join(d):
     return OR.blocked_fuzzy_join(d.registry, d.facility)
 
 
+def _block_sql(table: str, name: str, key: str) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{kind}' AS kind, {c} AS block, {name} AS name, {key} AS id FROM {table} "
+        f"WHERE {c} IS NOT NULL AND {name} IS NOT NULL"
+        for kind, c in (("pin", "pincode"), ("city", "lower(city)")))
+
+
+CLASSES = f"""
+    fb AS ({_block_sql('facility', 'name', 'facility_id')}),
+    rb AS ({_block_sql('registry', 'registry_name', 'row_id')}),
+    fc AS (SELECT kind, block, name, count(*) AS n, min(id) AS id, {grams('name')} AS a
+      FROM fb GROUP BY ALL),
+    rc AS (SELECT kind, block, name, count(*) AS n, min(id) AS id, {grams('name')} AS b
+      FROM rb GROUP BY ALL),
+    classes AS (SELECT * FROM (
+      SELECT fc.kind, fc.block, fc.name AS fname, rc.name AS rname, {gram_sim('a', 'b')} AS score,
+        fc.n AS facilities, fc.id AS facility_id, rc.n AS entries, rc.id AS row_id
+      FROM fc JOIN rc ON fc.kind = rc.kind AND fc.block = rc.block)
+      WHERE score::double >= CASE kind WHEN 'pin' THEN 0.40 ELSE 0.62 END)"""
+
+
+@query("match_classes", f"WITH {CLASSES} SELECT * FROM classes", REGISTRY_TABLES)
+def match_classes(d):
+    return OR.class_pairs(d.registry, d.facility)
+
+
+@query("match_members", f"""WITH {CLASSES}
+    SELECT 'facility' AS side, kind, block, name, id FROM fb
+    WHERE (kind, block, name) IN (SELECT (kind, block, fname) FROM classes) UNION ALL
+    SELECT 'registry' AS side, kind, block, name, id FROM rb
+    WHERE (kind, block, name) IN (SELECT (kind, block, rname) FROM classes)""", REGISTRY_TABLES)
+def match_members(d):
+    _, facilities, entries = OR.match_classes(d.registry, d.facility)
+    return (facilities.select(F.lit("facility").alias("side"), "kind", "block",
+                              F.col("fname").alias("name"), F.col("facility_id").alias("id"))
+            .unionAll(entries.select(F.lit("registry").alias("side"), "kind", "block",
+                                     F.col("rname").alias("name"), F.col("row_id").alias("id"))))
+
+
 @query("best_match", f"WITH {BEST} SELECT * FROM best", REGISTRY_TABLES)
 def best_match(d):
     return matched(d).withColumn("services", F.array_join("verified_services", "|")).drop(

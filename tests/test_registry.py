@@ -54,6 +54,25 @@ def test_pairs_and_best_match_equal_brute_force(spark):
         assert rows[k].verified_services == (["a", "b"] if by_id[row_id][6] else None)
 
 
+def test_copies_add_members_not_pairs(spark):
+    fac = [(f"f{i}", "City Care Hospital", "Gaya", "800001") for i in range(60)]
+    fac += [("g1", "City Care Hospital", "Patna", None), ("g2", None, "Gaya", "800001"),
+            ("g3", "Eye Clinic", "Gaya", None)]
+    reg = [(f"r{i}", "NABH", "city care hospital", "gaya", "800001", "Public", None, True)
+           for i in range(50)]
+    reg.append(("s", "NABH", None, None, None, None, None, None))
+    f, g = spark.createDataFrame(fac, FAC), spark.createDataFrame(reg, REG)
+    pairs, facilities, entries = OR.match_classes(g, f)
+    assert sorted((r.kind, r.block, r.fname, r.rname) for r in pairs.collect()) == [
+        ("city", "gaya", "City Care Hospital", "city care hospital"),
+        ("pin", "800001", "City Care Hospital", "city care hospital")]
+    assert facilities.count() == 120 and entries.count() == 100
+    assert OR.blocked_fuzzy_join(g, f).count() == 3000
+    assert {(r.facilities, r.entries, r.facility_id, r.row_id)
+            for r in OR.class_pairs(g, f).collect()} == {(60, 50, "f0", "r0")}
+    assert OR.class_pairs(g.limit(0), f).count() == OR.class_pairs(g, f.limit(0)).count() == 0
+
+
 def test_threshold_is_inclusive(spark):
     # "ab" and "ab cde": 3 of 7 grams; "abc" in "abc d": 4 of 6 shared
     assert abs(sim("abc", "abc d e") - 0.5) < 1e-9
