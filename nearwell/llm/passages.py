@@ -11,6 +11,12 @@ then decide.
 A group of windows with one hash is never paired up: each window meets the first window of its group
 only, and those of the subgroups that also agree on the 25 words to the right or left of c, or in how
 far the window reaches, so that a widespread line doesn't hide the passages around it.
+
+Where that first window is a fragment, it would hide whole copies in later documents. So windows of
+the first hash carry nine digests of 45 words around c, from 40 words before it to 40 after it. Any
+run of 50 words around c holds one of them, and a window that shares none with the first of its group
+puts its whole group to be grouped once more, by digest: the first window of such a group has those
+45 words too, which already is a passage of the similarity asked for.
 """
 
 from __future__ import annotations
@@ -33,6 +39,8 @@ VOTES = 2
 BLOCK = 256
 SLACK = 8
 CONTEXT = (5, 10, 15, 20)
+# Digests of 2 * len(CONTEXT) + 1 shingles, each five words after the other: 45 words around a root.
+EXACT = HASHES
 
 
 def _sliding(values: np.ndarray, size: int, op: np.ufunc, fill: int) -> np.ndarray:
@@ -73,6 +81,26 @@ def compact_windows(values: np.ndarray, width: int) -> tuple[np.ndarray, np.ndar
     return a[wide], c[wide], b[wide]
 
 
+def _digests(flat: np.ndarray, c: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.Array:
+    """32-bit digests of the 45-word contexts of each root ``c`` that its window has room for.
+
+    The first has ``max(0, 8 - right // 5)`` shingles before the root, the next ones each one more.
+    """
+    n = 2 * len(CONTEXT)
+    first = np.maximum(0, n - right // SHINGLE_WORDS)
+    count = np.maximum(0, np.minimum(n, left // SHINGLE_WORDS) - first + 1)
+    row = np.repeat(np.arange(len(c)), count)
+    before = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count) + first[row]
+    total = before.astype(np.uint64)
+    start = c[row] - before * SHINGLE_WORDS
+    with np.errstate(over="ignore"):
+        for step in range(n + 1):
+            total = total * np.uint64(0x9E3779B97F4A7C15) + flat[start + step * SHINGLE_WORDS]
+    digests = (mix(total) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    ends = np.concatenate(([0], np.cumsum(count)))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(digests))
+
+
 def _windows(width: int, context: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
@@ -110,12 +138,15 @@ def _windows(width: int, context: bool):
                             "left": pa.array(c - a, pa.int32()),
                             "right": pa.array(b - c, pa.int32()),
                             "after": sides[0], "before": sides[1],
-                            "hash": pa.array(np.full(len(c), k, np.int32))}
+                            "hash": pa.array(np.full(len(c), k, np.int32)),
+                            "digests": _digests(flat, c, c - a, b - c) if k == 0
+                            else pa.nulls(len(c), pa.list_(pa.int32()))}
                 yield pa.RecordBatch.from_pydict(out)
     return run
 
 
-ROWS = ("key long, doc_id long, at int, left int, right int, after int, before int, hash int")
+ROWS = ("key long, doc_id long, at int, left int, right int, after int, before int, hash int, "
+        "digests array<int>")
 
 
 def _blocks(bitmap: np.ndarray):
@@ -165,15 +196,18 @@ def matching_spans(mine: np.ndarray, other: np.ndarray, width: int, similarity:
 
     def best(i: int, j: int) -> tuple[int, int, int, float]:
         lo, hi = int(starts[i]), int(ends[j])
+        if i == j and hi - lo >= width and (np.diff(where[lo:hi]) == 1).all():
+            return lo, hi, int(where[lo]), 1.0
         shift = int(np.median((np.arange(lo, hi) - where[lo:hi])[found[lo:hi]]))
         pad = max(0, width - (hi - lo))
         top = (lo, hi, 0, 0.0)
         for right in {min(pad, len(mine) - hi), max(0, pad - lo)}:
             left = pad - right
             ours = np.unique(mine[lo - left:hi + right])
-            for r0, r1 in ((where[lo], where[hi - 1] + 1), (lo - shift, hi - shift)):
-                r0 = max(0, int(r0) - left)
-                them = np.unique(other[r0:max(r0, int(r1) + right)])
+            for r0, r1 in dict.fromkeys(((int(where[lo]), int(where[hi - 1]) + 1),
+                                         (lo - shift, hi - shift))):
+                r0 = max(0, r0 - left)
+                them = np.unique(other[r0:max(r0, r1 + right)])
                 both = len(np.intersect1d(ours, them, assume_unique=True))
                 near = both / (len(ours) + len(them) - both)
                 if near > top[3]:
@@ -238,6 +272,33 @@ PASSAGES = ("doc_id long, start long, end long, ref_doc_id long, ref_start long,
             "similarity double")
 
 
+def _whole_copies(rows: DataFrame, agreed: DataFrame) -> DataFrame:
+    """Intervals around roots of the first hash whose 45 words an earlier document has as well.
+
+    From ``agreed``, the windows with the first one of their group, those that share a digest; the
+    groups of the others are grouped once more by digest.
+    """
+    around = (2 * len(CONTEXT) + 1) * SHINGLE_WORDS
+    direct = agreed.where("whole").select(
+        "doc_id", F.col("r.doc_id").alias("ref_doc_id"), F.lit(EXACT).alias("hash"),
+        (F.col("at") - F.col("r.at")).alias("shift"),
+        (F.col("at") - F.least("left", "r.left", F.lit(around))).alias("lo"),
+        (F.col("at") + F.least("right", "r.right", F.lit(around))).alias("hi"))
+    hidden = materialize(agreed.where("NOT whole").select("key").distinct(), "hidden")
+    spread = rows.where("hash = 0").join(hidden, "key", "left_semi").select(
+        "key", "doc_id", "at", "left", "right", F.explode("digests").alias("digest"))
+    same = ["key", "digest"]
+    first = materialize(spread.groupBy(*same).agg(
+        F.min(F.struct("doc_id", "at", "left", "right")).alias("r"), F.max("doc_id").alias("high")).where(
+        "r.doc_id < high"), "digests")
+    again = spread.join(first, same).where("doc_id > r.doc_id").select(
+        "doc_id", F.col("r.doc_id").alias("ref_doc_id"), F.lit(EXACT).alias("hash"),
+        (F.col("at") - F.col("r.at")).alias("shift"),
+        (F.col("at") - F.least("left", "r.left", F.lit(around))).alias("lo"),
+        (F.col("at") + F.least("right", "r.right", F.lit(around))).alias("hi")).distinct()
+    return direct.union(again)
+
+
 def find_passages(docs: DataFrame, min_words: int = MIN_WORDS,
                   similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, start, end, ref_doc_id, ref_start, similarity) of passages that stand earlier too.
@@ -245,12 +306,13 @@ def find_passages(docs: DataFrame, min_words: int = MIN_WORDS,
     A passage is a run of at least ``min_words`` words (from word ``start`` up to ``end``) whose set
     of five-word shingles has a Jaccard similarity of at least ``similarity`` with a run of a
     document of smaller doc_id; that document's first word there is ``ref_start``. A passage may be
-    found against more than one document. Exact repeats share all min-hashes; they are lost where the
-    first document that shares a hash and its context holds a fragment only. A passage at the
-    threshold shares two of four hashes with a probability of 0.97. Repeats within one document are
+    found against more than one document. Every run of ``min_words`` words (50 or more, at a similarity of 0.8 or less) that stands in an
+    earlier document word for word meets a passage, whatever fragments of it others hold. An edited
+    passage at the threshold shares two of four hashes with a probability of 0.97, and is lost where the
+    first document that shares them holds a fragment only. Repeats within one document are
     not passages. Null, empty and short texts have none; rows with a null doc_id are
-    left out, and rows that share a doc_id are never compared with each other. Other columns are
-    ignored.
+    left out, and rows that share a doc_id are never compared with each other: of different texts under
+    one doc_id, one stands for the others as a reference. Other columns are ignored.
     """
     width = min_words - SHINGLE_WORDS + 1
     source = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
@@ -263,15 +325,20 @@ def find_passages(docs: DataFrame, min_words: int = MIN_WORDS,
     found = None
     for by in (["key"], ["key", "after"], ["key", "before"], ["key", "left", "right"]):
         own = rows.where(F.col(by[-1]).isNotNull())
-        first = own.groupBy(*by).agg(F.min(F.struct("doc_id", "at", "left", "right")).alias("r"),
-                                     F.max("doc_id").alias("high")).where("r.doc_id < high")
-        met = own.join(first, by).where("doc_id > r.doc_id").select(
+        first = own.groupBy(*by).agg(
+            F.min(F.struct("doc_id", "at", "left", "right", *(["digests"] if len(by) == 1 else [])))
+            .alias("r"), F.max("doc_id").alias("high")).where("r.doc_id < high")
+        met = own.join(first, by).where("doc_id > r.doc_id")
+        if len(by) == 1:
+            agreed = met.where("hash = 0").withColumn("whole", F.arrays_overlap("digests", "r.digests"))
+            found = _whole_copies(rows, materialize(agreed, "agreed"))
+        met = met.select(
             "doc_id", F.col("r.doc_id").alias("ref_doc_id"), "hash",
             (F.col("at") - F.col("r.at")).alias("shift"),
             (F.col("at") - F.least("left", "r.left")).alias("lo"),
             (F.col("at") + F.least("right", "r.right")).alias("hi")).where(
             F.col("hi") - F.col("lo") + 1 >= width)
-        found = met if found is None else found.union(met)
+        found = found.union(met)
     lane = F.floor(F.col("shift") / SLACK).alias("lane")
     key = ["doc_id", "ref_doc_id", "lane"]
     # first each hash function's own union of intervals, then where enough of them overlap
@@ -283,8 +350,9 @@ def find_passages(docs: DataFrame, min_words: int = MIN_WORDS,
     runs = runs.groupBy(*key, "hash", "run").agg(
         F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("shift").alias("low"),
         F.max("shift").alias("high"))
-    step = F.inline(F.array(F.struct(F.col("lo").alias("at"), F.lit(1).alias("up")),
-                            F.struct((F.col("hi") + 1).alias("at"), F.lit(-1).alias("up"))))
+    weight = F.when(F.col("hash") == EXACT, VOTES).otherwise(1)
+    step = F.inline(F.array(F.struct(F.col("lo").alias("at"), weight.alias("up")),
+                            F.struct((F.col("hi") + 1).alias("at"), (-weight).alias("up"))))
     line = Window.partitionBy(*key).orderBy("at", "up")
     marks = runs.select(*key, "low", "high", step)
     marks = marks.withColumns({
@@ -324,22 +392,29 @@ def find_passages(docs: DataFrame, min_words: int = MIN_WORDS,
     return filled.mapInArrow(_verify(width, similarity), PASSAGES).distinct()
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        column = batch.column("text")
-        for i, spans in enumerate(batch.column("__spans").to_pylist()):
-            if not spans:
-                texts.append(column[i].as_py())
-                continue
-            words = Words(column.slice(i, 1))
-            keep = np.ones(len(words.data), bool)
-            starts = np.append(words.starts, len(words.data))
-            for s in spans:
-                keep[starts[s["start"]]:starts[min(s["end"], len(words.starts))]] = False
-            texts.append(words.data[keep].tobytes().decode())
-        at = batch.schema.get_field_index("text")
-        yield batch.set_column(at, "text", pa.array(texts, pa.string())).drop_columns(["__spans"])
+def _cut(name: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            column = batch.column("text")
+            for i, spans in enumerate(batch.column(name).to_pylist()):
+                words = Words(column.slice(i, 1))
+                keep = np.ones(len(words.data), bool)
+                starts = np.append(words.starts, len(words.data))
+                for s in spans:
+                    lo, hi = (min(s[c], len(words.starts)) for c in ("start", "end"))
+                    keep[starts[lo]:starts[hi]] = False
+                texts.append(words.data[keep].tobytes().decode())
+            at = batch.schema.get_field_index("text")
+            yield batch.set_column(at, "text", pa.array(texts, pa.string())).drop_columns([name])
+    return run
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """``name``, longer by as many underscores as it takes to clash with no column."""
+    while name in {c.lower() for c in taken}:
+        name += "_"
+    return name
 
 
 def drop_passages(docs: DataFrame, min_words: int = MIN_WORDS,
@@ -348,14 +423,15 @@ def drop_passages(docs: DataFrame, min_words: int = MIN_WORDS,
 
     All columns stay; ``n_chars``, if there is one, is counted anew for texts that change, and
     documents of which no word is left go. White space before a passage stays, that after it goes.
+    Rows that share a doc_id lose the passages found in any of them, as far as their texts reach.
     """
-    found = find_passages(docs, min_words, similarity).groupBy("doc_id").agg(
-        F.collect_set(F.struct("start", "end")).alias("__spans"))
-    found = found.withColumnRenamed("doc_id", "__id")
-    joined = docs.join(found, F.col("doc_id") == F.col("__id"), "left").drop("__id")
-    cut = F.col("__spans").isNotNull()
-    plain = joined.where(~cut).drop("__spans")
-    changed = joined.where(cut).mapInArrow(_cut, docs.schema)
+    spans, key = _free("spans", docs.columns), _free("of_doc", docs.columns)
+    found = find_passages(docs, min_words, similarity).groupBy(F.col("doc_id").alias(key)).agg(
+        F.collect_set(F.struct("start", "end")).alias(spans))
+    joined = docs.join(found, F.col("doc_id") == F.col(key), "left").drop(key)
+    cut = F.col(spans).isNotNull()
+    plain = joined.where(~cut).drop(spans)
+    changed = joined.where(cut).mapInArrow(_cut(spans), docs.schema)
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
         changed = changed.withColumn("n_chars", F.length("text").cast(kind))

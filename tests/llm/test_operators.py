@@ -208,6 +208,41 @@ def test_passages_find_all_exact_and_edited_repeats(spark):
     assert left[1] == docs[1] and left[4] == docs[4] and len(left[2]) <= 105
 
 
+def test_passages_behind_fragments_are_all_found(spark):
+    rng = np.random.default_rng(8)
+
+    def noise(n):
+        return [f"n{x}" for x in rng.integers(0, 1 << 40, n)]
+
+    docs, whole = [], {}
+    for group in range(40):
+        passage = noise(60)
+        docs += [noise(30) + passage[:40] + noise(30), noise(30) + passage[20:] + noise(30)]
+        for copy in range(10):
+            before = int(rng.integers(0, 60))
+            if copy:
+                whole[len(docs)] = before
+            docs.append(noise(before) + passage + noise(40))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)],
+                               "doc_id long, text string")
+    found = {}
+    for r in passages.find_passages(df).collect():
+        found.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+    assert len(whole) == 360 and found.keys() == whole.keys()
+    assert all(set(range(b, b + 60)) <= found[i] for i, b in whole.items())
+
+
+def test_drop_passages_with_clashing_names_and_texts_of_one_id(spark):
+    rng = np.random.default_rng(9)
+    text = " ".join(f"n{x}" for x in rng.integers(0, 1 << 40, 90))
+    df = spark.createDataFrame(
+        [(1, text, "a", 1, 2), (2, text + " tail", "b", 3, 4), (2, "short one", "c", 5, 6), (3, None, "d", 7, 8)],
+        "doc_id long, text string, spans string, __id int, OF_DOC int")
+    left = {(r["doc_id"], r["spans"]): r["text"] for r in passages.drop_passages(df).collect()}
+    assert left[(1, "a")] == text and (2, "b") in left and left[(2, "b")].split()[-1] == "tail"
+    assert left[(3, "d")] is None
+
+
 def test_encoder_equals_the_tokenizer():
     rng = np.random.default_rng(1)
     parts = ["a", "B", "é", "ü", " ", "  ", "\n", "\t", "\r", "'", "'s", "'ll", "12", "!", "...",
