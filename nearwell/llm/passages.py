@@ -14,9 +14,10 @@ far the window reaches, so that a widespread line doesn't hide the passages arou
 
 Where that first window is a fragment, it would hide whole copies in later documents. So windows of
 the first hash carry nine digests of 45 words around c, from 40 words before it to 40 after it. Any
-run of 50 words around c holds one of them, and a window that shares none with the first of its group
-puts its whole group to be grouped once more, by digest: the first window of such a group has those
-45 words too, which already is a passage of the similarity asked for.
+run of 50 words around c holds one of them, and reaches 25 words to the right or left of c. Where a
+window of such a subgroup shares no digest with its first one, the subgroup is grouped once more, by
+digest: the first window of such a group has those 45 words too, which already is a passage of the
+similarity asked for.
 """
 
 from __future__ import annotations
@@ -272,31 +273,40 @@ PASSAGES = ("doc_id long, start long, end long, ref_doc_id long, ref_start long,
             "similarity double")
 
 
-def _whole_copies(rows: DataFrame, agreed: DataFrame) -> DataFrame:
-    """Intervals around roots of the first hash whose 45 words an earlier document has as well.
+def _first(own: DataFrame, by: list[str], *more: str) -> DataFrame:
+    """The first window of each group that more than one document has."""
+    return own.groupBy(*by).agg(F.min(F.struct("doc_id", "at", "left", "right", *more)).alias("r"),
+                                F.max("doc_id").alias("high")).where("r.doc_id < high")
 
-    From ``agreed``, the windows with the first one of their group, those that share a digest; the
-    groups of the others are grouped once more by digest.
-    """
+
+def _reach(name: str):
+    """How far two windows agree to reach, bounded by the context of the digests."""
     around = (2 * len(CONTEXT) + 1) * SHINGLE_WORDS
-    direct = agreed.where("whole").select(
-        "doc_id", F.col("r.doc_id").alias("ref_doc_id"), F.lit(EXACT).alias("hash"),
-        (F.col("at") - F.col("r.at")).alias("shift"),
-        (F.col("at") - F.least("left", "r.left", F.lit(around))).alias("lo"),
-        (F.col("at") + F.least("right", "r.right", F.lit(around))).alias("hi"))
-    hidden = materialize(agreed.where("NOT whole").select("key").distinct(), "hidden")
-    spread = rows.where("hash = 0").join(hidden, "key", "left_semi").select(
-        "key", "doc_id", "at", "left", "right", F.explode("digests").alias("digest"))
+    return F.least(name, f"r.{name}", F.lit(around))
+
+
+def _hidden_copies(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Intervals around roots of the first hash whose 45 words an earlier document has, though the first
+    document of their group has not.
+
+    Only groups that agree on the words after (or before) the root can share a digest that reaches
+    that far, and only those where some window shares none with the first are looked at.
+    """
+    own = rows.where(F.col(by[-1]).isNotNull() & (F.col("hash") == 0))
+    met = own.join(_first(own, by, "digests"), by).where("doc_id > r.doc_id")
+    hidden = materialize(met.where(~F.arrays_overlap("digests", "r.digests")).select(*by).distinct(),
+                         "hidden")
+    n = len(CONTEXT)
+    before = F.greatest(F.lit(0), 2 * n - F.floor(F.col("right") / SHINGLE_WORDS)) + F.col("pos")
+    near = own.join(hidden, by, "left_semi").select(
+        "key", "doc_id", "at", "left", "right", F.posexplode("digests").alias("pos", "digest")).where(
+        before <= n if by[-1] == "after" else before >= n)
     same = ["key", "digest"]
-    first = materialize(spread.groupBy(*same).agg(
-        F.min(F.struct("doc_id", "at", "left", "right")).alias("r"), F.max("doc_id").alias("high")).where(
-        "r.doc_id < high"), "digests")
-    again = spread.join(first, same).where("doc_id > r.doc_id").select(
+    first = materialize(_first(near, same), "digests")
+    return near.join(first, same).where("doc_id > r.doc_id").select(
         "doc_id", F.col("r.doc_id").alias("ref_doc_id"), F.lit(EXACT).alias("hash"),
         (F.col("at") - F.col("r.at")).alias("shift"),
-        (F.col("at") - F.least("left", "r.left", F.lit(around))).alias("lo"),
-        (F.col("at") + F.least("right", "r.right", F.lit(around))).alias("hi")).distinct()
-    return direct.union(again)
+        (F.col("at") - _reach("left")).alias("lo"), (F.col("at") + _reach("right")).alias("hi")).distinct()
 
 
 def find_passages(docs: DataFrame, min_words: int = MIN_WORDS,
@@ -325,20 +335,21 @@ def find_passages(docs: DataFrame, min_words: int = MIN_WORDS,
     found = None
     for by in (["key"], ["key", "after"], ["key", "before"], ["key", "left", "right"]):
         own = rows.where(F.col(by[-1]).isNotNull())
-        first = own.groupBy(*by).agg(
-            F.min(F.struct("doc_id", "at", "left", "right", *(["digests"] if len(by) == 1 else [])))
-            .alias("r"), F.max("doc_id").alias("high")).where("r.doc_id < high")
-        met = own.join(first, by).where("doc_id > r.doc_id")
-        if len(by) == 1:
-            agreed = met.where("hash = 0").withColumn("whole", F.arrays_overlap("digests", "r.digests"))
-            found = _whole_copies(rows, materialize(agreed, "agreed"))
-        met = met.select(
-            "doc_id", F.col("r.doc_id").alias("ref_doc_id"), "hash",
+        hash_id, more = F.col("hash"), []
+        if by[-1] in ("after", "before"):
+            # 45 words in common are as good as enough votes
+            more = ["digests"]
+            hash_id = F.when((F.col("hash") == 0) & F.arrays_overlap("digests", "r.digests"),
+                             EXACT).otherwise(F.col("hash")).alias("hash")
+        met = own.join(_first(own, by, *more), by).where("doc_id > r.doc_id").select(
+            "doc_id", F.col("r.doc_id").alias("ref_doc_id"), hash_id,
             (F.col("at") - F.col("r.at")).alias("shift"),
             (F.col("at") - F.least("left", "r.left")).alias("lo"),
             (F.col("at") + F.least("right", "r.right")).alias("hi")).where(
             F.col("hi") - F.col("lo") + 1 >= width)
-        found = found.union(met)
+        found = met if found is None else found.union(met)
+    for by in (["key", "after"], ["key", "before"]):
+        found = found.union(_hidden_copies(rows, by))
     lane = F.floor(F.col("shift") / SLACK).alias("lane")
     key = ["doc_id", "ref_doc_id", "lane"]
     # first each hash function's own union of intervals, then where enough of them overlap
