@@ -102,7 +102,7 @@ def _digests(flat: np.ndarray, c: np.ndarray, left: np.ndarray, right: np.ndarra
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(digests))
 
 
-def _windows(width: int, context: bool):
+def _windows(width: int, shared: np.ndarray | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             words = Words(batch.column("text"))
@@ -122,9 +122,13 @@ def _windows(width: int, context: bool):
             for k in range(HASHES):
                 values = np.where(last, np.uint64(0), mix(flat, 50 + k) | np.uint64(1))
                 a, c, b = compact_windows(values, width)
-                out = {"key": pa.array(mix(flat[c], 90 + k).view(np.int64)),
+                key = mix(flat[c], 90 + k).view(np.int64)
+                if shared is not None:
+                    wanted = in_bitmap(shared, slot_of(key, np.zeros(len(key), np.int64)))
+                    a, c, b, key = a[wanted], c[wanted], b[wanted], key[wanted]
+                out = {"key": pa.array(key),
                        "doc_id": batch.column("doc_id").take(pa.array(docs[own[c]]))}
-                if context:
+                if shared is not None:
                     sides = []
                     for sign, room in ((1, b - c), (-1, c - a)):
                         total = np.zeros(len(c), np.uint64)
@@ -327,10 +331,12 @@ def find_passages(docs: DataFrame, min_words: int = MIN_WORDS,
     width = min_words - SHINGLE_WORDS + 1
     source = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
     # the keys of more than one document, from the keys alone
-    keys = source.mapInArrow(_windows(width, False), "key long, doc_id long").groupBy("key").agg(
+    keys = source.mapInArrow(_windows(width), "key long, doc_id long").groupBy("key").agg(
         F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     keys = materialize(keys.where("low < high").select("key"), "keys")
-    rows = materialize(source.mapInArrow(_windows(width, True), ROWS).join(keys, "key"), "windows")
+    # most windows of the second pass stay where they are: their keys are in no other document
+    shared = bitmap_of(keys.withColumn("part", F.lit(0)), "key", "part")
+    rows = materialize(source.mapInArrow(_windows(width, shared), ROWS).join(keys, "key"), "windows")
 
     found = None
     for by in (["key"], ["key", "after"], ["key", "before"], ["key", "left", "right"]):
