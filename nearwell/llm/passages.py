@@ -23,6 +23,7 @@ similarity asked for.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -277,10 +278,11 @@ PASSAGES = ("doc_id long, start long, end long, ref_doc_id long, ref_start long,
             "similarity double")
 
 
-def _first(own: DataFrame, by: list[str], *more: str) -> DataFrame:
+def _first(own: DataFrame, by: list[str]) -> DataFrame:
     """The first window of each group that more than one document has."""
-    return own.groupBy(*by).agg(F.min(F.struct("doc_id", "at", "left", "right", *more)).alias("r"),
-                                F.max("doc_id").alias("high")).where("r.doc_id < high")
+    return own.groupBy(*by).agg(
+        F.min(F.struct("doc_id", "at", "left", "right", "digests")).alias("r"),
+        F.max("doc_id").alias("high")).where("r.doc_id < high").drop("high")
 
 
 def _reach(name: str):
@@ -289,30 +291,91 @@ def _reach(name: str):
     return F.least(name, f"r.{name}", F.lit(around))
 
 
-def _hidden_copies(rows: DataFrame, by: list[str]) -> DataFrame:
+def _interval(width: int, near) -> tuple:
+    """What a window and the first one ``r`` of its group have in common, and whether that is wide.
+
+    With 45 words in common (``near``) the interval is as good as enough votes.
+    """
+    lo, hi = F.col("at") - F.least("left", "r.left"), F.col("at") + F.least("right", "r.right")
+    return (F.col("r.doc_id").alias("ref_doc_id"),
+            F.when(near, EXACT).otherwise(F.col("hash")).alias("hash_id"),
+            (F.col("at") - F.col("r.at")).alias("shift"), lo.alias("lo"), hi.alias("hi"),
+            ((F.col("doc_id") > F.col("r.doc_id")) & (hi - lo + 1 >= width)).alias("meets"))
+
+
+def _hidden_copies(rows: DataFrame, by: list[str], hidden: DataFrame) -> DataFrame:
     """Intervals around roots of the first hash whose 45 words an earlier document has, though the first
     document of their group has not.
 
     Only groups that agree on the words after (or before) the root can share a digest that reaches
-    that far, and only those where some window shares none with the first are looked at.
+    that far, and only those where some window shares none with the first are looked at: ``hidden``.
     """
-    own = rows.where(F.col(by[-1]).isNotNull() & (F.col("hash") == 0))
-    met = own.join(_first(own, by, "digests"), by).where("doc_id > r.doc_id")
-    hidden = materialize(met.where(~F.arrays_overlap("digests", "r.digests")).select(*by).distinct(),
-                         "hidden")
     n = len(CONTEXT)
     before = F.greatest(F.lit(0), 2 * n - F.floor(F.col("right") / SHINGLE_WORDS)) + F.col("pos")
-    near = own.join(hidden, by, "left_semi").select(
+    near = rows.where(F.col("hash") == 0).join(hidden, by, "left_semi").select(
         "key", "doc_id", "at", "left", "right", F.posexplode("digests").alias("pos", "digest")).where(
         before <= n if by[-1] == "after" else before >= n)
     same = ["key", "digest"]
-    first = materialize(_first(near, same), "digests")
+    first = materialize(near.groupBy(*same).agg(
+        F.min(F.struct("doc_id", "at", "left", "right")).alias("r"),
+        F.max("doc_id").alias("high")).where("r.doc_id < high"), "digests")
     return near.join(first, same).where("doc_id > r.doc_id").select(
         "doc_id", F.col("r.doc_id").alias("ref_doc_id"), F.lit(EXACT).alias("hash"),
         (F.col("at") - F.col("r.at")).alias("shift"),
         (F.col("at") - _reach("left")).alias("lo"), (F.col("at") + _reach("right")).alias("hi")).distinct()
 
 
+def _met(source: DataFrame, width: int) -> DataFrame:
+    """(doc_id, ref_doc_id, hash, shift, lo, hi): what windows share with the first one of their group
+    and with the first ones of its subgroups.
+
+    A window that agrees with the first one of its group on what makes a subgroup has that one as
+    the first of its subgroup too, so only the others are grouped again.
+    """
+    # the keys of more than one document, from the keys alone
+    keys = source.mapInArrow(_windows(width), "key long, doc_id long").groupBy("key").agg(
+        F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    keys = materialize(keys.where("low < high").select("key", "low"), "keys")
+    # most windows of the second pass stay where they are: their keys are in no other document
+    shared = bitmap_of(keys.withColumn("part", F.lit(0)), "key", "part")
+    rows = materialize(source.mapInArrow(_windows(width, shared), ROWS).join(keys, "key"), "windows")
+    first = materialize(rows.where("doc_id = low").groupBy("key").agg(F.min(F.struct(
+        "doc_id", "at", "left", "right", "after", "before", "digests")).alias("r")), "first")
+
+    near = F.coalesce((F.col("hash") == 0) & F.arrays_overlap("digests", "r.digests"), F.lit(False))
+    shown = ["doc_id", "ref_doc_id", F.col("hash_id").alias("hash"), "shift", "lo", "hi"]
+    agrees = {"after": F.coalesce(F.col("after") == F.col("r.after"), F.col("after").isNull()),
+              "before": F.coalesce(F.col("before") == F.col("r.before"), F.col("before").isNull()),
+              "reach": (F.col("left") == F.col("r.left")) & (F.col("right") == F.col("r.right"))}
+    alike = agrees["after"] & agrees["before"]
+    met = rows.join(first, "key").select(
+        "key", "doc_id", "at", "left", "right", "after", "before", "hash",
+        F.when(~alike, F.col("digests")).alias("digests"), *_interval(width, near),
+        *[c.alias(f"same_{side}") for side, c in agrees.items()])
+    met = materialize(met, "met")
+
+    found = [met.where("meets").select(*shown)]
+    rest = met.where("NOT same_reach").select("key", "doc_id", "at", "left", "right", "hash", "digests")
+    by = ["key", "left", "right"]
+    first = materialize(_first(rest, by), "first-reach")
+    found.append(rest.join(first, by).select("doc_id", *_interval(width, F.lit(False))).where("meets")
+                 .select(*shown))
+    for side in ("after", "before"):
+        by = ["key", side]
+        rest = met.where(~F.col(f"same_{side}")).select(
+            "key", "doc_id", "at", "left", "right", side, "hash", "digests")
+        first = materialize(_first(rest, by), f"first-{side}")
+        again = materialize(rest.join(first, by).select(
+            *by, "doc_id", "hash", *_interval(width, near)), f"met-{side}")
+        found.append(again.where("meets").select(*shown))
+        missed = (F.col("hash") == 0) & (F.col("hash_id") != EXACT) & F.col(side).isNotNull() & (
+            F.col("doc_id") > F.col("ref_doc_id"))
+        hidden = met.where(missed & F.col(f"same_{side}")).select(*by).union(
+            again.where(missed).select(*by)).distinct()
+        found.append(_hidden_copies(rows, by, materialize(hidden, "hidden")))
+    return reduce(DataFrame.union, found)
+
+
 def find_passages(docs: DataFrame, min_words: int = MIN_WORDS,
                   similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, start, end, ref_doc_id, ref_start, similarity) of passages that stand earlier too.
@@ -330,32 +393,7 @@ def find_passages(docs: DataFrame, min_words: int = MIN_WORDS,
     """
     width = min_words - SHINGLE_WORDS + 1
     source = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    # the keys of more than one document, from the keys alone
-    keys = source.mapInArrow(_windows(width), "key long, doc_id long").groupBy("key").agg(
-        F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    keys = materialize(keys.where("low < high").select("key"), "keys")
-    # most windows of the second pass stay where they are: their keys are in no other document
-    shared = bitmap_of(keys.withColumn("part", F.lit(0)), "key", "part")
-    rows = materialize(source.mapInArrow(_windows(width, shared), ROWS).join(keys, "key"), "windows")
-
-    found = None
-    for by in (["key"], ["key", "after"], ["key", "before"], ["key", "left", "right"]):
-        own = rows.where(F.col(by[-1]).isNotNull())
-        hash_id, more = F.col("hash"), []
-        if by[-1] in ("after", "before"):
-            # 45 words in common are as good as enough votes
-            more = ["digests"]
-            hash_id = F.when((F.col("hash") == 0) & F.arrays_overlap("digests", "r.digests"),
-                             EXACT).otherwise(F.col("hash")).alias("hash")
-        met = own.join(_first(own, by, *more), by).where("doc_id > r.doc_id").select(
-            "doc_id", F.col("r.doc_id").alias("ref_doc_id"), hash_id,
-            (F.col("at") - F.col("r.at")).alias("shift"),
-            (F.col("at") - F.least("left", "r.left")).alias("lo"),
-            (F.col("at") + F.least("right", "r.right")).alias("hi")).where(
-            F.col("hi") - F.col("lo") + 1 >= width)
-        found = met if found is None else found.union(met)
-    for by in (["key", "after"], ["key", "before"]):
-        found = found.union(_hidden_copies(rows, by))
+    found = _met(source, width)
     lane = F.floor(F.col("shift") / SLACK).alias("lane")
     key = ["doc_id", "ref_doc_id", "lane"]
     # first each hash function's own union of intervals, then where enough of them overlap
