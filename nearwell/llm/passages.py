@@ -103,7 +103,7 @@ def _digests(flat: np.ndarray, c: np.ndarray, left: np.ndarray, right: np.ndarra
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(digests))
 
 
-def _windows(width: int, shared: np.ndarray | None = None):
+def _windows(width: int, shared: np.ndarray | None = None, firsts: np.ndarray | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             words = Words(batch.column("text"))
@@ -127,9 +127,10 @@ def _windows(width: int, shared: np.ndarray | None = None):
                 if shared is not None:
                     wanted = in_bitmap(shared, slot_of(key, np.zeros(len(key), np.int64)))
                     a, c, b, key = a[wanted], c[wanted], b[wanted], key[wanted]
-                out = {"key": pa.array(key),
-                       "doc_id": batch.column("doc_id").take(pa.array(docs[own[c]]))}
+                ids = batch.column("doc_id").take(pa.array(docs[own[c]]))
+                out = {"key": pa.array(key), "doc_id": ids}
                 if shared is not None:
+                    out["early"] = pa.array(in_bitmap(firsts, slot_of(key, ids.to_numpy())))
                     sides = []
                     for sign, room in ((1, b - c), (-1, c - a)):
                         total = np.zeros(len(c), np.uint64)
@@ -151,7 +152,7 @@ def _windows(width: int, shared: np.ndarray | None = None):
     return run
 
 
-ROWS = ("key long, doc_id long, at int, left int, right int, after int, before int, hash int, "
+ROWS = ("key long, doc_id long, early boolean, at int, left int, right int, after int, before int, hash int, "
         "digests array<int>")
 
 
@@ -185,6 +186,11 @@ def matching_spans(mine: np.ndarray, other: np.ndarray, width: int, similarity:
     gaps count on both sides. A stretch of less than ``width`` shingles takes neighbours on both
     sides up to ``width``. The shingle sets of the aligned stretches decide.
     """
+    if len(mine) >= max(width, 1):
+        # one whole copy
+        for p in np.flatnonzero(other == mine[0])[:1].tolist():
+            if np.array_equal(other[p:p + len(mine)], mine):
+                return [(0, len(mine), p, 1.0)]
     order = np.argsort(other, kind="stable")
     at = np.searchsorted(other[order], mine)
     at[at == len(other)] = 0
@@ -253,6 +259,11 @@ def _verify(width: int, similarity: float):
                 own = own[side[own] == which]
                 if not len(own):
                     return values[:0], lo
+                if len(own) == 1:
+                    i = own[0]
+                    base = int(block[i]) * BLOCK
+                    lo = max(lo, base)
+                    return values[at[i] + lo - base:min(at[i + 1], at[i] + max(hi + 1 - base, 0))], lo
                 own = own[np.argsort(block[own])]
                 base = int(block[own[0]]) * BLOCK
                 lo = max(lo, base)
@@ -336,10 +347,14 @@ def _met(source: DataFrame, width: int) -> DataFrame:
     keys = source.mapInArrow(_windows(width), "key long, doc_id long").groupBy("key").agg(
         F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     keys = materialize(keys.where("low < high").select("key", "low"), "keys")
-    # most windows of the second pass stay where they are: their keys are in no other document
+    # most windows of unshared keys end in the second pass, and most that are no first ones are told;
+    # the joins decide
     shared = bitmap_of(keys.withColumn("part", F.lit(0)), "key", "part")
-    rows = materialize(source.mapInArrow(_windows(width, shared), ROWS).join(keys, "key"), "windows")
-    first = materialize(rows.where("doc_id = low").groupBy("key").agg(F.min(F.struct(
+    firsts = bitmap_of(keys, "key", "low")
+    rows = materialize(source.mapInArrow(_windows(width, shared, firsts), ROWS), "windows")
+    early = rows.where("early").drop("early", "hash").join(
+        keys.withColumnRenamed("low", "doc_id"), ["key", "doc_id"])
+    first = materialize(early.groupBy("key").agg(F.min(F.struct(
         "doc_id", "at", "left", "right", "after", "before", "digests")).alias("r")), "first")
 
     near = F.coalesce((F.col("hash") == 0) & F.arrays_overlap("digests", "r.digests"), F.lit(False))
