@@ -70,6 +70,10 @@ class KeyedTable:
         """The rows of the newest commit."""
         return self._rows(self._commit()[2].values())
 
+    def last_batch(self, writer: str) -> int:
+        """The last batch that this writer has merged, -1 before any."""
+        return self._commit()[3].get(writer, -1)
+
     def replace(self, rows: DataFrame, buckets: int = BUCKETS) -> None:
         """All rows anew, in ``buckets`` buckets (choose them so that a bucket is a few files).
 
