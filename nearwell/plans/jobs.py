@@ -20,6 +20,9 @@ from nearwell.sources.sinks import registry_csv_sink
 VERIFICATION = ("facility_id string, source string, registry_name string, registry_type string, "
                 "verified boolean, accredited boolean, verified_services array<string>, "
                 "match_score double, verified_at timestamp")
+SEARCHES = ("session_id string, user_id string, raw_query string, parsed_care_need string, "
+            "parsed_location string, parsed_lat double, parsed_lng double, radius_km double, "
+            "result_count int, created_at timestamp, created_date date")
 
 
 def ingest_registry(pages: DataFrame, texts: DataFrame, out: str, source: str, state: str) -> None:
@@ -55,6 +58,25 @@ def verify_facilities(csvs: str, facilities: DataFrame, table: KeyedTable, as_of
     return OR.verification_summary(table.read())
 
 
+def log_searches(answers: DataFrame, requests: DataFrame, searches: KeyedTable, as_of, batch: int) -> None:
+    """Add a row of ``SEARCHES`` per answered search to its day.
+
+    ``answers`` are those of :mod:`nearwell.plans.ask`; requests(message_id, user_id, text, radius_km)
+    tell who asked. Requests that were not searched (refused, without a need or place) leave none.
+    ``searches`` is keyed by created_date, as the sweep expects it.
+    """
+    found = answers.where(F.col("route").isin("ok", "no_results"))
+    stamp = F.lit(as_of).cast("timestamp")
+    rows = found.join(requests.select("message_id", "user_id", "text", "radius_km"), "message_id").select(
+        F.sha2(F.concat_ws("|", "message_id", F.lit(str(batch))), 256).alias("session_id"), "user_id",
+        F.col("text").alias("raw_query"), F.col("need").alias("parsed_care_need"),
+        F.col("label").alias("parsed_location"), F.col("lat").alias("parsed_lat"),
+        F.col("lng").alias("parsed_lng"), F.col("radius_km").cast("double").alias("radius_km"),
+        F.col("n_results").cast("int").alias("result_count"), stamp.alias("created_at"),
+        F.to_date(stamp).alias("created_date"))
+    searches.merge(rows, DataFrame.unionByName, "log", batch)
+
+
 def sweep_conversations(conversations: KeyedTable, turns: KeyedTable, searches: KeyedTable, archive: str,
                         as_of, batch: int, minutes: int = K.IDLE_MINUTES,
                         days: int = K.RETENTION_DAYS) -> DataFrame:

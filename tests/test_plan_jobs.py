@@ -54,6 +54,29 @@ def test_a_sweep_that_failed_is_run_again(spark, monkeypatch):
     assert [t.read().count() for t in tables] == [0, 0, log.where("created_at IS NULL").count()]
 
 
+def test_searches_are_logged_once_and_expire(spark):
+    table = stored(spark, "searches", "created_date", spark.createDataFrame([], jobs.SEARCHES))
+    requests = spark.createDataFrame([("a", "u1", "eye near Pune", 50.0), ("b", None, "help", None),
+                                      ("c", "u1", "x near y", 10.0), ("d", None, "bad", None)],
+                                     "message_id string, user_id string, text string, radius_km double")
+    answers = spark.createDataFrame([("a", "ok", "eye", "Pune", 18.5, 73.8, 2), ("b", "need_more_info", "", None, None, None, 0),
+                                     ("c", "no_results", "x", "y", 20.0, 80.0, 0), ("d", "invalid", None, None, None, None, 0)],
+                                    "message_id string, route string, need string, label string, lat double, "
+                                    "lng double, n_results int")
+    for batch, as_of in ((0, AS_OF), (0, AS_OF), (1, "2024-02-01 00:00:00")):
+        jobs.log_searches(answers, requests, table, as_of, batch)
+    rows = table.read().collect()
+    assert sorted((r.raw_query, r.result_count, str(r.created_date)) for r in rows) == [
+        ("eye near Pune", 2, "2024-01-01"), ("eye near Pune", 2, "2024-02-01"),
+        ("x near y", 0, "2024-01-01"), ("x near y", 0, "2024-02-01")]
+    assert len({r.session_id for r in rows}) == 4
+    d = Domain(spark, SF)
+    others = [stored(spark, name, "conversation_id", rows) for name, rows in (
+        ("conversations", d.conversation), ("turns", d.turn))]
+    jobs.sweep_conversations(*others, table, scratch_path(spark, "archive"), "2024-02-02 00:00:00", 0, days=30)
+    assert {str(r.created_date) for r in table.read().collect()} == {"2024-02-01"}
+
+
 def test_registry_files_are_ingested_and_verified(spark):
     pages = spark.createDataFrame([
         (2, '<a href="https://cdnbbsr/b.pdf">Hisar (PDF 2 KB)</a><a href="https://cdnbbsr/a.pdf">Karnal (PDF)</a>'),
