@@ -206,3 +206,29 @@ def test_embedding_reuses_known_documents(spark):
                                     "facility_id string, doc string")
     again = OS.batch_embed(changed, known=first)
     assert [r.facility_id for r in again.collect()] == ["c"]
+
+
+def joins(df):
+    """The pair joins of a plan: those on block numbers."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Join" in line and "pp#" in line]
+
+
+def test_circles_never_go_to_the_driver(world, monkeypatch):
+    # a few queries are hundreds of rows each, though Spark takes them for the small side
+    kept = []
+    monkeypatch.setattr(OG, "_pairs_within", lambda *a, f=OG._pairs_within: kept.append(f(*a)) or kept[-1])
+    OG.radius_search(world["queries"], world["fac"])
+    OG.radius_counts(world["queries"], world["fac"])
+    assert len(kept) == 2
+    for pairs in kept:
+        assert joins(pairs) and all("SortMergeJoin" in line for line in joins(pairs))
+
+
+def test_radius_search_carries_columns(world):
+    asked = world["queries"].withColumn("wish", F.concat(F.lit("w-"), "query_id"))
+    fac = world["fac"].withColumn("kind", F.concat(F.lit("k-"), "facility_id"))
+    rows = OG.radius_search(asked, fac, ("wish",), ("kind",)).collect()
+    plain = OG.radius_search(world["queries"], world["fac"]).collect()
+    assert sorted(map(tuple, plain)) == sorted((r.query_id, r.facility_id, r.dist_km) for r in rows)
+    assert rows and all(r.wish == "w-" + r.query_id and r.kind == "k-" + r.facility_id for r in rows)
