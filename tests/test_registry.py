@@ -102,3 +102,45 @@ def test_stage_registry_blanks_and_newlines(spark):
     assert (a.registry_name, a.city, a.pincode, a.services, a.accredited) == (
         "A B C", None, None, None, True)
     assert b.accredited is None and a.row_id != b.row_id
+
+
+def test_look_alike_names_are_no_rows_before_they_match(spark):
+    # every name shares most of its grams with every other: the join on shared grams met 20 times a pair
+    fac = [(f"f{i}", f"Customer#{i:09d} Hospital", "Gaya", "800001") for i in range(120)]
+    reg = [(f"r{i}", "NABH", f"Customer#{i:09d} Hospital", "Gaya", "800001", "Public", None, True)
+           for i in range(0, 120, 2)]
+    f, g = spark.createDataFrame(fac, FAC), spark.createDataFrame(reg, REG)
+    pairs = OR.name_pairs(g, f)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "gram#" not in plan and "CoGroupsInArrow" in plan
+    got = {(r.kind, r.fname, r.rname) for r in pairs.collect()}
+    want = {(kind, a[1], b[2]) for a in fac for b in reg for kind, t in (("pin", 0.40), ("city", 0.62))
+            if sim(a[1], b[2]) >= t - 1e-9}
+    assert got == want and len(want) > 3000
+    # small parts give the same, and the best of all parts
+    for mode in ("pairs", "best", "names"):
+        names = OR._blocks(g, "registry_name", "row_id"), OR._blocks(f, "name", "facility_id")
+        whole, cut = (sorted(map(tuple, OR._matched(*names, mode, 0.40, 0.62, *size).distinct().collect()))
+                      for size in ((), (7, 5)))
+        assert whole
+        if mode == "best":
+            top = {}
+            for kind, block, fname, rname, score in cut:
+                top.setdefault((kind, block, fname), []).append(score)
+            assert {k: max(v) for k, v in top.items()} == {(k, b, n): s for k, b, n, _, s in whole}
+        else:
+            assert whole == cut
+
+
+def test_grams_counted_by_matrix_and_one_by_one(spark):
+    import numpy as np
+    import pyarrow as pa
+    rng = np.random.default_rng(4)
+    for spread in (3, 60, 5000):
+        lists = [[sorted(set(rng.integers(0, spread, rng.integers(0, 12)).tolist()))
+                  for _ in range(n)] for n in (300, 170)]
+        left, right = (pa.array(x, pa.list_(pa.int64())) for x in lists)
+        got = np.concatenate([s for _, s in OR._shared_grams(left, right, 64)])
+        assert got.tolist() == [[len(set(a) & set(b)) for b in lists[1]] for a in lists[0]]
+    empty = pa.array([[], []], pa.list_(pa.int64()))
+    assert [s.tolist() for _, s in OR._shared_grams(empty, empty)] == [[[0, 0], [0, 0]]]
