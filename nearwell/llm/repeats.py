@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearwell.llm.bitmap import bitmap_of, in_bitmap, slot_of
-from nearwell.llm.hashing import chunks, mix, rolling, text_bytes
+from nearwell.llm.hashing import CACHED_BYTES, chunks, mix, rolling, text_bytes
 from nearwell.llm.passages import compact_windows
 from nearwell.session import materialize
 
 LENGTH = 100
 GRAM = 32
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10
 #: A gram of more distinct extracts than this is compared string by string instead of in a block.
 BUSY = 4096
 
@@ -61,7 +61,7 @@ def extracts(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches):
+    for batch in chunks(batches, limit=CACHED_BYTES):
         key, *_ = extracts(*text_bytes(batch.column("text")))
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], ["key"])
 
@@ -83,7 +83,7 @@ def _content(flat: np.ndarray, ends: np.ndarray, salt: int) -> np.ndarray:
 def _shared(bitmap: np.ndarray):
     """Extracts under the grams of the bitmap, each with a hash of its content."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=CACHED_BYTES):
             data, offsets = text_bytes(batch.column("text"))
             key, doc, first, count = extracts(data, offsets)
             keep = in_bitmap(bitmap, slot_of(key.view(np.int64), np.zeros(1, np.int64)))
@@ -100,7 +100,7 @@ def _shared(bitmap: np.ndarray):
 def _contents(bitmap: np.ndarray):
     """The bytes of the extracts whose document and start are in the bitmap."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=CACHED_BYTES):
             data, offsets = text_bytes(batch.column("text"))
             key, doc, first, count = extracts(data, offsets)
             ids = batch.column("doc_id").to_numpy()[doc]
