@@ -1,5 +1,6 @@
 """The stored evidence index."""
 
+from nearwell.functions import similarity as S
 from nearwell.functions.similarity import trigram_similarity
 from nearwell.operators import evidence as OE
 from nearwell.operators import search as OS
@@ -37,3 +38,23 @@ def test_evidence_from_the_index(spark):
     short = OE.grounding_candidates(hits.where("query_id = '3'"), index, 2).collect()
     assert {(r["facility_id"], r["rn"], r["txt"]) for r in short} == {
         ("a", 1, ""), ("a", 2, "hearts"), ("b", 1, ""), ("b", 2, "hearts")}
+
+
+def test_shared_grams_are_those_of_the_trigrams(spark):
+    texts = ["Heart  bypass, surgery", "heart care", "x", "", None, "Éclair-7 इलाज 𝒳y", "a a a", "ÅB ring ring"]
+    pairs = spark.createDataFrame([(str(i), a, "k", b) for i, a in enumerate(texts) for b in texts],
+                                  "facility_id string, need string, kind string, txt string")
+    words = pairs.withColumns({"words": S.plain_words(F.col("txt")), "_words": S.plain_words(F.col("need"))})
+    got = words.mapInArrow(OE._shared_grams, "facility_id string, need string, kind string, txt string, "
+                                             "_both int, _all int")
+    a, b = S.trigrams(F.col("need")), S.trigrams(F.col("txt"))
+    want = pairs.withColumns({"_both": F.size(F.array_intersect(a, b)), "_all": F.size(a) + F.size(b)}).where("_both > 0")
+    assert sorted(got.collect()) == sorted(want.collect()) and got.count() > 5
+
+
+def test_the_index_holds_no_grams(spark):
+    # a row of the index meets the hits in a shuffle: texts, not eight bytes a gram
+    fac = spark.createDataFrame([("f", "Clinic", 20.0, 80.0)], "facility_id string, name string, lat double, lng double")
+    terms = spark.createDataFrame([("f", "procedure", "Heart check")], "facility_id string, kind string, txt string")
+    row = OE.evidence_index(terms, fac).first()
+    assert row.words == "heart check" and not any(isinstance(x, list) for x in row)
