@@ -61,8 +61,9 @@ def batch_embed(d):
     words = docs.select("facility_id", F.array_size(F.filter(
         F.split(F.lower("doc"), r"[^\p{L}\p{N}]+"), lambda w: w != "")).alias("n"))
     total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
-    counts = F.transform("embedding", lambda x: F.coalesce(
-        F.round(F.try_divide(x.cast("double"), total) * F.col("n")), F.lit(0)).cast("bigint"))
+    # the total as a variable of its own: written into the inner function, it is summed for every slot
+    counts = F.transform(F.array(total), lambda t: F.transform("embedding", lambda x: F.coalesce(
+        F.round(F.try_divide(x.cast("double"), t) * F.col("n")), F.lit(0)).cast("bigint")))[0]
     zero = F.lit(0).cast("bigint")
     n = int(d.spark.conf.get("spark.sql.shuffle.partitions"))
     return OS.batch_embed(docs, partitions=n).join(words, "facility_id").withColumn("c", counts).select(
