@@ -122,29 +122,22 @@ def previous_value(df: DataFrame, key: str, order: Column, bucket: Column, value
             .drop("_bucket", "_value", "_carried"))
 
 
-#: Salts that a key's rows are counted under before they are cut.
-SALTS = 256
-
-
 def split_groups(df: DataFrame, key: str, item: Column, max_rows: int, size: Column | None = None,
                  max_bytes: int = 64 << 20) -> DataFrame:
     """Add ``part`` and ``parts`` so that (key, part) holds about ``max_rows`` rows at most, and about
     ``max_bytes`` of ``size`` where that is given.
 
-    Rows are counted per key and salt of ``item``, a key's counts (``SALTS`` rows at most) are added
-    up, and every row meets the count of its own salt: no task gets a whole hot key. A null key has
-    its parts like any other.
+    Rows are counted map-side, and only keys that need several parts are joined: at most one for every
+    ``max_rows`` rows and every ``max_bytes`` bytes, which Spark broadcasts or else splits where they are
+    hot, so that no task gets a whole hot key. A null key has its parts like any other.
     """
-    salt = F.pmod(F.xxhash64(item), F.lit(SALTS)).cast("int")
-    rows = df.withColumn("_salt", salt)
     weight = F.lit(0) if size is None else F.coalesce(size, F.lit(0))
-    counts = rows.groupBy(key, "_salt").agg(F.count("*").alias("_n"), F.sum(weight).alias("_b"))
-    whole = Window.partitionBy(key)
-    needed = F.greatest(F.ceil(F.sum("_n").over(whole) / max_rows), F.ceil(F.sum("_b").over(whole) / max_bytes))
-    # written first, so that the join is one of two tables
-    counts = materialize(counts.select(F.col(key).alias("_key"), F.col("_salt").alias("_of"),
-                                       needed.cast("int").alias("parts")), "group-parts")
-    same = (F.col("_salt") == F.col("_of")) & F.col(key).eqNullSafe(F.col("_key"))
-    return rows.join(counts, same).withColumn(
+    counts = df.groupBy(key).agg(F.count("*").alias("_n"), F.sum(weight).alias("_b"))
+    needed = F.greatest(F.ceil(F.col("_n") / max_rows), F.ceil(F.col("_b") / max_bytes)).cast("int")
+    # written first, so that Spark knows how few they are
+    heavy = materialize(counts.select(F.col(key).alias("_key"), needed.alias("_parts")).where("_parts > 1"),
+                        "group-parts")
+    return df.join(heavy, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn(
+        "parts", F.coalesce("_parts", F.lit(1))).withColumn(
         "part", F.pmod(F.xxhash64(item, F.lit("part")), F.col("parts").cast("long")).cast("int")).drop(
-        "_salt", "_key", "_of")
+        "_key", "_parts")
