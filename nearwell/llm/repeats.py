@@ -6,9 +6,9 @@ neighbouring strings under the same gram are one extract of the text. Grams that
 out, equal extracts are counted once, and what remains is cut into blocks of bounded size by gram.
 
 In a block, suffixes are sorted to depth LENGTH, and the lengths of their common prefixes are derived
-breadth first in increasing order: a boundary between neighbouring suffixes has common prefix l + 1
-if the step back through the transform (each suffix less its first byte) encloses a boundary of
-length l. Expansion stops at LENGTH: boundaries not reached lie inside groups of equal strings.
+breadth first in increasing order, from the greatest depth below LENGTH that the sort went through: a
+boundary between neighbouring suffixes has common prefix l + 1 if the step back through the transform
+(each suffix less its first byte) encloses a boundary of length l. Expansion stops at LENGTH: boundaries not reached lie inside groups of equal strings.
 """
 
 from __future__ import annotations
@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearwell.llm.bitmap import bitmap_of, in_bitmap, slot_of
-from nearwell.llm.hashing import CACHED_BYTES, chunks, mix, rolling, text_bytes
+from nearwell.llm.hashing import CACHED_BYTES, chunks, mix, rolling, span_hashes, text_bytes
 from nearwell.llm.passages import compact_windows
 from nearwell.session import materialize
 
 LENGTH = 100
 GRAM = 32
-BLOCK_BYTES = 512 << 10
+BLOCK_BYTES = 256 << 10
 #: A gram of more distinct extracts than this is compared string by string instead of in a block.
 BUSY = 4096
 
@@ -40,24 +40,15 @@ def extracts(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH
     smallest; every string of ``length`` bytes within a text belongs to exactly one extract.
     """
     span = length - GRAM + 1  # grams in one string
-    sizes = np.diff(offsets)
-    docs = np.flatnonzero(sizes >= length)
-    empty = np.empty(0, np.int64)
-    if not len(docs):
-        return empty.view(np.uint64), empty, empty, empty
-    grams = rolling(data, GRAM)
-    count = sizes[docs] - GRAM + 1
-    size = count + 1
-    first = np.cumsum(size) - size
-    own = np.repeat(np.arange(len(docs)), size)
-    local = np.arange(size.sum()) - first[own]
-    last = local == count[own]
-    values = np.zeros(len(own), np.uint64)
-    values[~last] = grams[(offsets[docs][own] + local)[~last]] | np.uint64(1)
+    values = rolling(data, GRAM) | np.uint64(1)
+    # what reaches over the end of a text is no gram
+    over = offsets[1:, None] - np.arange(1, GRAM)
+    values[over[over >= offsets[:-1, None]]] = 0
     a, c, b = compact_windows(values, span)
     low = np.maximum(a, c - span + 1)
     high = np.minimum(c, b - span + 1)
-    return values[c], docs[own[c]], low - first[own[c]], high - low + 1
+    doc = np.searchsorted(offsets, c, "right") - 1
+    return values[c], doc, low - offsets[doc], high - low + 1
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,9 +79,10 @@ def _shared(bitmap: np.ndarray):
             key, doc, first, count = extracts(data, offsets)
             keep = in_bitmap(bitmap, slot_of(key.view(np.int64), np.zeros(1, np.int64)))
             key, doc, first, count = key[keep], doc[keep], first[keep], count[keep]
-            flat, ends = _slices(data, offsets[doc] + first, count + LENGTH - 1)
+            begin = offsets[doc] + first
+            h = span_hashes(data, begin, begin + count + LENGTH - 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(_content(flat, ends, 20).view(np.int64)),
+                [pa.array(key.view(np.int64)), pa.array(h.view(np.int64)),
                  batch.column("doc_id").take(pa.array(doc)), pa.array(first.astype(np.int32)),
                  pa.array(count, pa.int32())],
                 ["key", "h", "doc_id", "first", "count"])
@@ -106,19 +98,22 @@ def _contents(bitmap: np.ndarray):
             ids = batch.column("doc_id").to_numpy()[doc]
             keep = in_bitmap(bitmap, slot_of(ids, first))
             key, doc, first, count = key[keep], doc[keep], first[keep], count[keep]
-            flat, ends = _slices(data, offsets[doc] + first, count + LENGTH - 1)
+            begin, size = offsets[doc] + first, count + LENGTH - 1
+            h = span_hashes(data, begin, begin + size)
+            flat, ends = _slices(data, begin, size)
             content = pa.Array.from_buffers(pa.binary(), len(key), [
                 None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat)])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(_content(flat, ends, 20).view(np.int64)),
+                [pa.array(key.view(np.int64)), pa.array(h.view(np.int64)),
                  pa.array(ids[keep]), pa.array(first.astype(np.int32)), content],
                 ["key", "h", "doc_id", "first", "content"])
     return run
 
 
 def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    new = np.concatenate(([0], keys[order][1:] != keys[order][:-1]))
+    order = np.argsort(keys)
+    placed = keys[order]
+    new = np.concatenate(([0], placed[1:] != placed[:-1]))
     rank = np.empty(len(keys), np.int64)
     rank[order] = np.cumsum(new)
     return order, rank
@@ -136,29 +131,34 @@ def equal_strings(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndar
     for k in range(depth):
         packed = (packed << 9) | wide[k:k + n]
     order, rank = _ranks(packed)
+    known, level = 1, symbols
     while depth < length:
+        known, level = depth, rank
         ahead = np.append(rank[depth:], np.full(min(depth, n), -1)) + 1
         order, rank = _ranks((rank << 32) | ahead[:n])
         depth *= 2
     place = np.empty(n + 1, np.int64)
     place[order] = np.arange(n)
     place[n] = 0
-    # boundaries: reached[j] means that suffixes j - 1 and j share fewer than ``length`` symbols
-    head = symbols[order]
+    # boundaries: reached[j] means that suffixes j - 1 and j share fewer than ``length`` symbols;
+    # those that share fewer than ``known`` are told by the ranks of that depth
+    head = level[order]
     reached = np.append(True, head[1:] != head[:-1])
     waiting = np.flatnonzero(~reached)
     back = place[order + 1]
     low = np.minimum(back[waiting - 1], back[waiting])
     high = np.maximum(back[waiting - 1], back[waiting])
-    for _ in range(1, length):
-        if not len(waiting):
-            break
-        passed = np.cumsum(reached)
+    gone = 0  # of those waiting, reached since
+    for _ in range(known, length):
+        passed = np.cumsum(reached, dtype=np.int32)
         hit = passed[high] > passed[low]
-        if not hit.any():
+        now = np.count_nonzero(hit)
+        if now == gone:
             break  # no boundary of this length, so none of a greater one
         reached[waiting[hit]] = True
-        waiting, low, high = waiting[~hit], low[~hit], high[~hit]
+        gone = now
+        if 8 * gone > len(waiting):
+            waiting, low, high, gone = waiting[~hit], low[~hit], high[~hit], 0
     return order, np.cumsum(reached)
 
 

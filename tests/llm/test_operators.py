@@ -1,5 +1,6 @@
 """Each operator against a plain restatement, or an exact round trip."""
 
+import time
 import zlib
 
 import brute
@@ -169,6 +170,47 @@ def test_compact_windows(n, width, ties):
     assert sorted(zip(a.tolist(), c.tolist(), b.tolist())) == sorted(want)
 
 
+def _chase(v, width):
+    """(a, c, b) by a look at every position; of equal values the first one roots."""
+    out = []
+    for c in range(len(v)):
+        if v[c]:
+            a = next((i + 1 for i in range(c - 1, -1, -1) if v[i] <= v[c]), 0)
+            b = next((i - 1 for i in range(c + 1, len(v)) if v[i] < v[c]), len(v) - 1)
+            if b - a + 1 >= width:
+                out.append((a, c, b))
+    return out
+
+
+@pytest.mark.parametrize("shape", ["rising", "falling", "teeth", "equal", "random", "short"])
+def test_compact_windows_of_any_shape(shape, monkeypatch):
+    n = 300
+    up = np.arange(1, n + 1)
+    v = {"rising": np.append(up, [0, 1, 1]), "falling": np.append(up[::-1], [1, 0, 5]),
+         "teeth": np.concatenate([np.append(up[:70], 71 - k) for k in range(1, 60)]),
+         "equal": np.full(n, 7), "random": np.random.default_rng(3).integers(0, 90, 2000),
+         "short": up[:3]}[shape].astype(np.uint64)
+    for rounds in (passages.ROUNDS, 1):
+        monkeypatch.setattr(passages, "ROUNDS", rounds)
+        for width in (1, 5, 46):
+            assert list(zip(*(x.tolist() for x in passages.compact_windows(v, width)))) == _chase(v, width)
+
+
+def test_compact_windows_cost_less_than_a_sort():
+    v = np.random.default_rng(4).integers(1, 2 ** 63, 1 << 19, dtype=np.uint64)
+
+    def least(work):
+        times = []
+        for _ in range(7):
+            begin = time.process_time()
+            work()
+            times.append(time.process_time() - begin)
+        return min(times)
+
+    assert least(lambda: passages.compact_windows(v, 69)) < 0.6 * least(lambda: np.argsort(v, kind="stable"))
+
+
+
 @pytest.mark.parametrize("size", [50, 60, 70, 80])
 def test_matching_spans_bridge_an_edit_at_every_position(size):
     rng = np.random.default_rng(size)
