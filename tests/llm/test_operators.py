@@ -274,6 +274,34 @@ def test_passages_behind_fragments_are_all_found(spark):
     assert all(set(range(b, b + 60)) <= found[i] for i, b in whole.items())
 
 
+def test_edited_passages_behind_fragments_are_all_found(spark):
+    rng = np.random.default_rng(12)
+
+    def noise(n):
+        return [f"n{x}" for x in rng.integers(0, 1 << 40, n)]
+
+    docs, edited = [], {}
+    for group in range(30):
+        passage = noise(70)
+        # the first documents hold fragments only, a later one the whole passage
+        docs += [noise(30) + passage[:38] + noise(30), noise(30) + passage[20:58] + noise(30),
+                 noise(30) + passage[34:] + noise(30), noise(25) + passage + noise(25)]
+        for copy in range(3):
+            before = int(rng.integers(0, 60))
+            changed = list(passage)
+            changed[int(rng.integers(28, 42))] = f"edit{group}x{copy}"
+            edited[len(docs)] = before
+            docs.append(noise(before) + changed + noise(40))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)],
+                               "doc_id long, text string")
+    found = {}
+    for r in passages.find_passages(df).collect():
+        found.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+    whole = [i for i, b in edited.items() if set(range(b, b + 70)) <= found.get(i, set())]
+    assert found.keys() <= edited.keys()
+    assert len(whole) >= 88, len(whole)
+
+
 def test_drop_passages_with_clashing_names_and_texts_of_one_id(spark):
     rng = np.random.default_rng(9)
     text = " ".join(f"n{x}" for x in rng.integers(0, 1 << 40, 90))
