@@ -12,6 +12,9 @@ from pyspark.sql.window import Window
 
 from nearwell.session import materialize
 
+# Keys of several parts that are broadcast.
+HEAVY_KEYS = 1 << 17
+
 
 def _one_row(df: DataFrame, keys: Sequence[str], order: Sequence[Column], pick) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
@@ -128,8 +131,8 @@ def split_groups(df: DataFrame, key: str, item: Column, max_rows: int, size: Col
     ``max_bytes`` of ``size`` where that is given.
 
     Rows are counted map-side, and only keys that need several parts are joined: at most one for every
-    ``max_rows`` rows and every ``max_bytes`` bytes, which Spark broadcasts or else splits where they are
-    hot, so that no task gets a whole hot key. A null key has its parts like any other.
+    ``max_rows`` rows and every ``max_bytes`` bytes. Up to ``HEAVY_KEYS`` of them are broadcast, so that no
+    task gets a whole hot key; of more, each has a small share. A null key has its parts like any other.
     """
     weight = F.lit(0) if size is None else F.coalesce(size, F.lit(0))
     counts = df.groupBy(key).agg(F.count("*").alias("_n"), F.sum(weight).alias("_b"))
@@ -137,6 +140,8 @@ def split_groups(df: DataFrame, key: str, item: Column, max_rows: int, size: Col
     # written first, so that Spark knows how few they are
     heavy = materialize(counts.select(F.col(key).alias("_key"), needed.alias("_parts")).where("_parts > 1"),
                         "group-parts")
+    if heavy.count() <= HEAVY_KEYS:
+        heavy = F.broadcast(heavy)
     return df.join(heavy, F.col(key).eqNullSafe(F.col("_key")), "left").withColumn(
         "parts", F.coalesce("_parts", F.lit(1))).withColumn(
         "part", F.pmod(F.xxhash64(item, F.lit("part")), F.col("parts").cast("long")).cast("int")).drop(
